@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +12,11 @@ CHANNEL_MEAN = (0.485, 0.456, 0.406)
 CHANNEL_STD = (0.229, 0.224, 0.225)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row, also inside its lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def last_argmax(scores: Column) -> Column:
     """0-based index of the largest score; the last one on ties."""
     from_end = F.array_position(F.reverse(scores), F.array_max(scores))
@@ -38,29 +43,48 @@ def top_p(scores: Column, p: float) -> Column:
 
     A token is in the list if the mass of the tokens before it is below ``p``.
     """
-    best = F.array_max(scores)
-    total = F.aggregate(scores, F.lit(0.0), lambda acc, s: acc + F.exp(s.cast("double") - best))
     start = F.struct(
         F.lit(0.0).alias("mass"),
         F.array().cast("array<struct<token:int,probability:double>>").alias("kept"),
     )
 
-    def step(acc: Column, pair: Column) -> Column:
-        probability = F.exp(-pair["neg"].cast("double") - best) / total
-        entry = F.struct(
-            pair["token"].cast("int").alias("token"), probability.alias("probability")
+    def weight(pair: Column, best: Column) -> Column:
+        return F.exp(-pair["neg"].cast("double") - best)
+
+    def fold(once: Column) -> Column:
+        def step(acc: Column, pair: Column) -> Column:
+            probability = weight(pair, once["best"]) / once["total"]
+            entry = F.struct(
+                pair["token"].cast("int").alias("token"), probability.alias("probability")
+            )
+            longer = F.concat(acc["kept"], F.array(entry))
+            kept = F.when(acc["mass"] < p, longer).otherwise(acc["kept"])
+            return F.struct((acc["mass"] + probability).alias("mass"), kept.alias("kept"))
+
+        return F.aggregate(once["pairs"], start, step, lambda acc: acc["kept"])
+
+    def with_total(once: Column) -> Column:
+        total = F.aggregate(
+            once["pairs"], F.lit(0.0), lambda acc, pair: acc + weight(pair, once["best"])
+        )
+        return let(
+            F.struct(once["pairs"].alias("pairs"), once["best"].alias("best"), total.alias("total")),
+            fold,
         )
-        kept = F.when(acc["mass"] < p, F.concat(acc["kept"], F.array(entry))).otherwise(acc["kept"])
-        return F.struct((acc["mass"] + probability).alias("mass"), kept.alias("kept"))
 
-    return F.aggregate(ranked_tokens(scores), start, step, lambda acc: acc["kept"])
+    best = F.array_max(scores).cast("double")
+    return let(F.struct(ranked_tokens(scores).alias("pairs"), best.alias("best")), with_total)
 
 
 def min_max(values: Column) -> Column:
     """Values scaled to [0, 1]; unchanged if all are equal."""
-    low, high = F.array_min(values), F.array_max(values)
-    scaled = F.transform(values, lambda v: (v - low) / (high - low))
-    return F.when(high == low, values).otherwise(scaled)
+
+    def scaled(edge: Column) -> Column:
+        moved = F.transform(values, lambda v: (v - edge["low"]) / (edge["high"] - edge["low"]))
+        return F.when(edge["high"] == edge["low"], values).otherwise(moved)
+
+    edges = F.struct(F.array_min(values).alias("low"), F.array_max(values).alias("high"))
+    return let(edges, scaled)
 
 
 def standardise_channel(

@@ -100,12 +100,11 @@ def repeated_passages(texts: DataFrame, text: str, length: int) -> DataFrame:
     and a passage copied very often combines before the shuffle.
     """
     tokens = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    split = texts.select(tokens.alias("_w")).filter(F.size("_w") >= length)
-    runs = split.select(
-        F.transform(
-            F.sequence(F.lit(1), F.size("_w") - (length - 1)),
-            lambda i: F.array_join(F.slice("_w", i, length), " "),
-        ).alias("_p")
+    starts = F.when(
+        F.size("_w") >= length, F.sequence(F.lit(1), F.size("_w") - (length - 1))
+    ).otherwise(F.array().cast("array<int>"))
+    runs = texts.select(tokens.alias("_w")).select(
+        F.transform(starts, lambda i: F.array_join(F.slice("_w", i, length), " ")).alias("_p")
     )
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     entries = F.concat(

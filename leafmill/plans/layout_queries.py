@@ -92,7 +92,7 @@ def page_confidence(spark: SparkSession, d: str) -> DataFrame:
     return scored.withColumn("confidence", F.round("confidence", 6))
 
 
-_VOTES = """votes AS (SELECT page_id, count_if(is_vertical) AS vertical, count_if(NOT is_vertical) AS horizontal,
+_VOTES = """votes AS (SELECT page_id, count_if(is_vertical)::BIGINT AS vertical, count_if(NOT is_vertical)::BIGINT AS horizontal,
     CASE WHEN count_if(is_vertical) > count_if(NOT is_vertical) THEN 'Vertical'
          WHEN count_if(is_vertical) < count_if(NOT is_vertical) THEN 'Horizontal' ELSE 'Mixed' END AS reading_order
     FROM {0} GROUP BY page_id)"""

@@ -1 +1,117 @@
-"""."""
+"""Streaming queries over the event and conversation files."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from leafmill.operators import search
+from leafmill.plans import fixtures as fx
+from leafmill.plans.registry import query
+from leafmill.plans.search_queries import NOTE_COLUMNS, _bm25, _tokens
+from leafmill.session import fresh_path
+from leafmill.streaming import events as stream
+from leafmill.streaming.notes import ingest_notes
+from leafmill.streaming.progress import maintain_progress
+from leafmill.streaming.windows import sessions, window_counts
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return stream.event_stream(spark, d)
+
+
+def _time(column: str):
+    return F.date_format(column, "yyyy-MM-dd HH:mm:ss")
+
+
+@query(
+    """SELECT book_id, max(last_processed_page) AS last_processed_page, arg_max(status, seq) AS status, max(seq) AS newest_event
+       FROM fx_progress GROUP BY book_id""",
+    "fx_progress",
+)
+def page_state_stream(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.col("event_type")
+    status = (
+        F.when(kind == "view", "processing").when(kind == "purchase", "completed")
+        .when(kind == "error", "failed").otherwise("pending")
+    )
+    pages = _events(spark, d).select(
+        F.col("user_id").alias("book_id"), fx.props_k().alias("page"), status.alias("status"),
+        "ts", "event_id",
+    )
+    return maintain_progress(pages).select(
+        "book_id", "last_processed_page", "status", F.col("newest.event_id").alias("newest_event")
+    )
+
+
+@query(
+    """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, user_id, count(*) AS events,
+              round(sum(value), 4) AS value FROM events GROUP BY ALL"""
+)
+def window_stream(spark: SparkSession, d: str) -> DataFrame:
+    counts = window_counts(_events(spark, d), "1 day")
+    stored = stream.stored_result(counts, "complete")
+    return stored.select(
+        _time("window.start").alias("start"), "user_id", "events", F.round("value", 4).alias("value")
+    )
+
+
+@query(
+    """WITH starts AS (SELECT *, unnest([time_bucket(INTERVAL '12 hours', ts), time_bucket(INTERVAL '12 hours', ts) - INTERVAL '12 hours']) AS s FROM events)
+       SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS events, round(sum(value), 4) AS value
+       FROM starts GROUP BY s, event_type"""
+)
+def sliding_window_stream(spark: SparkSession, d: str) -> DataFrame:
+    counts = window_counts(_events(spark, d), "1 day", "12 hours", key="event_type")
+    stored = stream.stored_result(counts, "complete")
+    return stored.select(
+        _time("window.start").alias("start"), "event_type", "events", F.round("value", 4).alias("value")
+    )
+
+
+@query(
+    """WITH marked AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '6 hours'
+           THEN 0 ELSE 1 END AS opens FROM events),
+       numbered AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM marked)
+       SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS events,
+              min(regexp_extract(props, '"k": (\\d+)', 1)::INTEGER) AS first_page,
+              max(regexp_extract(props, '"k": (\\d+)', 1)::INTEGER) AS last_page
+       FROM numbered GROUP BY user_id, session"""
+)
+def session_stream(spark: SparkSession, d: str) -> DataFrame:
+    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    reading = _events(spark, d).withColumn("page", fx.props_k())
+    stored = stream.stored_result(sessions(reading, "6 hours"), "complete")
+    return stored.select(
+        "user_id", _time("session_window.start").alias("start"), "events", "first_page", "last_page"
+    )
+
+
+_NOTES = f"""notes AS (SELECT conv_id * 1000000 + turn AS id, text AS user_memo, role AS book_title FROM conversations),
+    docs AS (SELECT id, {_tokens('user_memo')} || {_tokens('book_title')} AS ts FROM notes),
+    postings AS (SELECT id, unnest(ts) AS term FROM docs)"""
+
+
+@query(
+    f"""WITH {_NOTES}, {_bm25("'reaux', 'assistant', 'ment'")}
+        SELECT id, round(sum(part), 6) AS score FROM parts GROUP BY id"""
+)
+def note_ingest_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Notes arrive as a stream with their index; the stored index is then searched."""
+    schema = T.StructType(
+        [
+            T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()),
+            T.StructField("role", T.StringType()), T.StructField("text", T.StringType()),
+        ]
+    )
+    arriving = spark.readStream.schema(schema).parquet(f"{d}/conversations.parquet*").select(
+        (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("id"),
+        F.col("text").alias("user_memo"), F.col("role").alias("book_title"),
+    )
+    root = fresh_path(spark, "notes")
+    ingest_notes(arriving, root, NOTE_COLUMNS)
+    rows, sizes = (spark.read.parquet(f"{root}/{n}") for n in ("postings", "lengths"))
+    scores = search.bm25(rows, sizes, ["reaux", "assistant", "ment"])
+    return scores.withColumn("score", F.round("score", 6))
