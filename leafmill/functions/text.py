@@ -55,7 +55,12 @@ def words(text: Column) -> Column:
 def search_tokens(text: Column) -> Column:
     """Index terms of a text: lower case, no accents, runs of letters and digits."""
     plain = F.translate(F.lower(text), ACCENTED, UNACCENTED)
-    return F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return letter_runs(plain)
+
+
+def letter_runs(text: Column) -> Column:
+    """Runs of letters and digits, in order."""
+    return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def sentences(text: Column) -> Column:

@@ -98,14 +98,18 @@ def _order(vertical: Column, horizontal: Column) -> Column:
 
 
 def in_reading_order(
-    regions: DataFrame, key: str = "page_id", group_rows: int = GROUP_ROWS
+    regions: DataFrame,
+    key: str = "page_id",
+    group_rows: int = GROUP_ROWS,
+    large: bool | None = None,
 ) -> Arranged:
     """Regions with ``rank`` in the reading order of their page.
 
     Vertical pages run right to left and then down, others down and then left to
     right; equal places keep input order (``ix``).
     """
-    large = has_large_group(regions, [key], group_rows)
+    if large is None:
+        large = has_large_group(regions, [key], group_rows)
     if large:
         voted = regions.join(reading_votes(regions, key).select(key, "reading_order"), key)
     else:
@@ -148,6 +152,8 @@ def page_markdown(
     key: str = "page_id",
     gap: float = PARAGRAPH_GAP,
     group_rows: int = GROUP_ROWS,
+    large: bool | None = None,
+    sums: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Markdown of each page in reading order.
 
@@ -156,7 +162,7 @@ def page_markdown(
     first text. The output is still empty exactly while no earlier text was
     non-empty.
     """
-    rows = in_reading_order(regions, key, group_rows).lag({"_y": "y1", "_direction": "direction"})
+    rows = in_reading_order(regions, key, group_rows, large).lag({"_y": "y1", "_direction": "direction"})
     rows = rows.running_total((F.length("text") > 0).cast("int"), "_texts")
     empty = F.col("_texts") - (F.length("text") > 0).cast("int") == 0
     far = F.col("_y").isNull() | (F.abs(F.col("y1") - F.col("_y")) > gap)
@@ -164,7 +170,7 @@ def page_markdown(
     separator = (
         F.when(empty, F.lit("")).when(far, F.lit("\n\n")).when(turned, F.lit("\n")).otherwise(F.lit(""))
     )
-    return rows.texts({"markdown": F.concat(separator, F.col("text"))})
+    return rows.texts({"markdown": F.concat(separator, F.col("text"))}, sums=sums)
 
 
 def line_texts(

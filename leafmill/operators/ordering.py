@@ -130,8 +130,13 @@ class Arranged:
             )
         )
 
-    def texts(self, pieces: dict[str, Column], part_rows: int = SLICE_ROWS) -> DataFrame:
-        """Concatenate each piece in rank order.
+    def texts(
+        self,
+        pieces: dict[str, Column],
+        part_rows: int = SLICE_ROWS,
+        sums: dict[str, Column] | None = None,
+    ) -> DataFrame:
+        """Concatenate each piece in rank order; ``sums`` are added up beside them.
 
         One output row holds at most ``part_rows`` rows of a group, counted in
         ``rows``. Joining a group's parts in order of ``part`` gives its whole text.
@@ -139,12 +144,16 @@ class Arranged:
         part = F.floor((F.col(self.rank) - 1) / part_rows).cast("int")
         row = F.struct(F.col(self.rank).alias("_rank"), *[c.alias(n) for n, c in pieces.items()])
         rows = F.array_sort(F.collect_list(row))
-        gathered = self.df.groupBy(*self.keys, part.alias("part")).agg(rows.alias("_rows"))
+        totals = [F.sum(c).alias(n) for n, c in (sums or {}).items()]
+        gathered = self.df.groupBy(*self.keys, part.alias("part")).agg(
+            rows.alias("_rows"), *totals
+        )
         return gathered.select(
             *self.keys,
             "part",
             F.size("_rows").alias("rows"),
             *[F.array_join(F.col(f"_rows.{n}"), "").alias(n) for n in pieces],
+            *(sums or {}),
         )
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.functions.text import letter_runs
+
 PIECE = 256
 
 
@@ -99,7 +101,7 @@ def repeated_passages(texts: DataFrame, text: str, length: int) -> DataFrame:
     single aggregate on the passage itself, so equal hashes cannot mix passages
     and a passage copied very often combines before the shuffle.
     """
-    tokens = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    tokens = letter_runs(F.lower(F.col(text)))
     starts = F.when(
         F.size("_w") >= length, F.sequence(F.lit(1), F.size("_w") - (length - 1))
     ).otherwise(F.array().cast("array<int>"))

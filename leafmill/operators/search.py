@@ -1,7 +1,8 @@
 """Full-text search over a table of postings.
 
-Postings are rows ``(term, id, col, pos)``. They can be written once, bucketed
-by term, and searched many times, or built for one query from its terms only.
+Postings are rows ``(term, id, col, pos, length)``, ``length`` being the tokens of
+the whole document. They can be written once, bucketed by term, and searched many
+times, or built for one query from its terms only.
 Every search form is a filter on terms and one aggregate per document.
 """
 
@@ -27,34 +28,40 @@ def postings(
     terms: Sequence[str] | None = None,
     prefixes: Sequence[str] | None = None,
 ) -> DataFrame:
-    """One row per token. With ``terms`` or ``prefixes`` other tokens are dropped
-    inside the row, before anything is exploded."""
-
-    def wanted(entry: Column) -> Column:
-        keep = F.lit(terms is None and prefixes is None)
-        if terms is not None:
-            keep = keep | entry["term"].isin(*terms)
+    """One row per token; with ``terms`` or ``prefixes`` only of those that match."""
+    tokens = documents.select(
+        F.col(key).alias("id"), *[_tokens(c).alias(f"_{i}") for i, c in enumerate(columns)]
+    )
+    length = F.lit(0).cast("long")
+    for i in range(len(columns)):
+        length = length + F.size(f"_{i}")
+    per_column = F.array(
+        *[F.struct(F.lit(c).alias("col"), F.col(f"_{i}").alias("tokens")) for i, c in enumerate(columns)]
+    )
+    # The outer form keeps Spark from tokenising once more in a filter for empty arrays.
+    rows = (
+        tokens.withColumn("length", length)
+        .select("id", "length", F.inline(per_column))
+        .select("id", "length", "col", F.posexplode_outer("tokens").alias("pos", "term"))
+        .filter("term is not null")
+    )
+    if terms is not None or prefixes is not None:
+        wanted = F.col("term").isin(*(terms or ()))
         for prefix in prefixes or ():
-            keep = keep | entry["term"].startswith(prefix)
-        return keep
+            wanted = wanted | F.col("term").startswith(prefix)
+        rows = rows.filter(wanted)
+    return rows.select("term", "id", "col", "pos", "length")
 
-    def entries(column: str) -> Column:
-        found = F.transform(
-            search_tokens(F.coalesce(F.col(column), F.lit(""))),
-            lambda t, i: F.struct(t.alias("term"), F.lit(column).alias("col"), i.alias("pos")),
-        )
-        return found if terms is None and prefixes is None else F.filter(found, wanted)
 
-    return documents.select(
-        F.col(key).alias("id"), F.inline(F.concat(*[entries(c) for c in columns]))
-    ).select("term", "id", "col", "pos")
+def _tokens(column: str) -> Column:
+    return search_tokens(F.coalesce(F.col(column), F.lit("")))
 
 
 def lengths(documents: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Tokens per document, over all indexed columns."""
     total = F.lit(0)
     for c in columns:
-        total = total + F.size(search_tokens(F.coalesce(F.col(c), F.lit(""))))
+        total = total + F.size(_tokens(c))
     return documents.select(F.col(key).alias("id"), total.cast("long").alias("length"))
 
 
@@ -76,18 +83,42 @@ def _in_columns(rows: DataFrame, columns: Sequence[str] | None) -> DataFrame:
 
 def match_all(rows: DataFrame, terms: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
     """Ids of documents with every term. The set per id holds query terms only."""
-    asked = sorted(set(terms))
-    hits = _in_columns(rows, columns).filter(F.col("term").isin(*asked))
-    return (
-        hits.groupBy("id").agg(F.size(F.collect_set("term")).alias("_n"))
-        .filter(F.col("_n") == len(asked)).select("id")
-    )
+    return match_terms(rows, every=terms, columns=columns)
 
 
 def match_any(rows: DataFrame, terms: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
     return _in_columns(rows, columns).filter(F.col("term").isin(*terms)).select("id").distinct()
 
 
+def match_terms(
+    rows: DataFrame,
+    every: Sequence[str] = (),
+    some: Sequence[str] = (),
+    none: Sequence[str] = (),
+    columns: Sequence[str] | None = None,
+) -> DataFrame:
+    """Ids with every term of ``every``, a term of ``some`` if given, and none of ``none``.
+
+    One pass: the terms found per id are judged together. At least one term must
+    be asked for with ``every`` or ``some``.
+    """
+    if not every and not some:
+        raise ValueError("nothing is asked for")
+    asked = [*every, *some, *none]
+    hits = _in_columns(rows, columns).filter(F.col("term").isin(*asked))
+    found = hits.groupBy("id").agg(F.collect_set("term").alias("_t"))
+
+    def listed(terms: Sequence[str]) -> Column:
+        return F.array(*[F.lit(t) for t in sorted(set(terms))]).cast("array<string>")
+
+    keep = F.size(F.array_intersect("_t", listed(every))) == len(set(every))
+    if some:
+        keep = keep & F.arrays_overlap("_t", listed(some))
+    if none:
+        keep = keep & ~F.arrays_overlap("_t", listed(none))
+    return found.filter(keep).select("id")
+
+
 def match_none(ids: DataFrame, rows: DataFrame, terms: Sequence[str]) -> DataFrame:
     """Those of ``ids`` whose document has none of the terms."""
     return ids.join(match_any(rows, terms), "id", "left_anti")
@@ -117,30 +148,33 @@ def match_phrase(rows: DataFrame, phrase: Sequence[str], columns: Sequence[str]
     return starts.filter(F.col("votes") == len(phrase)).select("id").distinct()
 
 
-def _scored(frequencies: DataFrame, document_frequency: DataFrame, doc_lengths: DataFrame) -> DataFrame:
-    """Adds ``part``, the BM25 share of each (document, term)."""
+def _scored(hits: DataFrame, doc_lengths: DataFrame) -> DataFrame:
+    """``(id, term, part)``: the BM25 share of each term in each document."""
+    tf = hits.groupBy("id", "term").agg(
+        F.count(F.lit(1)).alias("tf"), F.max("length").alias("length")
+    )
+    # Counting with the same columns as above lets Spark shuffle the hits only once.
+    present = F.when((F.col("tf") > 0) & (F.col("length") > 0), 1)
+    df = tf.groupBy("term").agg(F.count(present).alias("df"))
     corpus = doc_lengths.agg(
         F.struct(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).alias("s")
     ).scalar()
-    weighted = document_frequency.withColumn("_corpus", corpus).select(
+    weighted = df.withColumn("_corpus", corpus).select(
         "term",
         F.greatest(
             F.log((F.col("_corpus.n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF)
         ).alias("idf"),
         F.col("_corpus.mean").alias("mean"),
     )
-    joined = frequencies.join(weighted, "term").join(doc_lengths, "id")
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / F.col("mean"))
     part = F.col("idf") * F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + norm)
-    return joined.withColumn("part", part)
+    return tf.join(weighted, "term").select("id", "term", part.alias("part"))
 
 
 def bm25(rows: DataFrame, doc_lengths: DataFrame, terms: Sequence[str]) -> DataFrame:
     """``(id, score)`` of documents with any of the terms."""
     hits = rows.filter(F.col("term").isin(*terms))
-    tf = hits.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return _scored(tf, df, doc_lengths).groupBy("id").agg(F.sum("part").alias("score"))
+    return _scored(hits, doc_lengths).groupBy("id").agg(F.sum("part").alias("score"))
 
 
 def bm25_many(rows: DataFrame, doc_lengths: DataFrame, asked: DataFrame) -> DataFrame:
@@ -150,10 +184,8 @@ def bm25_many(rows: DataFrame, doc_lengths: DataFrame, asked: DataFrame) -> Data
     """
     distinct_asked = asked.select("query_id", "term").distinct()
     hits = rows.join(asked.select("term").distinct(), "term", "left_semi")
-    tf = hits.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return (
-        _scored(tf, df, doc_lengths).join(distinct_asked, "term")
+        _scored(hits, doc_lengths).join(distinct_asked, "term")
         .groupBy("query_id", "id").agg(F.sum("part").alias("score"))
     )
 

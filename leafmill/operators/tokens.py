@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.operators.joins import broadcast_if_small
 from leafmill.operators.ordering import GROUP_ROWS, arrange
 
 # The character vocabulary in id order.
@@ -31,14 +32,14 @@ def encode(texts: DataFrame, key: str, text: str, tokens: DataFrame) -> DataFram
     ``pos`` is the place of the character in the text.
     """
     characters = texts.select(key, F.posexplode(F.split(F.col(text), "")).alias("pos", "token"))
-    return characters.join(tokens, "token").select(key, "pos", "id")
+    return characters.join(broadcast_if_small(tokens), "token").select(key, "pos", "id")
 
 
 def decode(
     ids: DataFrame, key: str, tokens: DataFrame, group_rows: int = GROUP_ROWS
 ) -> DataFrame:
     """Texts of ``(key, pos, id)`` rows; unknown ids are dropped."""
-    known = ids.join(tokens, "id")
+    known = ids.join(broadcast_if_small(tokens), "id")
     rows = arrange(known, [key], [F.col("pos")], "rank", group_rows)
     return rows.texts({"text": F.col("token")})
 
@@ -68,7 +69,7 @@ def ctc_decode(
         F.when(best > 0, F.array_position("probs", best) - 1).otherwise(0).cast("int").alias("id"),
     )
     lengths = argmax.groupBy(key).agg(F.count(F.lit(1)).alias("steps"))
-    named = argmax.join(dictionary, "id", "left")
+    named = argmax.join(broadcast_if_small(dictionary), "id", "left")
     emittable = (F.col("id") > 0) & F.col("token").isNotNull()
     usable = named if standard else named.filter(emittable)
     rows = arrange(usable, [key], [F.col("t")], "rank", group_rows).lag({"_last": "id"})

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import first_sentence, sentences, words
+from leafmill.operators.joins import broadcast_if_small
 
 # Built-in definitions by lower-cased word.
 DEFINITIONS = {
@@ -28,8 +29,9 @@ UNKNOWN_AFTER = (
 
 def word_occurrences(pages: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
     """One row per word occurrence, with ``pos`` counting from 0 in its page."""
-    found = pages.select(*keep, words(F.col(text)).alias("_words"))
-    return found.select(*keep, F.posexplode("_words").alias("pos", "word"))
+    # Exploding the expression itself keeps Spark from evaluating it once more in a
+    # filter for non-empty arrays.
+    return pages.select(*keep, F.posexplode(words(F.col(text))).alias("pos", "word"))
 
 
 def word_counts(texts: DataFrame, text: str) -> DataFrame:
@@ -84,42 +86,47 @@ def vocabulary_rollup(occurrences: DataFrame, reviews: DataFrame) -> DataFrame:
     )
 
 
-def _examples(pages: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """First sentence of each wanted (key, word), with the page's other columns.
+def _examples(
+    pages: DataFrame, wanted: DataFrame, keys: Sequence[str], carried: Sequence[str], text: str
+) -> DataFrame:
+    """The first sentence of each wanted word on its page.
 
-    The words wanted of a page travel as one array to the page's row, so a text
-    is shuffled once however many words are looked up in it.
+    ``wanted`` has the page's ``keys``, word and ``carried`` columns. A page's
+    wanted words travel as one array to the page's row, so a text is shuffled
+    once however many words are looked up in it.
     """
-    per_page = wanted.groupBy(key).agg(F.collect_list("word").alias("_wanted"))
-    both = pages.join(per_page, key).withColumn("_parts", sentences(F.col(text)))
-    pairs = F.transform(
+    entry = F.struct("word", *carried)
+    per_page = wanted.groupBy(*keys).agg(F.collect_list(entry).alias("_wanted"))
+    both = pages.join(per_page, list(keys)).withColumn("_parts", sentences(F.col(text)))
+    found = F.transform(
         "_wanted",
-        lambda w: F.struct(w.alias("word"), first_sentence(F.col("_parts"), w).alias("sentence")),
+        lambda w: F.struct(
+            *[w[c].alias(c) for c in ("word", *carried)],
+            first_sentence(F.col("_parts"), w["word"]).alias("sentence"),
+        ),
     )
-    rest = [c for c in pages.columns if c != text]
-    return both.select(*rest, F.inline(pairs))
+    return both.select(*keys, F.inline(found))
 
 
 def first_occurrences(pages: DataFrame, text: str) -> DataFrame:
     """Each word's first place in (book_id, page_number, pos) order, with example.
 
-    ``pages`` has id, book_id, page_number and the text. Within a book the place
-    is packed into one long, so the large first aggregate hashes fixed-width values.
+    ``pages`` has book_id, page_number and the text. Within a book the place is
+    packed into one long, so the large first aggregate hashes fixed-width values.
     """
-    occurrences = word_occurrences(pages, text, ["id", "book_id", "page_number"])
+    page = ["book_id", "page_number"]
+    occurrences = word_occurrences(pages, text, page)
     place = F.shiftleft(F.col("page_number").cast("long"), 32) + F.col("pos")
     per_book = occurrences.groupBy("word", "book_id").agg(F.min(place).alias("place"))
     first = per_book.groupBy("word").agg(F.min(F.struct("book_id", "place")).alias("f"))
-    placed = first.select(
+    wanted = first.select(
         "word",
         F.col("f.book_id").alias("book_id"),
         F.shiftright("f.place", 32).cast("int").alias("page_number"),
         F.col("f.place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos"),
     )
-    keys = pages.select("id", "book_id", "page_number")
-    wanted = placed.join(keys, ["book_id", "page_number"])
-    examples = _examples(pages.select("id", text), wanted, "id", text)
-    return wanted.join(examples, ["id", "word"]).select(
+    found = _examples(pages.select(*page, text), wanted, page, ["pos"], text)
+    return found.select(
         "word", F.col("book_id").alias("source_book"), F.col("page_number").alias("source_page"),
         "pos", F.col("sentence").alias("example_sentence"),
     )
@@ -131,8 +138,8 @@ def concordance(pages: DataFrame, targets: DataFrame, text: str) -> DataFrame:
     Pages and targets meet by equality on the extracted words, never pair by pair.
     """
     found = pages.select("id", F.explode(F.array_distinct(words(F.col(text)))).alias("word"))
-    wanted = found.join(targets.select("word"), "word", "left_semi")
-    return _examples(pages, wanted, "id", text)
+    wanted = found.join(broadcast_if_small(targets.select("word")), "word", "left_semi")
+    return _examples(pages.select("id", text), wanted, ["id"], [], text)
 
 
 def template_definition(word: Column) -> Column:
@@ -146,12 +153,12 @@ def builtin_definition(word: Column) -> Column:
     return F.coalesce(known, template_definition(word))
 
 
-def define_words(
-    asked: DataFrame, cache: DataFrame, generated: Column | None = None
+def add_definitions(
+    rows: DataFrame, cache: DataFrame, generated: Column | None = None
 ) -> DataFrame:
-    """Cached definition of each distinct asked word, else a generated one.
+    """Rows with ``definition``: the cached one of their word, else a generated one.
 
-    ``cache`` has word and definition; only a non-null definition is a hit.
+    ``cache`` has id, word and definition; only a non-null definition is a hit.
     """
     fallback = builtin_definition(F.col("word")) if generated is None else generated
     hits = (
@@ -160,16 +167,20 @@ def define_words(
         .agg(F.min_by("definition", "id").alias("_cached"))
     )
     return (
-        asked.select("word").distinct()
-        .join(hits, "word", "left")
-        .select(
-            "word",
-            F.coalesce("_cached", fallback).alias("definition"),
-            F.col("_cached").isNull().alias("ai_generated"),
-        )
+        rows.join(hits, "word", "left")
+        .withColumn("definition", F.coalesce("_cached", fallback))
+        .withColumn("ai_generated", F.col("_cached").isNull())
+        .drop("_cached")
     )
 
 
+def define_words(
+    asked: DataFrame, cache: DataFrame, generated: Column | None = None
+) -> DataFrame:
+    """``(word, definition, ai_generated)`` of each distinct asked word."""
+    return add_definitions(asked.select("word").distinct(), cache, generated)
+
+
 def definitions_table(spark: SparkSession) -> DataFrame:
     """The built-in dictionary as a table, for joins."""
     return spark.createDataFrame(list(DEFINITIONS.items()), "word string, definition string")

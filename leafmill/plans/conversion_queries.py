@@ -124,7 +124,7 @@ def _letter_counter():
               CASE WHEN length(text) % 7 = 0 THEN 'ValueError: unreadable page' END AS error FROM documents"""
 )
 def conversion_slot(spark: SparkSession, d: str) -> DataFrame:
-    documents = sample_table(spark, d, "documents").select("doc_id", "text")
+    documents = fx.documents(spark, d).select("doc_id", "text")
     outcomes = slots.run_slot(documents, ["doc_id"], _letter_counter, T.LongType())
     return outcomes.withColumn("result", F.coalesce("result", F.lit(-1)))
 
@@ -155,7 +155,7 @@ def _line_engine():
               round(avg(1.0::DOUBLE / (1 + ix)), 6) AS confidence FROM regions WHERE text <> '' GROUP BY doc_id"""
 )
 def recognition_slot(spark: SparkSession, d: str) -> DataFrame:
-    documents = sample_table(spark, d, "documents").select("doc_id", "text")
+    documents = fx.documents(spark, d).select("doc_id", "text")
     regions = slots.recognise_pages(documents, ["doc_id"], _line_engine).filter(
         "status = 'ok' and text is not null"
     )

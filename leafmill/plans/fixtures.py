@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from leafmill.operators.ordering import arrange
 from leafmill.operators.vocabulary import word_occurrences
-from leafmill.sources.tables import sample_table
+from leafmill.sources.tables import sample_table, spread
 
 # Signal features are made with these parameters on the short sample signals.
 SIGNAL = {"rate": 16_000, "window": 32, "hop": 8, "n_mels": 4, "n_fft": 32}
@@ -47,8 +47,16 @@ def books(spark: SparkSession, d: str) -> DataFrame:
 
 def unnumbered_pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages without page numbers, for work that does not look at them."""
-    documents = sample_table(spark, d, "documents")
-    return documents.select(
+    return _as_pages(documents(spark, d))
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents on all cores, for work on their texts."""
+    return spread(sample_table(spark, d, "documents"))
+
+
+def _as_pages(table: DataFrame) -> DataFrame:
+    return table.select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("book_id"),
         F.col("text").alias("ocr_markdown"),
@@ -58,7 +66,9 @@ def unnumbered_pages(spark: SparkSession, d: str) -> DataFrame:
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages numbered in each book by document id."""
-    rows = arrange(unnumbered_pages(spark, d), ["book_id"], [F.col("id")], "page_number")
+    # Numbering shuffles the pages anyway.
+    table = _as_pages(sample_table(spark, d, "documents"))
+    rows = arrange(table, ["book_id"], [F.col("id")], "page_number")
     return rows.df.withColumn("page_number", F.col("page_number").cast("int"))
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from leafmill.operators import layout
-from leafmill.operators.ordering import GROUP_ROWS
+from leafmill.operators.ordering import GROUP_ROWS, has_large_group
 
 
 def assemble_pages(
@@ -16,8 +17,17 @@ def assemble_pages(
     group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """``(page_id, part, markdown, confidence)`` of confident, non-overlapping regions."""
-    kept = layout.suppress(layout.confident(regions, confidence), overlap, page_boxes)
-    texts = layout.page_markdown(kept, group_rows=group_rows)
-    return texts.join(layout.page_confidence(kept, ["page_id"]), "page_id").select(
-        "page_id", "part", "markdown", "confidence"
+    sure = layout.confident(regions, confidence)
+    large = has_large_group(sure, ["page_id"], group_rows)
+    kept = layout.suppress(sure, overlap, page_boxes)
+    scored = F.col("text") != ""
+    texts = layout.page_markdown(
+        kept,
+        large=large,
+        sums={"_sum": F.when(scored, F.col("confidence")), "_lines": scored.cast("int")},
     )
+    # A page has one part unless it is large, and few parts then.
+    page = Window.partitionBy("page_id")
+    lines = F.sum("_lines").over(page)
+    mean = F.when(lines > 0, F.sum("_sum").over(page) / lines).otherwise(F.lit(0.0))
+    return texts.select("page_id", "part", "markdown", mean.alias("confidence"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from leafmill.operators import repeats
+from leafmill.plans import fixtures as fx
 from leafmill.plans.registry import query
 from leafmill.sources.tables import sample_table
 
@@ -52,4 +53,4 @@ def suffix_order(spark: SparkSession, d: str) -> DataFrame:
        GROUP BY passage HAVING count(DISTINCT doc_id) > 1"""
 )
 def repeated_passages(spark: SparkSession, d: str) -> DataFrame:
-    return repeats.repeated_passages(sample_table(spark, d, "documents"), "text", 8)
+    return repeats.repeated_passages(fx.documents(spark, d), "text", 8)

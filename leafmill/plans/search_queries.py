@@ -49,7 +49,7 @@ def search_any(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_DOCS} SELECT id FROM docs WHERE list_contains(ts, 'with') AND NOT list_has_any(ts, ['tion', 'are'])")
 def search_none(spark: SparkSession, d: str) -> DataFrame:
     rows = search.postings(fx.unnumbered_pages(spark, d), "id", TEXT, ["with", "tion", "are"])
-    return search.match_none(search.match_any(rows, ["with"]), rows, ["tion", "are"])
+    return search.match_terms(rows, every=["with"], none=["tion", "are"])
 
 
 @query(f"WITH {_DOCS} SELECT id FROM docs WHERE contains(' ' || list_aggregate(ts, 'string_agg', ' ') || ' ', ' the and the ')")

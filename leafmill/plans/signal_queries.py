@@ -191,7 +191,7 @@ def token_truncation(spark: SparkSession, d: str) -> DataFrame:
 )
 def char_encode(spark: SparkSession, d: str) -> DataFrame:
     encoded = tokens.encode(
-        sample_table(spark, d, "documents"), "doc_id", "text", fx.line_dictionary(spark)
+        fx.documents(spark, d), "doc_id", "text", fx.line_dictionary(spark)
     )
     return encoded.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("tokens"), F.sum("id").alias("id_sum"),
@@ -209,7 +209,7 @@ def char_round_trip(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT count(DISTINCT c) AS size FROM (SELECT unnest(string_split(text, '')) AS c FROM documents)")
 def vocabulary_size(spark: SparkSession, d: str) -> DataFrame:
     """Size of the character vocabulary that the documents themselves make up."""
-    characters = sample_table(spark, d, "documents").select(
+    characters = fx.documents(spark, d).select(
         F.explode(F.split("text", "")).alias("token")
     )
     return tokens.vocabulary_size(characters.distinct())

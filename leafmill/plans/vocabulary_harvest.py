@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.operators.vocabulary import define_words, first_occurrences
+from leafmill.operators.vocabulary import add_definitions, first_occurrences
 
 
 def harvest(pages: DataFrame, text: str, cache: DataFrame) -> DataFrame:
@@ -13,9 +13,7 @@ def harvest(pages: DataFrame, text: str, cache: DataFrame) -> DataFrame:
 
     ``cache`` has id, word and definition of words defined before.
     """
-    found = first_occurrences(pages, text)
-    meanings = define_words(found, cache)
-    return found.join(meanings, "word").select(
+    return add_definitions(first_occurrences(pages, text), cache).select(
         "word", F.col("definition").alias("meaning"), "example_sentence", "source_book",
         "source_page", F.lit(None).cast("string").alias("tags"), "ai_generated",
     )

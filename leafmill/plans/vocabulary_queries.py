@@ -27,7 +27,7 @@ _DOCUMENT_WORDS = """words AS (SELECT doc_id, lower(w) AS word FROM (
         FROM words GROUP BY word"""
 )
 def vocab_counts(spark: SparkSession, d: str) -> DataFrame:
-    return vocabulary.word_counts(sample_table(spark, d, "documents"), "text")
+    return vocabulary.word_counts(fx.documents(spark, d), "text")
 
 
 @query(
@@ -107,7 +107,7 @@ def word_definitions(spark: SparkSession, d: str) -> DataFrame:
 )
 def concordance(spark: SparkSession, d: str) -> DataFrame:
     top = vocab_counts(spark, d).orderBy(F.desc("occurrences"), "word").limit(20)
-    pages = sample_table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    pages = fx.documents(spark, d).select(F.col("doc_id").alias("id"), "text")
     return vocabulary.concordance(pages, top, "text")
 
 
@@ -178,5 +178,5 @@ def _replaced(column: str) -> str:
 
 @query(f"SELECT doc_id, {_replaced('text')} AS html FROM documents")
 def markdown_to_html(spark: SparkSession, d: str) -> DataFrame:
-    documents = sample_table(spark, d, "documents")
+    documents = fx.documents(spark, d)
     return documents.select("doc_id", markdown_html(F.col("text")).alias("html"))

@@ -25,6 +25,16 @@ def memory_catalog(spark: SparkSession, rows: dict[str, list[tuple]] | None = No
     return catalog
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a scan dealt out to all cores if its files give fewer splits.
+
+    For scans followed by costly work per row. Large inputs have more splits than
+    there are cores and are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def sample_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the generated sample tables, a single Parquet file or folder each."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
