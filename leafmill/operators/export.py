@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.session import keep
+
 # Column order of the CSV export, title line of the Markdown one.
 CSV_COLUMNS = ("word", "meaning", "example_sentence", "source_book", "source_page", "tags")
 MARKDOWN_TITLE = "# Vocabulary List\n"
@@ -41,8 +43,11 @@ def json_entry(entries: DataFrame) -> Column:
 
 
 def markdown_lines(entries: DataFrame) -> DataFrame:
-    """The Markdown document as rows in order: title first, then words."""
-    body = entries.select(F.lit(1).alias("_at"), "word", markdown_entry().alias("value"))
+    """The Markdown document as rows in order: title first, then words.
+
+    Entries are kept before the sort, which looks at its input twice.
+    """
+    body = keep(entries.select(F.lit(1).alias("_at"), "word", markdown_entry().alias("value")))
     title = entries.sparkSession.range(1).select(
         F.lit(0).alias("_at"), F.lit(None).cast("string").alias("word"), F.lit(MARKDOWN_TITLE).alias("value")
     )
@@ -62,7 +67,7 @@ def export_vocabulary(entries: DataFrame, form: str, path: str) -> None:
             for c in CSV_COLUMNS
         ]
         (
-            entries.orderBy("word").select(*filled).write.mode("overwrite")
+            keep(entries.select(*filled)).orderBy("word").write.mode("overwrite")
             .option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
         )
     elif form == "json":

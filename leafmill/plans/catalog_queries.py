@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.functions import clock
 from leafmill.functions import documents as docs
 from leafmill.functions.geometry import resized
 from leafmill.functions.text import preview
@@ -672,3 +673,33 @@ def delete_by_book_counts(spark: SparkSession, d: str) -> DataFrame:
 )
 def affected_rows(spark: SparkSession, d: str) -> DataFrame:
     return merge.affected(fx.patch_targets(spark, d), fx.patches(spark, d), "id")
+
+
+_FILES = ("documents", "events", "lineitem", "orders", "pages")
+
+
+@query(
+    "SELECT unnest(["
+    + ", ".join(f"'{n}'" for n in _FILES)
+    + "]) AS name, true AS filled, 'PAR1' AS magic"
+)
+def file_listing(spark: SparkSession, d: str) -> DataFrame:
+    """The sample files themselves, with their first bytes."""
+    found = files.read_files(spark, d, "{" + ",".join(_FILES) + "}.parquet*")
+    return found.groupBy(F.regexp_extract("path", r"/([a-z]+)\.parquet", 1).alias("name")).agg(
+        F.bool_and(F.col("length") > 0).alias("filled"),
+        F.max(F.substring("content", 1, 4).cast("string")).alias("magic"),
+    )
+
+
+@query(
+    """SELECT event_id, epoch(date_trunc('second', ts))::BIGINT AS seconds,
+              strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS stamp FROM events"""
+)
+def epoch_stamps(spark: SparkSession, d: str) -> DataFrame:
+    """Event times as the catalog stores them: whole seconds, and text."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    seconds = clock.epoch_seconds(F.col("ts").cast("timestamp"))
+    return sample_table(spark, d, "events").select("event_id", seconds.alias("seconds")).withColumn(
+        "stamp", clock.stamp(F.col("seconds"))
+    )

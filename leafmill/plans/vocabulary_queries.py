@@ -15,6 +15,7 @@ from leafmill.operators import export, vocabulary
 from leafmill.plans import fixtures as fx
 from leafmill.plans.registry import query
 from leafmill.plans.vocabulary_harvest import harvest
+from leafmill.session import fresh_path
 from leafmill.sources.tables import sample_table
 
 _DOCUMENT_WORDS = """words AS (SELECT doc_id, lower(w) AS word FROM (
@@ -158,6 +159,20 @@ def vocab_export_json(spark: SparkSession, d: str) -> DataFrame:
     ).select("e.word", "e.meaning", "e.example_sentence", "e.source_book", "e.source_page", "fields")
 
 
+@query(
+    f"""WITH {_ENTRIES} SELECT word, coalesce(meaning, '') AS meaning, coalesce(example_sentence, '') AS example_sentence,
+        coalesce(source_book, '') AS source_book, coalesce(source_page, 0)::VARCHAR AS source_page FROM entries""",
+    "fx_pages fx_words",
+)
+def vocab_export_csv_file(spark: SparkSession, d: str) -> DataFrame:
+    """Entries written as CSV files and read back."""
+    path = fresh_path(spark, "export")
+    export.export_vocabulary(_entries(spark, d), "csv", path)
+    back = spark.read.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    columns = ["word", "meaning", "example_sentence", "source_book", "source_page"]
+    return back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in columns])
+
+
 _LABELS = " ".join(f"WHEN {i} THEN {_quoted(v)}" for i, v in enumerate(PART_OF_SPEECH_LABELS.values()))
 
 

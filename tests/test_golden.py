@@ -53,6 +53,8 @@ def test_sentences(spark):
     assert one(spark, pick, t=t, w="here") == "Another sentence here"
     assert one(spark, pick, t=t, w="Test") is None
     assert one(spark, pick, t="甲。　乙に丙！丁", w="丙") == "乙に丙"
+    assert one(spark, pick, t="e.g. this", w="e.g") is None
+    assert one(spark, pick, t="testing! A test", w="test") == "testing"
 
 
 def test_definitions(spark):
