@@ -31,7 +31,7 @@ def first_argmax(scores: Column) -> Column:
 def ranked_tokens(scores: Column) -> Column:
     """Structs (neg, token) from the best score down, smaller token first on ties."""
     pairs = F.transform(scores, lambda s, i: F.struct((-s).alias("neg"), i.alias("token")))
-    return F.array_sort(pairs)
+    return F.sort_array(pairs)
 
 
 def top_k(scores: Column, k: int) -> Column:

@@ -138,9 +138,16 @@ def notes_newest_first(notes_table: DataFrame, limit: int | None = None) -> Data
 
 
 def books_with_pages(books: DataFrame, pages: DataFrame) -> DataFrame:
-    """Every book with its pages; a book without pages keeps one row."""
+    """Every book with its pages; a book without pages keeps one row.
+
+    An outer join cannot split a book with very many pages, as it must see all
+    of them to know that there is one. So books with pages are an inner join,
+    and the others are found from the distinct ids.
+    """
     named = books.select(F.col("id").alias("book_id"), "title", "author", "total_pages")
-    return named.join(pages, "book_id", "left")
+    paged = named.join(pages, "book_id")
+    empty = named.join(pages.select("book_id").distinct(), "book_id", "left_anti")
+    return paged.unionByName(empty, allowMissingColumns=True)
 
 
 def annotation_feeds(highlighted: DataFrame, bookmarked: DataFrame, noted: DataFrame) -> DataFrame:

@@ -263,7 +263,7 @@ def _suppress_small(regions: DataFrame, threshold: float) -> DataFrame:
     """Greedy suppression per page, as a fold over its boxes from best to worst."""
     names = [c for c in regions.columns if c != "page_id"]
     row = F.struct((-F.col("confidence")).alias("_key"), F.col("ix").alias("_tie"), *names)
-    pages = regions.groupBy("page_id").agg(F.array_sort(F.collect_list(row)).alias("_boxes"))
+    pages = regions.groupBy("page_id").agg(F.sort_array(F.collect_list(row)).alias("_boxes"))
 
     def step(kept: Column, box: Column) -> Column:
         hit = F.exists(

@@ -143,7 +143,7 @@ class Arranged:
         """
         part = F.floor((F.col(self.rank) - 1) / part_rows).cast("int")
         row = F.struct(F.col(self.rank).alias("_rank"), *[c.alias(n) for n, c in pieces.items()])
-        rows = F.array_sort(F.collect_list(row))
+        rows = F.sort_array(F.collect_list(row))
         totals = [F.sum(c).alias(n) for n, c in (sums or {}).items()]
         gathered = self.df.groupBy(*self.keys, part.alias("part")).agg(
             rows.alias("_rows"), *totals

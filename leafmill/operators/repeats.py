@@ -71,7 +71,7 @@ def suffix_order(texts: DataFrame, key: str, text: str, longest: int) -> DataFra
             F.array_join(F.slice("_c", i, longest), "").alias("suffix"), (i - 1).alias("pos")
         ),
     )
-    ordered = characters.select(key, F.array_sort(suffixes).alias("_s"))
+    ordered = characters.select(key, F.sort_array(suffixes).alias("_s"))
 
     def shared(a: Column, b: Column) -> Column:
         places = F.sequence(F.lit(1), F.lit(longest))

@@ -55,7 +55,7 @@ def _blocks(samples: DataFrame, window: int, hop: int, block: int) -> DataFrame:
         lambda b: F.col("sample_ix") < (b + 1) * size - hop + window,
     )
     placed = samples.withColumn("block", F.explode(homes))
-    rows = F.array_sort(F.collect_list(F.struct("sample_ix", F.col("sample").cast("double").alias("v"))))
+    rows = F.sort_array(F.collect_list(F.struct("sample_ix", F.col("sample").cast("double").alias("v"))))
     return placed.groupBy("signal_id", "block").agg(rows.alias("_s")).select(
         "signal_id", "block", F.lit(size).alias("size"), F.col("_s.v").alias("samples")
     )

@@ -100,10 +100,10 @@ def transcribe(
     """
     block = F.floor(F.col("frame") / block_frames).alias("block")
     frames = features.groupBy("signal_id", block, "frame").agg(
-        F.array_sort(F.collect_list(F.struct("mel", "value"))).alias("m")
+        F.sort_array(F.collect_list(F.struct("mel", "value"))).alias("m")
     )
     blocks = frames.groupBy("signal_id", "block").agg(
-        F.array_sort(F.collect_list(F.struct("frame", F.col("m.value").alias("v")))).alias("f")
+        F.sort_array(F.collect_list(F.struct("frame", F.col("m.value").alias("v")))).alias("f")
     )
     rows = blocks.select("signal_id", "block", F.col("f.v").alias("features"))
     return run_slot(rows, ["signal_id", "block"], engine, T.StringType())

@@ -20,6 +20,7 @@ def ingest_notes(
     """
 
     def store(batch: DataFrame, number: int) -> None:
+        batch.persist()
         parts = {
             "notes": batch,
             "postings": postings(batch, "id", columns),
@@ -27,5 +28,6 @@ def ingest_notes(
         }
         for name, rows in parts.items():
             rows.write.mode("overwrite").parquet(f"{root}/{name}/batch={number}")
+        batch.unpersist()
 
     run_available(stream, "append", store, checkpoint)

@@ -28,34 +28,34 @@ def live_progress(events: DataFrame) -> DataFrame:
 class ProgressTable:
     """The progress table a stream keeps up to date.
 
-    A batch writes a new version in a folder named by its number; a repeated
-    batch starts from the same version before it, so it cannot count twice.
+    Batch n writes version n from version n - 1, each in its own folder. A
+    repeated batch starts from the same version again, and nothing is remembered
+    between batches but the files, so a restarted stream goes on where it was.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
+    def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark = spark
-        self.path = path or fresh_path(spark, "progress")
-        self.version: int | None = None
+        self.path = path
 
     def read(self) -> DataFrame:
-        if self.version is None:
-            raise RuntimeError("no batch has been written")
-        return self.spark.read.parquet(f"{self.path}/version={self.version}")
+        versions = self.spark.read.parquet(self.path)
+        newest = versions.agg(F.max("version")).scalar()
+        return versions.filter(F.col("version") == newest).drop("version")
 
     def merge(self, changed: DataFrame, number: int) -> None:
-        """Newest row per book of the stored table and the batch; older rows lose."""
+        """Newest row per book of the version before and the batch; older rows lose."""
         rows = changed
-        if self.version is not None and self.version != number:
-            rows = self.read().unionByName(changed)
-        elif self.version == number and number > 0:
+        if number > 0:
             before = self.spark.read.parquet(f"{self.path}/version={number - 1}")
             rows = before.unionByName(changed)
         merged = fold_latest(rows, "book_id", ["newest", "last_processed_page"])
         merged.write.mode("overwrite").parquet(f"{self.path}/version={number}")
-        self.version = number
 
 
-def maintain_progress(events: DataFrame, path: str | None = None) -> DataFrame:
-    table = ProgressTable(events.sparkSession, path)
-    run_available(live_progress(events), "update", table.merge)
+def maintain_progress(
+    events: DataFrame, path: str | None = None, checkpoint: str | None = None
+) -> DataFrame:
+    spark = events.sparkSession
+    table = ProgressTable(spark, path or fresh_path(spark, "progress"))
+    run_available(live_progress(events), "update", table.merge, checkpoint)
     return table.read()
