@@ -8,7 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import geometry
-from leafmill.operators.ordering import GROUP_ROWS, Arranged, arrange, has_large_group
+from leafmill.operators.ordering import (
+    GROUP_ROWS,
+    TEXT_GROUP_ROWS,
+    Arranged,
+    arrange,
+    has_large_group,
+)
 from leafmill.session import keep
 
 # Vertical gap that starts a paragraph.
@@ -187,7 +193,7 @@ def line_texts(
 
 
 def book_document(
-    pages: DataFrame, text: str, part_pages: int = 64, group_rows: int = GROUP_ROWS
+    pages: DataFrame, text: str, part_pages: int = 64, group_rows: int = TEXT_GROUP_ROWS
 ) -> DataFrame:
     """Each book as one document in parts of at most ``part_pages`` pages.
 
@@ -297,6 +303,7 @@ def _suppress_large(regions: DataFrame, threshold: float, tile: float) -> DataFr
         )
     )
     gone = candidates.select("page_id", F.col("ix").alias("worse")).limit(0)
+    rounds = 0
     while not edges.isEmpty():
         pointed = edges.select("page_id", F.col("worse").alias("better")).distinct()
         roots = edges.select("page_id", "better").distinct().join(
@@ -305,6 +312,9 @@ def _suppress_large(regions: DataFrame, threshold: float, tile: float) -> DataFr
         now = edges.join(roots, ["page_id", "better"], "left_semi").select("page_id", "worse").distinct()
         now = keep(now)
         gone = gone.unionByName(now)
+        rounds += 1
+        if rounds % 16 == 0:
+            gone = keep(gone)
         edges = edges.join(now, ["page_id", "worse"], "left_anti").join(
             now.withColumnRenamed("worse", "better"), ["page_id", "better"], "left_anti"
         )
@@ -336,7 +346,7 @@ def suppress(
         return _suppress_small(regions, threshold)
     large = keep(large)
     small_pages = regions.join(large, "page_id", "left_anti")
-    large_pages = regions.join(large, "page_id", "left_semi")
+    large_pages = keep(regions.join(large, "page_id", "left_semi"))
     return _suppress_small(small_pages, threshold).unionByName(
         _suppress_large(large_pages, threshold, tile)
     )

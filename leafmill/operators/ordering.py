@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from leafmill.session import keep
 
 GROUP_ROWS = 1_000_000
+TEXT_GROUP_ROWS = 20_000  # for rows that carry whole texts
 SLICE_ROWS = 65_536
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from leafmill.operators import convert, layout, merge, signal, slots
 from leafmill.plans import fixtures as fx
 from leafmill.plans.registry import query
+from leafmill.plans.signal_queries import _BANK, _FRAMES, _SPECTRUM
 from leafmill.sources.tables import sample_table
 
 _PLAN = """plan AS (SELECT id AS book_id, total_pages, unnest(range(1, total_pages + 1))::INTEGER AS page_number FROM fx_books),
@@ -175,7 +176,13 @@ def _loudest_engine():
     return listen
 
 
-@query()
+@query(
+    f"""WITH {_FRAMES}, {_SPECTRUM}, {_BANK}, loudest AS (SELECT signal_id, frame, (frame // 4)::BIGINT AS block,
+            substring('abcd', arg_max(mel, value)::INTEGER + 1, 1) AS letter FROM logmel GROUP BY signal_id, frame)
+        SELECT signal_id, block, string_agg(letter, '' ORDER BY frame) AS text, 'ok' AS status, 1 AS attempts
+        FROM loudest GROUP BY signal_id, block""",
+    "fx_signal",
+)
 def transcription_slot(spark: SparkSession, d: str) -> DataFrame:
     features = signal.log_mel(fx.samples(spark, d), **fx.SIGNAL)
     return slots.transcribe(features, _loudest_engine, 4).select(

@@ -10,7 +10,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.operators.ordering import arrange
+from leafmill.operators.ordering import TEXT_GROUP_ROWS, arrange
 from leafmill.operators.vocabulary import word_occurrences
 from leafmill.sources.tables import sample_table, spread
 
@@ -68,7 +68,7 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages numbered in each book by document id."""
     # Numbering shuffles the pages anyway.
     table = _as_pages(sample_table(spark, d, "documents"))
-    rows = arrange(table, ["book_id"], [F.col("id")], "page_number")
+    rows = arrange(table, ["book_id"], [F.col("id")], "page_number", TEXT_GROUP_ROWS)
     return rows.df.withColumn("page_number", F.col("page_number").cast("int"))
 
 
