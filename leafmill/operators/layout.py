@@ -124,12 +124,14 @@ def in_reading_order(
         total = F.count(F.lit(1)).over(page)
         voted = regions.withColumn("reading_order", _order(vertical, total - vertical))
     upright = F.col("reading_order") == "Vertical"
-    order = [
-        F.when(upright, -F.col("x1")).otherwise(F.col("y1")),
-        F.when(upright, F.col("y1")).otherwise(F.col("x1")),
-        F.col("ix"),
-    ]
-    return arrange(voted, [key], order, "rank", group_rows, large=large)
+    placed = voted.withColumns(
+        {
+            "_major": F.when(upright, -F.col("x1")).otherwise(F.col("y1")),
+            "_minor": F.when(upright, F.col("y1")).otherwise(F.col("x1")),
+        }
+    )
+    order = [F.col("_major"), F.col("_minor"), F.col("ix")]
+    return arrange(placed, [key], order, "rank", group_rows, large=large)
 
 
 def paragraphs(

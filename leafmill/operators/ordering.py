@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from leafmill.session import keep
@@ -76,24 +76,32 @@ def number_by_range(
 
 @dataclass(frozen=True)
 class Arranged:
-    """Rows with a dense rank (from 1) in column ``rank`` within ``keys``."""
+    """Rows with a dense rank (from 1) in column ``rank`` within ``keys``.
+
+    Plain windows use the ``order`` the rank came from, so rows that are sorted
+    already are not sorted again.
+    """
 
     df: DataFrame
     keys: tuple[str, ...]
     rank: str
     large: bool
     slice_rows: int = SLICE_ROWS
+    order: tuple[Column, ...] = ()
 
     def with_df(self, df: DataFrame) -> Arranged:
         return replace(self, df=df)
 
+    def _window(self) -> WindowSpec:
+        return Window.partitionBy(*self.keys).orderBy(*(self.order or (self.rank,)))
+
     def _slice(self) -> Column:
         return F.floor((F.col(self.rank) - 1) / self.slice_rows)
 
     def lag(self, columns: dict[str, str]) -> Arranged:
         """Add ``new: old`` columns holding the value of the row one rank before."""
         if not self.large:
-            w = Window.partitionBy(*self.keys).orderBy(self.rank)
+            w = self._window()
             return self.with_df(
                 self.df.withColumns({new: F.lag(old).over(w) for new, old in columns.items()})
             )
@@ -110,7 +118,7 @@ class Arranged:
         """Add the sum of ``value`` over all rows up to and including this one."""
         frame = (Window.unboundedPreceding, Window.currentRow)
         if not self.large:
-            w = Window.partitionBy(*self.keys).orderBy(self.rank).rowsBetween(*frame)
+            w = self._window().rowsBetween(*frame)
             return self.with_df(self.df.withColumn(name, F.sum(value).over(w)))
         sliced = keep(self.df.withColumns({"_slice": self._slice(), "_value": value}))
         w = Window.partitionBy(*self.keys, "_slice").orderBy(self.rank).rowsBetween(*frame)
@@ -169,6 +177,8 @@ def arrange(
 ) -> Arranged:
     """Rank rows within ``keys``; ``order`` must be total within a group.
 
+    Give plain columns as ``order`` where lags or totals follow.
+
     ``large`` skips the size check where the caller already made it.
     """
     if large is None:
@@ -178,4 +188,4 @@ def arrange(
     else:
         w = Window.partitionBy(*keys).orderBy(*order)
         numbered = df.withColumn(rank, F.row_number().over(w).cast("long"))
-    return Arranged(numbered, tuple(keys), rank, large, slice_rows)
+    return Arranged(numbered, tuple(keys), rank, large, slice_rows, tuple(order))

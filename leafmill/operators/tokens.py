@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.operators.joins import broadcast_if_small
@@ -75,16 +75,14 @@ def ctc_decode(
     rows = arrange(usable, [key], [F.col("t")], "rank", group_rows).lag({"_last": "id"})
     changed = F.col("_last").isNull() | (F.col("_last") != F.col("id"))
     emitted = rows.df.filter(changed & emittable)
-    texts = rows.with_df(emitted).texts({"text": F.col("token")})
-    scores = emitted.groupBy(key).agg(F.sum("score").alias("_sum"), F.max(F.length("token")).alias("_any"))
-    confidence = F.when(F.col("_any") > 0, F.col("_sum") / F.col("steps")).otherwise(F.lit(0.0))
-    return (
-        lengths.join(texts.drop("rows"), key, "left")
-        .join(scores, key, "left")
-        .select(
-            key,
-            F.coalesce("part", F.lit(0)).alias("part"),
-            F.coalesce("text", F.lit("")).alias("text"),
-            F.coalesce(confidence, F.lit(0.0)).alias("confidence"),
-        )
+    texts = rows.with_df(emitted).texts({"text": F.col("token")}, sums={"_score": F.col("score")})
+    # A line has one part unless it is very long, and few parts then.
+    line = Window.partitionBy(key)
+    written = F.max(F.length("text")).over(line) > 0
+    confidence = F.when(written, F.sum("_score").over(line) / F.col("steps"))
+    return lengths.join(texts, key, "left").select(
+        key,
+        F.coalesce("part", F.lit(0)).alias("part"),
+        F.coalesce("text", F.lit("")).alias("text"),
+        F.coalesce(confidence, F.lit(0.0)).alias("confidence"),
     )
