@@ -20,13 +20,13 @@ def by_key(table: DataFrame, key: str, value: object) -> DataFrame:
 def word_by_text(words: DataFrame, asked: DataFrame) -> DataFrame:
     """For each asked word, the stored row with the smallest id (case-sensitive).
 
-    The smallest id per word is an aggregate, so a word stored very often is
+    The row is found by an aggregate in one pass, so a word stored very often is
     combined before the shuffle.
     """
-    first = words.join(asked.select("word"), "word", "left_semi").groupBy("word").agg(
-        F.min("id").alias("id")
-    )
-    return words.join(first, ["word", "id"], "left_semi")
+    others = [c for c in words.columns if c != "word"]
+    hits = words.join(asked.select("word"), "word", "left_semi")
+    first = hits.groupBy("word").agg(F.min_by(F.struct(*others), "id").alias("_row"))
+    return first.select("word", "_row.*").select(*words.columns)
 
 
 def pages_of_book(pages: DataFrame, book_id: str) -> DataFrame:

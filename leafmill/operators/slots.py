@@ -1,5 +1,6 @@
 """Slots for a caller's function: page recognition, transcription, definitions.
 
+Keep the outcome before using it twice, so that the function runs once per row.
 A function is made once per task by its factory, so that a model loads once. A
 row that fails is tried once more and then skipped with its error on record.
 """

@@ -14,6 +14,7 @@ from leafmill.operators.signal import with_reject_reason
 from leafmill.plans import fixtures as fx
 from leafmill.plans.registry import query
 from leafmill.schemas import ANNOTATION_TYPES
+from leafmill.session import keep
 from leafmill.sources import files
 from leafmill.sources.tables import sample_table
 
@@ -103,7 +104,7 @@ def generated_words(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_STORED_WORDS} SELECT DISTINCT word FROM stored WHERE contains(word, 'tion') OR starts_with(word, 'the')", "fx_words")
 def word_search_box(spark: SparkSession, d: str) -> DataFrame:
-    stored = _stored_words(spark, d).select("word")
+    stored = keep(_stored_words(spark, d).select("word").distinct())
     inside = catalog.words_matching(stored, "tion")
     leading = catalog.words_matching(stored, "the", prefix=True)
     return inside.unionByName(leading).distinct()

@@ -10,6 +10,7 @@ from leafmill.operators import convert, layout, merge, signal, slots
 from leafmill.plans import fixtures as fx
 from leafmill.plans.registry import query
 from leafmill.plans.signal_queries import _BANK, _FRAMES, _SPECTRUM
+from leafmill.session import keep
 from leafmill.sources.tables import sample_table
 
 _PLAN = """plan AS (SELECT id AS book_id, total_pages, unnest(range(1, total_pages + 1))::INTEGER AS page_number FROM fx_books),
@@ -157,9 +158,9 @@ def _line_engine():
 )
 def recognition_slot(spark: SparkSession, d: str) -> DataFrame:
     documents = fx.documents(spark, d).select("doc_id", "text")
-    regions = slots.recognise_pages(documents, ["doc_id"], _line_engine).filter(
-        "status = 'ok' and text is not null"
-    )
+    # What an engine found is kept, so that it runs once per page.
+    found = keep(slots.recognise_pages(documents, ["doc_id"], _line_engine))
+    regions = found.filter("status = 'ok' and text is not null")
     scored = layout.page_confidence(regions, ["doc_id"])
     sizes = regions.groupBy("doc_id").agg(F.count(F.lit(1)).alias("regions"), F.max("x2").alias("width"))
     return sizes.join(scored, "doc_id").select(

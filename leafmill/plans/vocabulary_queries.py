@@ -15,7 +15,7 @@ from leafmill.operators import export, vocabulary
 from leafmill.plans import fixtures as fx
 from leafmill.plans.registry import query
 from leafmill.plans.vocabulary_harvest import harvest
-from leafmill.session import fresh_path
+from leafmill.session import fresh_path, keep
 from leafmill.sources.tables import sample_table
 
 _DOCUMENT_WORDS = """words AS (SELECT doc_id, lower(w) AS word FROM (
@@ -107,7 +107,8 @@ def word_definitions(spark: SparkSession, d: str) -> DataFrame:
         FROM hits h JOIN documents d ON d.doc_id = h.doc_id"""
 )
 def concordance(spark: SparkSession, d: str) -> DataFrame:
-    top = vocab_counts(spark, d).orderBy(F.desc("occurrences"), "word").limit(20)
+    # Kept, as the size check and the join both read it.
+    top = keep(vocab_counts(spark, d).orderBy(F.desc("occurrences"), "word").limit(20))
     pages = fx.documents(spark, d).select(F.col("doc_id").alias("id"), "text")
     return vocabulary.concordance(pages, top, "text")
 
