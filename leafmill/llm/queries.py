@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, exact_dedup, packing, warc
+from leafmill.llm import bpe, exact_dedup, ngram_join, packing, quality, warc
 from leafmill.sources.tables import sample_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,17 @@ def op9_warc(spark: SparkSession, d: str) -> DataFrame:
         .withColumn("payload_digest", F.col("digest"))
     )
     return responses.select(columns).unionByName(revisits.select(columns))
+
+
+@query()
+def op5_ngram_join(spark: SparkSession, d: str) -> DataFrame:
+    return ngram_join.link(sample_table(spark, d, "documents"))
+
+
+@query()
+def op6_quality(spark: SparkSession, d: str) -> DataFrame:
+    found = quality.rate(sample_table(spark, d, "documents"), sample_table(spark, d, "labels"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "stratum", *[f"max_{rule}" for rule in quality.RULES],
+    )
