@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, exact_dedup, ngram_join, packing, quality, warc
+from leafmill.llm import bpe, exact_dedup, ngram_join, packing, quality, substring_dedup, warc
 from leafmill.sources.tables import sample_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,9 @@ def op6_quality(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "stratum", *[f"max_{rule}" for rule in quality.RULES],
     )
+
+
+@query()
+def op8_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(sample_table(spark, d, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
