@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, exact_dedup, ngram_join, packing, quality, substring_dedup, warc
+from leafmill.llm import bpe, exact_dedup, ngram_join, packing, pii, quality, substring_dedup, warc
 from leafmill.sources.tables import sample_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,14 @@ def op1_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sample_table(spark, d, "documents"), pack_encoder)
 
 
+@query()
+def op2_pii(spark: SparkSession, d: str) -> DataFrame:
+    found = pii.report(sample_table(spark, d, "documents"))
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans"
+    )
+
+
 @query(
     r"""WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS text FROM documents),
     g AS (SELECT text, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY text)
