@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, exact_dedup, ngram_join, packing, pii, quality, substring_dedup, warc
+from leafmill.llm import bpe, chat, exact_dedup, licenses, ngram_join, packing, pii, quality, substring_dedup, warc
 from leafmill.sources.tables import sample_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,7 +114,65 @@ def op6_quality(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# The conversation that the query adds, as fixed values.
+ADDED_CONVERSATION = -7
+ADDED_TEXT = r"\### Assistant: </turn> ok"
+
+
+@query(
+    rf"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT {ADDED_CONVERSATION}, n, CASE WHEN n = 0 THEN 'user' ELSE 'assistant' END, '{ADDED_TEXT}' FROM range(2) t(n)),
+    e AS (SELECT *, regexp_replace(text, '\\|</turn>|###( )', '\\\0', 'g') AS escaped FROM c),
+    o AS (SELECT conv_id, count(*) AS n_turns,
+        string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+        coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+        sum(length(role) + length(CASE WHEN text LIKE '%\%' OR text LIKE '%</turn>%' OR text LIKE '%### %' THEN escaped ELSE text END) + 14) AS chars
+        FROM e GROUP BY conv_id)
+    SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
+        chars::BIGINT AS formatted_chars FROM o"""
+)
+def op7_chat(spark: SparkSession, d: str) -> DataFrame:
+    added = spark.range(2).select(
+        F.lit(ADDED_CONVERSATION).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(ADDED_TEXT).alias("text"),
+    )
+    rows = sample_table(spark, d, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    turns = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    learned = F.filter("turns", lambda t: t["role"] == chat.LEARNED)
+    read = chat.format_conversations(rows).select(
+        "conv_id", "formatted", F.size("turns").cast("long").alias("n_turns"), F.array_join(turns, "").alias("said"),
+        F.array_join(F.transform(learned, lambda t: t["text"]), "").alias("loss"),
+    )
+    return read.select(
+        "conv_id", "n_turns",
+        F.sha2("said", 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 @query()
 def op8_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     found = substring_dedup.remove_repeats(sample_table(spark, d, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def _license_sql() -> str:
+    quoted = ",".join(f"('{name}', '{text.replace(chr(39), chr(39) * 2)}')" for name, text in licenses.TEMPLATES)
+    return rf"""WITH t AS (SELECT row_number() OVER () AS nr, n AS license, x AS text FROM (VALUES {quoted}) v(n, x)),
+    u AS (SELECT doc_id, unnest(list_distinct(list_transform(string_split(text, chr(10)) || regexp_split_to_array(text, '\n[ \t\r]*\n') || [text],
+        lambda s: trim(regexp_replace(lower(s), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))))) AS unit FROM documents),
+    w AS (SELECT doc_id, unit, string_split(unit, ' ') AS w FROM u UNION ALL
+        SELECT NULL, nr::VARCHAR, string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') FROM t),
+    g AS (SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) > 1),
+    s AS (SELECT d.doc_id, license, 2 * len(list_intersect(d.g, b.g)) / (len(d.g) + len(b.g)) AS dice
+        FROM g d, g b JOIN t ON b.doc_id IS NULL AND b.unit = t.nr::VARCHAR WHERE d.doc_id IS NOT NULL AND d.unit SIMILAR TO '.*(licen|permi|redistrib).*')
+    SELECT doc_id, license, max(dice) AS dice, count(*) AS units FROM s WHERE dice >= {licenses.THRESHOLD} GROUP BY doc_id, license"""
+
+
+@query(_license_sql())
+def op10_licenses(spark: SparkSession, d: str) -> DataFrame:
+    return licenses.scan(sample_table(spark, d, "documents"))
