@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,16 +19,15 @@ def by_key(table: DataFrame, key: str, value: object) -> DataFrame:
     return table.filter(F.col(key) == value)
 
 
-def word_by_text(words: DataFrame, asked: DataFrame) -> DataFrame:
-    """For each asked word, the stored row with the smallest id (case-sensitive).
+def word_by_text(words: DataFrame, asked: DataFrame, order: Sequence[str] = ("id",)) -> DataFrame:
+    """For each asked word, the stored row that is first in ``order`` (case-sensitive).
 
-    The row is found by an aggregate in one pass, so a word stored very often is
-    combined before the shuffle.
+    Rows are reduced to one per word first, on the map side already; only those meet the asked words.
     """
     others = [c for c in words.columns if c != "word"]
-    hits = words.join(asked.select("word"), "word", "left_semi")
-    first = hits.groupBy("word").agg(F.min_by(F.struct(*others), "id").alias("_row"))
-    return first.select("word", "_row.*").select(*words.columns)
+    first = words.groupBy("word").agg(F.min_by(F.struct(*others), F.struct(*order)).alias("_row"))
+    hits = first.join(asked.select("word"), "word", "left_semi")
+    return hits.select("word", "_row.*").select(*words.columns)
 
 
 def pages_of_book(pages: DataFrame, book_id: str) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.operators.ordering import GROUP_ROWS, arrange
 
-# Pages per batch; status a book may move to from each status.
+# Fixed value: pages per batch.
 BATCH_PAGES = 10
+# Usual steps from each status; stored progress may hold any other.
 NEXT_STATUS = {
     "pending": ("pending", "processing", "failed"),
     "processing": ("processing", "completed", "failed"),
@@ -62,17 +65,20 @@ def sampled_progress(plan: DataFrame, every: int = BATCH_PAGES) -> DataFrame:
 
 
 def progress_transitions(
-    log: DataFrame, key: str = "book_id", group_rows: int = GROUP_ROWS
+    log: DataFrame,
+    key: str = "book_id",
+    group_rows: int = GROUP_ROWS,
+    steps: Mapping[str, Sequence[str]] = NEXT_STATUS,
 ) -> DataFrame:
     """Log rows with the status before (``pending`` at first) and whether the step is allowed.
 
-    ``log`` has the key, updated_at, seq and status.
+    ``log`` has the key, updated_at, seq and status; ``steps`` names the statuses that may follow each.
     """
     order = [F.col("updated_at"), F.col("seq")]
     rows = arrange(log, [key], order, "step", group_rows).lag({"_before": "status"})
     before = F.coalesce("_before", F.lit("pending"))
     pairs = [
-        x for s, nexts in NEXT_STATUS.items()
+        x for s, nexts in steps.items()
         for x in (F.lit(s), F.array(*[F.lit(n) for n in nexts]))
     ]
     allowed = F.array_contains(F.create_map(*pairs)[before], F.col("status"))

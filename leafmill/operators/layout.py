@@ -14,6 +14,7 @@ from leafmill.operators.ordering import (
     Arranged,
     arrange,
     has_large_group,
+    match,
 )
 from leafmill.session import keep
 
@@ -89,9 +90,10 @@ def page_confidence(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def reading_votes(regions: DataFrame, key: str = "page_id") -> DataFrame:
-    """Reading order of each page by majority; a tie is ``Mixed``."""
+    """Reading order of each page by majority; a tie is ``Mixed``. An unknown direction counts as horizontal."""
+    upright = F.coalesce("is_vertical", F.lit(False))
     votes = regions.groupBy(key).agg(
-        F.count_if("is_vertical").alias("vertical"), F.count_if(~F.col("is_vertical")).alias("horizontal")
+        F.count_if(upright).alias("vertical"), F.count_if(~upright).alias("horizontal")
     )
     return votes.withColumn("reading_order", _order(F.col("vertical"), F.col("horizontal")))
 
@@ -117,10 +119,10 @@ def in_reading_order(
     if large is None:
         large = has_large_group(regions, [key], group_rows)
     if large:
-        voted = regions.join(reading_votes(regions, key).select(key, "reading_order"), key)
+        voted = match(regions, reading_votes(regions, key).select(key, "reading_order"), [key], "inner")
     else:
         page = Window.partitionBy(key)
-        vertical = F.sum(F.col("is_vertical").cast("int")).over(page)
+        vertical = F.count_if(F.coalesce("is_vertical", F.lit(False))).over(page)
         total = F.count(F.lit(1)).over(page)
         voted = regions.withColumn("reading_order", _order(vertical, total - vertical))
     upright = F.col("reading_order") == "Vertical"

@@ -115,7 +115,10 @@ class Arranged:
         return self.with_df(lagged.filter(F.col("_slice") == home).drop("_slice"))
 
     def running_total(self, value: Column, name: str) -> Arranged:
-        """Add the sum of ``value`` over all rows up to and including this one."""
+        """Add the sum of ``value`` over all rows up to and including this one.
+
+        Nulls add nothing; the sum is null until the first value.
+        """
         frame = (Window.unboundedPreceding, Window.currentRow)
         if not self.large:
             w = self._window().rowsBetween(*frame)
@@ -128,13 +131,13 @@ class Arranged:
         carried = (
             sliced.groupBy(*self.keys, "_slice")
             .agg(F.sum("_value").alias("_sum"))
-            .withColumn("_carry", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+            .withColumn("_carry", F.sum("_sum").over(earlier))
             .drop("_sum")
         )
         local = sliced.withColumn("_local", F.sum("_value").over(w))
         total = match(local, carried, [*self.keys, "_slice"], "inner")
         return self.with_df(
-            total.withColumn(name, F.col("_local") + F.col("_carry")).drop(
+            total.withColumn(name, F.coalesce(F.col("_local") + F.col("_carry"), "_local", "_carry")).drop(
                 "_slice", "_value", "_local", "_carry"
             )
         )

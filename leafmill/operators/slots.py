@@ -1,64 +1,86 @@
 """Slots for a caller's function: page recognition, transcription, definitions.
 
 Keep the outcome before using it twice, so that the function runs once per row.
-A function is made once per task by its factory, so that a model loads once. A
-row that fails is tried once more and then skipped with its error on record.
+A function is made once per task by its factory, so that a model loads once. It
+is given a list of rows and returns a list of results. If it fails, its rows are
+given to it one by one; a row that fails alone is tried once more and then
+skipped with its error on record.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 ATTEMPTS = 2
+BATCH_ROWS = 64
 
 Row = dict[str, object]
+Outcome = tuple[object, str, int, str | None]
+
+
+def _alone(function: Callable[[list[Row]], list[object]], row: Row) -> Outcome:
+    error = None
+    for attempt in range(1, ATTEMPTS + 1):
+        try:
+            return function([row])[0], "ok", attempt, None
+        except Exception as failure:  # any failure of a caller's function
+            error = f"{type(failure).__name__}: {failure}"
+    return None, "skipped", ATTEMPTS, error
+
+
+def _outcomes(function: Callable[[list[Row]], list[object]], rows: list[Row]) -> list[Outcome]:
+    if len(rows) > 1:
+        try:
+            results = function(rows)
+            if len(results) == len(rows):
+                return [(value, "ok", 1, None) for value in results]
+        except Exception:  # its rows are tried one by one
+            pass
+    return [_alone(function, row) for row in rows]
 
 
 def run_slot(
     rows: DataFrame,
     keys: Sequence[str],
-    factory: Callable[[], Callable[[Row], object]],
+    factory: Callable[[], Callable[[list[Row]], list[object]]],
     result: T.DataType,
+    batch_rows: int = BATCH_ROWS,
 ) -> DataFrame:
     """``keys`` with ``result``, ``status`` (ok or skipped), ``attempts`` and ``error``.
 
-    Every input row gives one output row under its own key, failed ones too.
+    Every input row gives one output row under its own key, failed ones too. Keys
+    are passed through untouched; the function sees at most ``batch_rows`` rows,
+    each a dict of plain values with None for null. A list of the wrong length
+    counts as a failure of the batch.
     """
-    key_fields = [rows.schema[k] for k in keys]
     schema = T.StructType(
         [
-            *key_fields,
+            *[rows.schema[k] for k in keys],
             T.StructField("result", result),
             T.StructField("status", T.StringType()),
             T.StructField("attempts", T.IntegerType()),
             T.StructField("error", T.StringType()),
         ]
     )
+    types = [to_arrow_type(result), pa.string(), pa.int32(), pa.string()]
     names = schema.names
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = factory()
-        for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                value, error, attempt = None, None, 0
-                while attempt < ATTEMPTS:
-                    attempt += 1
-                    try:
-                        value, error = function(row), None
-                        break
-                    except Exception as failure:  # any failure of a caller's function
-                        error = f"{type(failure).__name__}: {failure}"
-                status = "ok" if error is None else "skipped"
-                out.append([*[row[k] for k in keys], value, status, attempt, error])
-            yield pd.DataFrame(out, columns=names, dtype=object)
-
-    return rows.mapInPandas(run, schema)
+        for whole in batches:
+            for start in range(0, whole.num_rows, batch_rows):
+                batch = whole.slice(start, batch_rows)
+                columns = zip(*_outcomes(function, batch.to_pylist()))
+                out = [pa.array(list(c), t) for c, t in zip(columns, types)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], *out], names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def split_outcomes(outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -81,7 +103,7 @@ REGION = T.StructType(
 
 
 def recognise_pages(
-    pages: DataFrame, keys: Sequence[str], engine: Callable[[], Callable[[Row], list[Row]]]
+    pages: DataFrame, keys: Sequence[str], engine: Callable[[], Callable[[list[Row]], list[list[Row]]]]
 ) -> DataFrame:
     """Regions an engine finds on each page; skipped pages keep a row without region."""
     outcomes = run_slot(pages, keys, engine, T.ArrayType(REGION))
@@ -90,11 +112,11 @@ def recognise_pages(
 
 
 def transcribe(
-    features: DataFrame, engine: Callable[[], Callable[[Row], str]], block_frames: int = 3_000
+    features: DataFrame, engine: Callable[[], Callable[[list[Row]], list[str]]], block_frames: int = 3_000
 ) -> DataFrame:
     """Texts an engine gives for blocks of log-mel frames.
 
-    ``features`` has (signal_id, frame, mel, value). The engine sees a row with
+    ``features`` has (signal_id, frame, mel, value). The engine sees rows with
     ``features``: frames in order, each a list of mel values. A block has at most
     ``block_frames`` frames (30 seconds at the usual hop), so a long signal is
     many rows.
@@ -110,15 +132,9 @@ def transcribe(
     return run_slot(rows, ["signal_id", "block"], engine, T.StringType())
 
 
-def definition_slot(
-    factory: Callable[[], Callable[[str, str | None], str]],
-) -> Callable[[Column, Column], Column]:
-    """A column function (word, context) -> definition backed by a caller's engine."""
-
-    @F.pandas_udf(T.StringType())
-    def define(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        engine = factory()
-        for words, contexts in batches:
-            yield pd.Series([engine(w, c) for w, c in zip(words, contexts)])
-
-    return define
+def define(
+    words: DataFrame, keys: Sequence[str], engine: Callable[[], Callable[[list[Row]], list[str]]]
+) -> DataFrame:
+    """Definitions an engine gives for rows with ``word`` and ``context``, with retry and skip."""
+    outcomes = run_slot(words, keys, engine, T.StringType())
+    return outcomes.withColumnRenamed("result", "definition")

@@ -36,19 +36,19 @@ def book_by_id(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """
-    WITH stored AS (SELECT word, id * 4294967296 + pos AS id FROM fx_words),
+    WITH stored AS (SELECT word, id, pos FROM fx_words),
     asked AS (SELECT DISTINCT lower(w) AS word FROM (
         SELECT unnest(regexp_split_to_array(text, '\\s+')) AS w FROM benchmark)
         WHERE strlen(w) > 2 AND regexp_full_match(w, '\\p{L}+'))
-    SELECT s.word, min(s.id) AS id FROM stored s JOIN asked USING (word) GROUP BY s.word""",
+    SELECT word, id, pos FROM (SELECT s.*, row_number() OVER (PARTITION BY s.word ORDER BY s.id, s.pos) AS n
+        FROM stored s JOIN asked USING (word)) WHERE n = 1""",
     "fx_words",
 )
 def word_lookup(spark: SparkSession, d: str) -> DataFrame:
-    stored = fx.word_occurrences(fx.unnumbered_pages(spark, d), "ocr_text_plain", ["id"]).select(
-        "word", (F.shiftleft("id", 32) + F.col("pos")).alias("id")
-    )
+    stored = fx.word_occurrences(fx.unnumbered_pages(spark, d), "ocr_text_plain", ["id"])
+    stored = stored.select("word", "id", "pos")
     asked = fx.word_occurrences(sample_table(spark, d, "benchmark"), "text", []).select("word").distinct()
-    return catalog.word_by_text(stored, asked)
+    return catalog.word_by_text(stored, asked, ["id", "pos"])
 
 
 @query("SELECT id, page_number, ocr_markdown FROM fx_pages WHERE book_id = 'src7'", "fx_pages")
@@ -676,20 +676,18 @@ def affected_rows(spark: SparkSession, d: str) -> DataFrame:
     return merge.affected(fx.patch_targets(spark, d), fx.patches(spark, d), "id")
 
 
-_FILES = ("documents", "events", "lineitem", "orders", "pages")
+_TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages "
+    "benchmark labels conversations"
+).split()
 
 
-@query(
-    "SELECT unnest(["
-    + ", ".join(f"'{n}'" for n in _FILES)
-    + "]) AS name, true AS filled, 'PAR1' AS magic"
-)
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) > 0 AS filled FROM {t}" for t in _TABLES))
 def file_listing(spark: SparkSession, d: str) -> DataFrame:
-    """The sample files themselves, with their first bytes."""
-    found = files.read_files(spark, d, "{" + ",".join(_FILES) + "}.parquet*")
+    """The stored tables by the files that hold them, a single file or a folder of them each."""
+    found = files.find_files(spark, d, r"/[a-z]+\.parquet(/[^/]*\.parquet)?$")
     return found.groupBy(F.regexp_extract("path", r"/([a-z]+)\.parquet", 1).alias("name")).agg(
-        F.bool_and(F.col("length") > 0).alias("filled"),
-        F.max(F.substring("content", 1, 4).cast("string")).alias("magic"),
+        F.bool_or(F.col("length") > 0).alias("filled")
     )
 
 

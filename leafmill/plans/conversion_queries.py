@@ -104,17 +104,18 @@ def throughput(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _letter_counter():
-    """A function that fails on some texts always and on some at the first try."""
+    """A function that fails on some texts always and on some at the first try alone."""
     tried = set()
 
-    def count(row):
-        size = len(row["text"])
-        if size % 7 == 0:
+    def count(rows):
+        sizes = [len(row["text"]) for row in rows]
+        if any(size % 7 == 0 for size in sizes):
             raise ValueError("unreadable page")
-        if size % 5 == 0 and row["doc_id"] not in tried:
-            tried.add(row["doc_id"])
-            raise OSError("busy")
-        return sum(c.isascii() for c in row["text"])
+        if any(size % 5 == 0 for size in sizes):
+            if len(rows) > 1 or rows[0]["doc_id"] not in tried:
+                tried.update(row["doc_id"] for row in rows if len(rows) == 1)
+                raise OSError("busy")
+        return [len(row["text"].encode("ascii", "ignore")) for row in rows]
 
     return count
 
@@ -134,8 +135,10 @@ def conversion_slot(spark: SparkSession, d: str) -> DataFrame:
 def _line_engine():
     """Stands in for page recognition: every non-empty line is a region."""
 
-    def find(row):
-        lines = row["text"].split("\n")
+    def find(rows):
+        return [page(row["text"].split("\n")) for row in rows]
+
+    def page(lines):
         if len(lines) > 60:
             raise ValueError("page too dense")
         return [
@@ -171,8 +174,11 @@ def recognition_slot(spark: SparkSession, d: str) -> DataFrame:
 def _loudest_engine():
     """Stands in for transcription: a letter per frame for its strongest filter."""
 
-    def listen(row):
-        return "".join("abcd"[max(range(4), key=lambda m: frame[m])] for frame in row["features"])
+    def letter(frame):
+        return "abcd"[max(range(4), key=lambda m: frame[m])]
+
+    def listen(rows):
+        return ["".join(map(letter, row["features"])) for row in rows]
 
     return listen
 
@@ -192,15 +198,24 @@ def transcription_slot(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _short_definer():
-    def define(word, context):
-        return f"{word}: used in {context}"
+    """Stands in for a definition engine; it knows no words for copper."""
+
+    def define(rows):
+        if any("copper" in row["word"] or row["key"] % 11 == 0 for row in rows):
+            raise LookupError("no entry")
+        return [f"{row['word']}: used in {row['context']}" for row in rows]
 
     return define
 
 
-@query("SELECT p_partkey, p_name || ': used in ' || p_type AS definition FROM part")
+@query(
+    """SELECT p_partkey, CASE WHEN ok THEN p_name || ': used in ' || p_type END AS definition,
+              CASE WHEN ok THEN 'ok' ELSE 'skipped' END AS status, CASE WHEN ok THEN 1 ELSE 2 END AS attempts,
+              CASE WHEN NOT ok THEN 'LookupError: no entry' END AS error
+       FROM (SELECT *, NOT contains(p_name, 'copper') AND p_partkey % 11 <> 0 AS ok FROM part)"""
+)
 def definition_slot(spark: SparkSession, d: str) -> DataFrame:
-    define = slots.definition_slot(_short_definer)
-    return sample_table(spark, d, "part").select(
-        "p_partkey", define(F.col("p_name"), F.col("p_type")).alias("definition")
+    words = sample_table(spark, d, "part").select(
+        F.col("p_partkey"), F.col("p_partkey").alias("key"), F.col("p_name").alias("word"), F.col("p_type").alias("context")
     )
+    return slots.define(words, ["p_partkey"], _short_definer)

@@ -138,20 +138,20 @@ def paragraphs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {_VOTES.format('fx_regions')}, {_RANKED.format('fx_regions')}, {_MARKDOWN}
-        SELECT page_id, markdown FROM markdowns""",
+        SELECT page_id, 0 AS part, markdown FROM markdowns""",
     "fx_regions",
 )
 def page_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return layout.page_markdown(fx.regions(spark, d)).select("page_id", "markdown")
+    return layout.page_markdown(fx.regions(spark, d)).select("page_id", "part", "markdown")
 
 
 @query(
-    """SELECT page_id, string_agg(text, chr(10) ORDER BY ix) AS markdown, string_agg(text, ' ' ORDER BY ix) AS plain_text
+    """SELECT page_id, 0 AS part, string_agg(text, chr(10) ORDER BY ix) AS markdown, string_agg(text, ' ' ORDER BY ix) AS plain_text
        FROM fx_regions GROUP BY page_id""",
     "fx_regions",
 )
 def line_texts(spark: SparkSession, d: str) -> DataFrame:
-    return layout.line_texts(fx.regions(spark, d)).select("page_id", "markdown", "plain_text")
+    return layout.line_texts(fx.regions(spark, d)).select("page_id", "part", "markdown", "plain_text")
 
 
 @query(
@@ -205,13 +205,13 @@ def nms(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH RECURSIVE sure AS (SELECT * FROM fx_regions WHERE confidence > 0.92), {_kept('sure')},
         left_over AS (SELECT s.* FROM sure s JOIN survivors k ON k.page_id = s.page_id AND k.ix = s.ix),
         {_VOTES.format('left_over')}, {_RANKED.format('left_over')}, {_MARKDOWN}
-        SELECT m.page_id, m.markdown, round(c.confidence, 6) AS confidence FROM markdowns m
+        SELECT m.page_id, 0 AS part, m.markdown, round(c.confidence, 6) AS confidence FROM markdowns m
         JOIN (SELECT page_id, avg(confidence) AS confidence FROM left_over GROUP BY page_id) c ON c.page_id = m.page_id""",
     "fx_regions",
 )
 def assembled_pages(spark: SparkSession, d: str) -> DataFrame:
     pages = assemble_pages(fx.regions(spark, d), 0.92, 0.5)
-    return pages.select("page_id", "markdown", F.round("confidence", 6).alias("confidence"))
+    return pages.select("page_id", "part", "markdown", F.round("confidence", 6).alias("confidence"))
 
 
 @query(
@@ -219,7 +219,7 @@ def assembled_pages(spark: SparkSession, d: str) -> DataFrame:
        steps AS (SELECT line_id, t, list_position(p, list_max(p)) - 1 AS id, list_max(p) AS score FROM best),
        usable AS (SELECT *, lag(id) OVER (PARTITION BY line_id ORDER BY t) AS last FROM steps WHERE id > 0 AND score > 0),
        emitted AS (SELECT * FROM usable WHERE last IS NULL OR last <> id)
-       SELECT s.line_id, coalesce(string_agg(substring('{dictionary}', e.id::INTEGER + 1, 1), '' ORDER BY e.t), '') AS text,
+       SELECT s.line_id, 0 AS part, coalesce(string_agg(substring('{dictionary}', e.id::INTEGER + 1, 1), '' ORDER BY e.t), '') AS text,
               round(coalesce(sum(e.score), 0) / max(s.steps), 6) AS confidence
        FROM (SELECT line_id, count(*) AS steps FROM steps GROUP BY line_id) s
        LEFT JOIN emitted e ON e.line_id = s.line_id GROUP BY s.line_id""".replace(
@@ -231,4 +231,4 @@ def ctc_decode(spark: SparkSession, d: str) -> DataFrame:
     from leafmill.operators.tokens import ctc_decode as decode
 
     lines = decode(fx.decoding_steps(spark, d), fx.line_dictionary(spark))
-    return lines.select("line_id", "text", F.round("confidence", 6).alias("confidence"))
+    return lines.select("line_id", "part", "text", F.round("confidence", 6).alias("confidence"))

@@ -199,11 +199,11 @@ def char_encode(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("SELECT page_id, regexp_replace(url, '[^A-Za-z0-9_+]', '', 'g') AS text FROM pages")
+@query("SELECT page_id, 0 AS part, regexp_replace(url, '[^A-Za-z0-9_+]', '', 'g') AS text FROM pages")
 def char_round_trip(spark: SparkSession, d: str) -> DataFrame:
     known = fx.line_dictionary(spark)
     encoded = tokens.encode(sample_table(spark, d, "pages"), "page_id", "url", known)
-    return tokens.decode(encoded, "page_id", known).select("page_id", "text")
+    return tokens.decode(encoded, "page_id", known).select("page_id", "part", "text")
 
 
 @query("SELECT count(DISTINCT c) AS size FROM (SELECT unnest(string_split(text, '')) AS c FROM documents)")

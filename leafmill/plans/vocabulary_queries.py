@@ -101,16 +101,19 @@ def word_definitions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_DOCUMENT_WORDS}, top AS (SELECT word FROM words GROUP BY word ORDER BY count(*) DESC, word LIMIT 20),
-        hits AS (SELECT DISTINCT doc_id, word FROM words WHERE word IN (SELECT word FROM top))
+    f"""WITH {_DOCUMENT_WORDS}, asked AS (SELECT DISTINCT lower(w) AS word FROM (
+            SELECT unnest(regexp_split_to_array(text, '\\s+')) AS w FROM benchmark)
+            WHERE strlen(w) > 2 AND regexp_full_match(w, '\\p{{L}}+')),
+        hits AS (SELECT DISTINCT doc_id, word FROM words WHERE word IN (SELECT word FROM asked))
         SELECT h.doc_id AS id, h.word, {_TRIM.format("list_filter(regexp_split_to_array(d.text, '[。.！!]'), lambda s: contains(s, h.word))[1]")} AS sentence
         FROM hits h JOIN documents d ON d.doc_id = h.doc_id"""
 )
 def concordance(spark: SparkSession, d: str) -> DataFrame:
-    # Kept, as the size check and the join both read it.
-    top = keep(vocab_counts(spark, d).orderBy(F.desc("occurrences"), "word").limit(20))
+    """Every word of the benchmark texts in every document."""
+    asked = fx.word_occurrences(sample_table(spark, d, "benchmark"), "text", []).select("word").distinct()
     pages = fx.documents(spark, d).select(F.col("doc_id").alias("id"), "text")
-    return vocabulary.concordance(pages, top, "text")
+    # Kept, as the size check and the join both read it.
+    return vocabulary.concordance(pages, keep(asked), "text")
 
 
 _ENTRIES = f"""{_FIRST}, {_CACHE}, entries AS (SELECT f.word, c.definition AS meaning, f.example_sentence,

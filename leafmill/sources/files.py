@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from leafmill.functions.text import title_or_stem
 
 
+def find_files(spark: SparkSession, root: str, path_pattern: str) -> DataFrame:
+    """``path``, ``length`` and ``modificationTime`` of files whose whole path matches; nothing is read from them."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return files.select("path", "length", "modificationTime").where(F.col("path").rlike(path_pattern))
+
+
 def read_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     """Files below ``root`` with content; drop ``content`` to list them only."""
     return (

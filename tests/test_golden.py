@@ -14,6 +14,7 @@ from leafmill.operators import (
     audits, catalog, convert, export, layout, merge, repeats, search, signal, slots, tokens,
     vocabulary, writes,
 )
+from leafmill.operators.ordering import arrange
 from leafmill.schemas import TABLES
 from leafmill.sources import files
 from leafmill.sources.tables import memory_catalog, open_catalog
@@ -483,13 +484,62 @@ def test_slots(spark):
 
         def work(row):
             tried[row["id"]] = tried.get(row["id"], 0) + 1
-            if row["id"] == 2 or (row["id"] == 1 and tried[1] == 1):
+            if row["id"] == 2 or (row["id"] == 1 and tried[1] <= 2):
                 raise RuntimeError("no")
             return row["id"] * 10
 
-        return work
+        return lambda rows: [work(row) for row in rows]
 
-    rows = slots.run_slot(spark.range(3), ["id"], factory, T.LongType())
+    rows = slots.run_slot(spark.range(3).coalesce(1), ["id"], factory, T.LongType())
     good, bad = slots.split_outcomes(rows)
     assert {(r.id, r.result, r.attempts) for r in good.collect()} == {(0, 0, 1), (1, 10, 2)}
     assert [(r.id, r.attempts, r.error) for r in bad.collect()] == [(2, 2, "RuntimeError: no")]
+
+
+def test_slot_keys_pass_untouched(spark):
+    """A null key beside one that no double can hold; the function sees None for null."""
+    big = 9_007_199_254_740_993
+    seen = T.ArrayType(T.BooleanType())
+    rows = spark.createDataFrame([(big, "a"), (None, None), (7, "c")], "k long, t string").coalesce(1)
+    found = slots.run_slot(rows, ["k"], lambda: lambda batch: [[r["k"] is None, r["t"] is None] for r in batch], seen)
+    assert {(r.k, tuple(r.result)) for r in found.collect()} == {(big, (False, False)), (None, (True, True)), (7, (False, False))}
+    short = slots.run_slot(rows, ["k"], lambda: lambda batch: [1] * (len(batch) // 2 + len(batch) % 2 * (len(batch) == 1)), T.LongType())
+    assert {(r.k, r.status) for r in short.collect()} == {(big, "ok"), (None, "ok"), (7, "ok")}
+
+
+def test_definitions_skip_what_fails(spark):
+    words = spark.createDataFrame([(1, "good", "x"), (2, "bad", None)], "k int, word string, context string").coalesce(1)
+
+    def engine():
+        def define(rows):
+            if any(r["word"] == "bad" for r in rows):
+                raise KeyError("bad")
+            return [f"{r['word']} {r['context']}" for r in rows]
+
+        return define
+
+    found = {r.k: (r.definition, r.status, r.attempts) for r in slots.define(words, ["k"], engine).collect()}
+    assert found == {1: ("good x", "ok", 1), 2: (None, "skipped", 2)}
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_unknown_directions_at_every_size(spark, large):
+    rows = [("p", 0, 0.0, 0.0, True), ("p", 1, 5.0, 5.0, None), (None, 0, 1.0, 2.0, None), (None, 1, 0.0, 1.0, True), (None, 2, 0.0, 0.0, True)]
+    regions = spark.createDataFrame(rows, "page_id string, ix int, x1 double, y1 double, is_vertical boolean")
+    found = {(r.page_id, r.ix): (r.reading_order, r["rank"]) for r in layout.in_reading_order(regions, large=large).df.collect()}
+    assert found == {
+        ("p", 0): ("Mixed", 1), ("p", 1): ("Mixed", 2),
+        (None, 0): ("Vertical", 1), (None, 1): ("Vertical", 3), (None, 2): ("Vertical", 2),
+    }
+    votes = {r.page_id: (r.vertical, r.horizontal) for r in layout.reading_votes(regions).collect()}
+    assert votes == {"p": (1, 1), None: (2, 1)}
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_running_total_passes_nulls(spark, large):
+    rows = [(1, None), (2, 5), (3, 7), (4, None), (5, 1), (6, None)]
+    df = spark.createDataFrame([("g", *r) for r in rows] + [(None, 1, None)], "k string, t int, v int")
+    done = arrange(df, ["k"], [F.col("t")], slice_rows=2, large=large).running_total(F.col("v"), "sum").df
+    assert {(r.k, r.t): r["sum"] for r in done.collect()} == {
+        ("g", 1): None, ("g", 2): 5, ("g", 3): 12, ("g", 4): 12, ("g", 5): 13, ("g", 6): 13, (None, 1): None,
+    }
