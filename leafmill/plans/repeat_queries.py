@@ -10,39 +10,40 @@ from leafmill.plans.registry import query
 from leafmill.sources.tables import sample_table
 
 
-def _grams(longest: int) -> str:
-    return f"""places AS (SELECT item_id, text, unnest(range(1, length(text) + 1)) AS i FROM benchmark),
-        sized AS (SELECT item_id, text, i, unnest(range(1, least({longest}, length(text) - i + 1) + 1)) AS l FROM places),
-        grams AS (SELECT item_id, substring(text, i, l) AS gram, substring(text, i + l, 1) AS next FROM sized)"""
+# Every substring with the symbol behind it; the empty one is taken before each character.
+_GRAMS = """places AS (SELECT item_id, text, unnest(range(1, length(text) + 1)) AS i FROM benchmark),
+    sized AS (SELECT item_id, text, i, unnest(range(0, length(text) - i + 2)) AS l FROM places),
+    grams AS (SELECT item_id, substring(text, i, l) AS gram,
+        CASE WHEN i + l > length(text) THEN 'end ' || item_id::VARCHAR ELSE substring(text, i + l, 1) END AS next FROM sized)"""
 
 
 @query(
-    f"""WITH {_grams(12)} SELECT item_id, gram, count(*) AS freq FROM grams
-        GROUP BY item_id, gram HAVING count(DISTINCT next) > 1"""
+    f"""WITH {_GRAMS} SELECT item_id, gram, count(*) AS freq FROM grams
+        GROUP BY item_id, gram HAVING count(DISTINCT next) > 1 OR gram = ''"""
 )
 def repeated_substrings(spark: SparkSession, d: str) -> DataFrame:
-    return repeats.repeated_substrings(sample_table(spark, d, "benchmark"), ["item_id"], "text", 12)
+    return repeats.repeated_substrings(sample_table(spark, d, "benchmark"), ["item_id"], "text")
 
 
 @query(
-    f"""WITH {_grams(8)} SELECT gram, count(*) AS freq FROM grams GROUP BY gram
-        HAVING count(DISTINCT CASE WHEN next = '' THEN 'end ' || item_id::VARCHAR ELSE next END) > 1"""
+    f"""WITH {_GRAMS} SELECT gram, count(*) AS freq FROM grams GROUP BY gram
+        HAVING count(DISTINCT next) > 1 OR gram = ''"""
 )
 def repeated_substrings_corpus(spark: SparkSession, d: str) -> DataFrame:
-    return repeats.repeated_substrings(sample_table(spark, d, "benchmark"), [], "text", 8)
+    return repeats.repeated_substrings(sample_table(spark, d, "benchmark"), [], "text")
 
 
 @query(
     """WITH places AS (SELECT item_id, text, unnest(range(1, length(text) + 1)) AS i FROM benchmark),
-       ordered AS (SELECT item_id, i - 1 AS pos, substring(text, i, 16) AS suffix,
-           row_number() OVER (PARTITION BY item_id ORDER BY substring(text, i, 16), i) - 1 AS rank FROM places),
+       ordered AS (SELECT item_id, i - 1 AS pos, substring(text, i) AS suffix,
+           row_number() OVER (PARTITION BY item_id ORDER BY substring(text, i)) - 1 AS rank FROM places),
        lagged AS (SELECT *, lag(suffix) OVER (PARTITION BY item_id ORDER BY rank) AS before FROM ordered)
-       SELECT item_id, rank::INTEGER AS rank, pos::INTEGER AS pos, suffix, CASE WHEN before IS NULL THEN 0 ELSE
-           coalesce(list_filter(range(1, 17), lambda n: substring(before, n, 1) <> substring(suffix, n, 1)
-               OR substring(before, n, 1) = '')[1] - 1, 16) END::INTEGER AS shared FROM lagged"""
+       SELECT item_id, rank::INTEGER AS rank, pos::INTEGER AS pos, CASE WHEN before IS NULL THEN 0 ELSE
+           list_filter(range(1, length(before) + 2), lambda n: substring(before, n, 1) <> substring(suffix, n, 1)
+               OR n > length(before))[1] - 1 END::INTEGER AS shared FROM lagged"""
 )
 def suffix_order(spark: SparkSession, d: str) -> DataFrame:
-    return repeats.suffix_order(sample_table(spark, d, "benchmark"), "item_id", "text", 16)
+    return repeats.suffix_order(sample_table(spark, d, "benchmark"), "item_id", "text")
 
 
 @query(

@@ -184,42 +184,56 @@ def test_character_round_trip(spark):
     assert tokens.vocabulary_size(known).first().size == len(tokens.CHARACTERS) == 119
 
 
-def nodes(spark, *texts, keys=("k",), longest=13):
+def nodes(spark, *texts, keys=("k",)):
     frame = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
-    return repeats.repeated_substrings(frame, list(keys), "t", longest)
+    return repeats.repeated_substrings(frame, list(keys), "t")
+
+
+def brute_nodes(*texts):
+    """Substrings that two different symbols follow; every text ends with a symbol of its own."""
+    seen = {}
+    for k, t in enumerate(texts):
+        for i in range(len(t)):
+            for j in range(i, len(t) + 1):
+                count, after = seen.get(t[i:j], (0, set()))
+                seen[t[i:j]] = (count + 1, after | {t[j] if j < len(t) else k})
+    return {g: n for g, (n, after) in seen.items() if len(after) > 1 or not g}
 
 
 def test_repeats(spark):
     found = {r.gram: r.freq for r in nodes(spark, "abracadabra").collect()}
-    assert found == {"abra": 2, "a": 5, "bra": 2, "ra": 2}
+    assert found == {"abra": 2, "a": 5, "bra": 2, "ra": 2, "": 11}
     assert len(LOREM) == 574
-    assert nodes(spark, LOREM).count() == 259
-    assert nodes(spark, "banana$band$$").count() > 0
+    assert nodes(spark, LOREM).count() == 260
+    assert {r.gram: r.freq for r in nodes(spark, "banana$band$$").collect()} == brute_nodes("banana$band$$")
     assert nodes(spark, "").count() == 0
+    longest = max((r.gram for r in nodes(spark, "abcdefghijklmnopqrX abcdefghijklmnopqrY").collect()), key=len)
+    assert longest == "abcdefghijklmnopqr"
 
 
-def test_repeats_across_pieces(spark):
-    long = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(1_300))
-    wanted = {}
-    for i in range(len(long)):
-        for n in range(1, min(5, len(long) - i) + 1):
-            count, after = wanted.get(long[i : i + n], (0, set()))
-            wanted[long[i : i + n]] = (count + 1, after | {long[i + n : i + n + 1]})
-    wanted = {g: c for g, (c, after) in wanted.items() if len(after) > 1}
-    assert {r.gram: r.freq for r in nodes(spark, long, longest=5).collect()} == wanted
+def test_repeats_of_any_length(spark):
+    """Repeats that end before, at and after the characters compared in a round."""
+    alphabet = [chr(0x4E00 + i) for i in range(400)]
+    for size in (repeats.SPAN - 1, repeats.SPAN, repeats.SPAN + 1, 2 * repeats.SPAN, 3 * repeats.SPAN + 5):
+        text = "".join(alphabet[:size]) + "X" + "".join(alphabet[:size]) + "Y" + "".join(alphabet[:size])
+        assert {r.gram: r.freq for r in nodes(spark, text).collect()} == brute_nodes(text)
+    assert {r.gram: r.freq for r in nodes(spark, "a" * 250).collect()} == brute_nodes("a" * 250)
 
 
 def test_repeats_over_all_texts(spark):
     """Two ends are two different symbols."""
-    found = {r.gram: r.freq for r in nodes(spark, "xab", "yab", keys=()).collect()}
-    assert found == {"ab": 2, "b": 2}
+    texts = ["xab", "yab", "ab" * 90, "ab" * 90, LOREM[:200]]
+    found = {r.gram: r.freq for r in nodes(spark, *texts, keys=()).collect()}
+    assert found == brute_nodes(*texts)
 
 
 def test_suffix_order(spark):
-    frame = spark.createDataFrame([(0, "abracadabra")], "k int, t string")
-    rows = repeats.suffix_order(frame, "k", "t", 20).orderBy("rank").collect()
-    assert [r.pos for r in rows] == [10, 7, 0, 3, 5, 8, 1, 4, 6, 9, 2]
-    assert [r.shared for r in rows] == [0, 1, 4, 1, 1, 0, 3, 0, 0, 0, 2]
+    frame = spark.createDataFrame([(0, "abracadabra"), (1, "a" * 20 + "b"), (2, None), (3, "é😀é")], "k int, t string")
+    rows = repeats.suffix_order(frame, "k", "t").orderBy("k", "rank").collect()
+    assert [r.pos for r in rows if r.k == 0] == [10, 7, 0, 3, 5, 8, 1, 4, 6, 9, 2]
+    assert [r.shared for r in rows if r.k == 0] == [0, 1, 4, 1, 1, 0, 3, 0, 0, 0, 2]
+    assert [(r.pos, r.shared) for r in rows if r.k == 1] == [(i, 0 if i in (0, 20) else 20 - i) for i in range(21)]
+    assert [(r.pos, r.shared) for r in rows if r.k == 3] == [(2, 0), (0, 1), (1, 0)]
 
 
 def test_passages(spark):
