@@ -4,9 +4,11 @@
 2. Two sets that link differ in at most k shingles, k following from their sizes. In a band of sizes, shingles are
    dealt by their hash to more than k buckets, so linked sets agree in whole buckets. A tile is a band, a bucket
    and its content. Buckets of under two shingles say little; they are left out where enough others remain that
-   one must agree, which is so for all but a few sets.
-3. In each tile every set is compared with a leader. Tiles whose sets are then not all in one component get more
-   leaders, or all their remaining pairs once these are few. So no pair is lost, and copies cost no square.
+   one must agree, which is so for all but a few sets. Where the threshold is low, buckets would be that small;
+   then the lowest hashes of a set are its tiles, so many that linked sets share one of them.
+3. In each tile every set is compared with a leader. Tiles whose sets are then not all in one component get a few
+   more leaders; what then still is apart is compared within the tile, in blocks of bounded size, over bands of
+   sizes that can link. So no pair is lost, copies cost no square, and only pairs that pass the bitmaps are listed.
 4. A pair is first judged by bitmaps of hashed shingles: bits that only one side has bound the overlap from
    above. What passes is decided on the sorted shingle arrays themselves.
 """
@@ -29,8 +31,10 @@ WORDS, PERCENT = 3, 90
 BAND = 1.5  # ratio of the sizes at the ends of a band
 SPARE = 1.15  # buckets over the least number, so that light ones can be left out
 LIGHT = 2  # buckets of fewer shingles are light
-# All remaining pairs of the mixed tiles are listed once there are at most so many per member.
-PAIRS_PER_MEMBER = 8
+LEAST_BUCKET = 8  # shingles per differing one, from which on buckets are used
+# Mixed tiles get more leaders while they hold more pairs than this per member, and so many times at most.
+PAIRS_PER_MEMBER, LEADERS = 8, 3
+BLOCK = 2048  # sets of a tile that are compared in one group
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
@@ -90,6 +94,8 @@ class Tiler:
         return list(range(min(lower, own), own + 1))
 
     def __call__(self, shingles: np.ndarray) -> np.ndarray:
+        if (100 + self.percent) // (2 * (100 - self.percent)) < LEAST_BUCKET:
+            return shingles[: len(shingles) - -(-len(shingles) * self.percent // 100) + 1]
         mixed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(shingles + np.uint64(1)))])
         out = []
         for band in self.bands(len(shingles)):
@@ -190,10 +196,8 @@ def _passing(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _linked(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs whose sets share enough, by their sorted arrays."""
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = _squeezed(rows).join(needed, "id", "left_semi").dropDuplicates(["id"])
     side = lambda s: texts.select(F.col("id").alias(s), F.col("packed").alias(f"text_{s}"))
     joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
 
@@ -229,23 +233,25 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     ).where("rep is not null")
     bits = keep(classes.select(F.col("rep").alias("id"), "n", "bits", "tiles"))
     members = keep(_members(bits))
-    bits = bits.select("id", "n", "bits")
+    # Texts move once, and only those that share a tile with another.
+    sharing = members.select("id").distinct()
+    texts = keep(_squeezed(rows).join(sharing, "id", "left_semi").dropDuplicates(["id"]))
+    bits = keep(bits.select("id", "n", "bits").join(sharing, "id", "left_semi"))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return keep(_linked(keep(_passing(pairs, bits, percent)), rows, words, percent))
+        return keep(_linked(keep(_passing(pairs, bits, percent)), texts, words, percent))
 
     pairs = members.where("id <> led").select(F.col("led").alias("a"), F.col("id").alias("b")).distinct()
     links = linked(pairs)
     roots = components(links)
-    while True:
+    for left in range(LEADERS, -1, -1):
         members = keep(_mixed(members.where("id > led"), roots))
-        left = _cross_pairs(members)
-        if not left[0]:
+        sets_left, pairs_left = _cross_pairs(members)
+        if not sets_left:
             break
-        if left[1] <= PAIRS_PER_MEMBER * left[0]:
-            a, b = (members.select("tile", F.col("id").alias(s), F.col("root").alias(f"root_{s}")) for s in "ab")
-            pairs = a.join(b, "tile").where("a < b and root_a <> root_b").select("a", "b").distinct()
-            roots = components(links.unionByName(linked(pairs)))
+        if not left or pairs_left <= PAIRS_PER_MEMBER * sets_left:
+            pairs = keep(_tile_pairs(members, bits, percent).distinct())
+            roots = components(links.unionByName(keep(_linked(pairs, texts, words, percent))))
             break
         leaders = members.groupBy("tile").agg(F.min_by(F.struct("id", "root"), "id").alias("first"))
         led = members.drop("led").join(leaders, "tile").withColumn("led", F.col("first.id"))
@@ -291,3 +297,65 @@ def _cross_pairs(members: DataFrame) -> tuple[int, int]:
     tiles = groups.groupBy("tile").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
     found = tiles.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2)).first()
     return found[0] or 0, int(found[1] or 0)
+
+
+def _tile_pairs(members: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) in a tile and in different components whose bitmaps allow enough overlap.
+
+    A tile of several blocks is compared block by block, each pair of blocks being a group of its own.
+    """
+    blocks = members.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = members.select("tile", "id", "root").join(blocks, "tile").join(bits, "id")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = ["tile", "x", "y"]
+    dealt = rows.select(
+        "tile", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "root", "own", "n", "bits"
+    )
+    dealt = dealt.repartition(*group).sortWithinPartitions(*group, "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, held, key = None, [], None
+        for batch in batches:
+            kind = batch.schema.field("id").type
+            for tile, x, y, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (tile, x, y) != key:
+                    if len(held) > 1:
+                        yield _pairs_batch(held, key[1] != key[2], percent, kind)
+                    key, held = (tile, x, y), []
+                held.append(row)
+        if len(held) > 1:
+            yield _pairs_batch(held, key[1] != key[2], percent, kind)
+
+    kind = members.schema["id"].dataType.simpleString()
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def _pairs_batch(held: list[list], across: bool, percent: int, kind: pa.DataType) -> pa.RecordBatch:
+    """Passing pairs of one group: rows of (id, root, block, size, bitmap) in the order of size."""
+    ids, roots, own, sizes, maps = zip(*held)
+    roots, own, n = np.array(roots), np.array(own), np.array(sizes, dtype=np.int64)
+    last = np.searchsorted(n, n * 100 // percent, side="right")  # larger sets cannot link
+    by_words: dict[int, np.ndarray] = {}
+    words = np.array([len(m) // 8 for m in maps])
+    for w in set(words.tolist()):  # all sets at this width; wider bitmaps folded, narrower ones left empty
+        table = np.zeros((len(maps), w), np.uint64)
+        for i in np.flatnonzero(words >= w):
+            if words[i] <= 4 * w:
+                table[i] = np.bitwise_or.reduce(np.frombuffer(maps[i], np.uint64).reshape(-1, w), axis=0)
+        by_words[w] = table
+    a, b = [], []
+    for i in range(len(ids)):
+        j = slice(i + 1, last[i])
+        table = by_words[words[i]]
+        x, y = table[i], table[j]
+        bound = np.minimum(
+            n[i] - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), n[j] - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64)
+        )
+        fits = (100 * bound >= percent * (n[i] + n[j] - bound)) & (roots[j] != roots[i])
+        if across:
+            fits &= own[j] != own[i]
+        for k in np.flatnonzero(fits) + i + 1:
+            a.append(min(ids[i], ids[k]))
+            b.append(max(ids[i], ids[k]))
+    return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
