@@ -25,14 +25,17 @@ PART_OF_SPEECH_LABELS = {
 
 
 def _accent_pairs() -> tuple[str, str]:
-    """Lower-case Latin letters with marks, and their base letters, by decomposition."""
+    """Lower-case Latin letters with one mark, and their base letters, by decomposition.
+
+    Letters with two marks stay as they are, which is the usual default of search tokenizers.
+    """
     marked, base = [], []
-    for point in range(0x00DF, 0x0250):
+    for point in (*range(0x00DF, 0x0250), *range(0x1E00, 0x1F00)):
         letter = chr(point)
-        first = unicodedata.normalize("NFD", letter)[0]
-        if first != letter and first.isascii() and letter == letter.lower():
+        parts = unicodedata.normalize("NFD", letter)
+        if len(parts) == 2 and parts[0].isascii() and letter == letter.lower():
             marked.append(letter)
-            base.append(first)
+            base.append(parts[0])
     return "".join(marked), "".join(base)
 
 
@@ -53,8 +56,8 @@ def words(text: Column) -> Column:
 
 
 def search_tokens(text: Column) -> Column:
-    """Index terms of a text: lower case, no accents, runs of letters and digits."""
-    plain = F.translate(F.lower(text), ACCENTED, UNACCENTED)
+    """Index terms of a text: lower case, no accents or combining marks, runs of letters and digits."""
+    plain = F.regexp_replace(F.translate(F.lower(text), ACCENTED, UNACCENTED), r"\p{Mn}+", "")
     return letter_runs(plain)
 
 

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import search_tokens
+from leafmill.operators.ordering import number_by_range
 
 # Usual BM25 constants and the least weight of a term.
 K1 = 1.2
@@ -171,12 +172,38 @@ def _scored(hits: DataFrame, doc_lengths: DataFrame) -> DataFrame:
     return tf.join(weighted, "term").select("id", "term", part.alias("part"))
 
 
-def bm25(rows: DataFrame, doc_lengths: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """``(id, score)`` of documents with any of the terms."""
+def bm25(
+    rows: DataFrame, doc_lengths: DataFrame, terms: Sequence[str], ids: DataFrame | None = None
+) -> DataFrame:
+    """``(id, score)`` of documents with any of the terms, or of those in ``ids`` only.
+
+    ``ids`` comes from one of the match forms, so that a whole query decides on its hits and the terms on their
+    order. Weights are those of the whole corpus either way.
+    """
     hits = rows.filter(F.col("term").isin(*terms))
+    scores = _scored(hits, doc_lengths).groupBy("id").agg(F.sum("part").alias("score"))
+    return scores if ids is None else scores.join(ids, "id", "left_semi")
+
+
+def bm25_prefix(rows: DataFrame, doc_lengths: DataFrame, prefix: str) -> DataFrame:
+    """``(id, score)`` of documents with a term that starts so; all such terms count as one."""
+    hits = rows.filter(F.col("term").startswith(prefix)).withColumn("term", F.lit(prefix))
     return _scored(hits, doc_lengths).groupBy("id").agg(F.sum("part").alias("score"))
 
 
+def with_rank(scores: DataFrame, digits: int = 6) -> DataFrame:
+    """Rounded scores with ``rank``: best first, equal scores by id. No task sees all hits."""
+    rounded = scores.withColumn("score", F.round("score", digits))
+    return number_by_range(rounded, [], [F.desc("score"), F.col("id")], "rank")
+
+
+def best_per_query(scores: DataFrame, limit: int, digits: int = 5) -> DataFrame:
+    """The ``limit`` best documents of each query with their ``rank``; fewer leave each task before the shuffle."""
+    rounded = scores.withColumn("score", F.round("score", digits))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return rounded.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+
+
 def bm25_many(rows: DataFrame, doc_lengths: DataFrame, asked: DataFrame) -> DataFrame:
     """``(query_id, id, score)`` for a table ``(query_id, term)`` of queries.
 

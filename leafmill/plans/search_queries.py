@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import ACCENTED, UNACCENTED
 from leafmill.operators import search
 from leafmill.plans import fixtures as fx
 from leafmill.plans.registry import query
@@ -13,10 +12,11 @@ from leafmill.sources.tables import sample_table
 
 TEXT = ["ocr_text_plain"]
 NOTE_COLUMNS = ["user_memo", "book_title"]
+BEST = 10  # documents that a search with many queries returns for each
 
 
 def _tokens(column: str) -> str:
-    plain = f"translate(lower({column}), '{ACCENTED}', '{UNACCENTED}')"
+    plain = f"strip_accents(lower({column}))"
     return f"list_filter(regexp_split_to_array({plain}, '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
 
 
@@ -89,17 +89,18 @@ _ASKED = f"""asked AS (SELECT DISTINCT item_id AS query_id, unnest({_tokens('tex
 
 @query(
     f"""WITH {_POSTINGS}, {_ASKED}, {_bm25('SELECT term FROM asked')}
-        SELECT query_id, id, round(sum(part), 5) AS score FROM parts JOIN asked USING (term) GROUP BY query_id, id"""
+        , scores AS (SELECT query_id, id, round(sum(part), 5) AS score FROM parts JOIN asked USING (term) GROUP BY query_id, id)
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM scores)
+        WHERE rank <= {BEST}"""
 )
 def search_many_queries(spark: SparkSession, d: str) -> DataFrame:
-    """Every benchmark text as a query of its terms, against every page."""
+    """Every benchmark text as a query of its terms, against every page; the best pages of each."""
     pages = fx.unnumbered_pages(spark, d)
     asked = search.postings(sample_table(spark, d, "benchmark"), "item_id", ["text"]).select(
         F.col("id").alias("query_id"), "term"
     )
     rows = search.postings(pages, "id", TEXT)
-    scores = search.bm25_many(rows, search.lengths(pages, "id", TEXT), asked)
-    return scores.withColumn("score", F.round("score", 5))
+    return search.best_per_query(search.bm25_many(rows, search.lengths(pages, "id", TEXT), asked), BEST)
 
 
 _NOTE_DOCS = f"""docs AS (SELECT id, {_tokens('user_memo')} || {_tokens('book_title')} AS ts FROM fx_notes),
@@ -108,17 +109,63 @@ _NOTE_DOCS = f"""docs AS (SELECT id, {_tokens('user_memo')} || {_tokens('book_ti
 
 @query(
     f"""WITH {_NOTE_DOCS}, {_bm25("'reaux', 'assistant', 'ment'")}
-        SELECT s.id, n.book_title, n.page_number, round(s.score, 6) AS score
-        FROM (SELECT id, sum(part) AS score FROM parts GROUP BY id) s JOIN fx_notes n ON n.id = s.id""",
+        SELECT s.id, n.book_title, n.page_number, s.score, row_number() OVER (ORDER BY s.score DESC, s.id) AS rank
+        FROM (SELECT id, round(sum(part), 6) AS score FROM parts GROUP BY id HAVING count(DISTINCT term) = 3) s
+        JOIN fx_notes n ON n.id = s.id""",
     "fx_notes",
 )
 def search_notes_ranked(spark: SparkSession, d: str) -> DataFrame:
     terms = ["reaux", "assistant", "ment"]
     notes = fx.notes(spark, d)
     rows = search.postings(notes, "id", NOTE_COLUMNS, terms)
-    scores = search.bm25(rows, search.lengths(notes, "id", NOTE_COLUMNS), terms)
-    found = search.ranked_rows(scores, notes, "id")
-    return found.select("id", "book_title", "page_number", F.round("score", 6).alias("score"))
+    scores = search.bm25(rows, search.lengths(notes, "id", NOTE_COLUMNS), terms, search.match_all(rows, terms))
+    found = search.ranked_rows(search.with_rank(scores), notes, "id")
+    return found.select("id", "book_title", "page_number", "score", "rank")
+
+
+def _ranked(accepted: str) -> str:
+    return f"""SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (
+        SELECT id, round(sum(part), 6) AS score FROM parts GROUP BY id) WHERE id IN (SELECT id FROM docs WHERE {accepted})"""
+
+
+@query(
+    f"""WITH {_POSTINGS}, {_bm25("'the', 'and'")}
+        {_ranked("contains(' ' || list_aggregate(ts, 'string_agg', ' ') || ' ', ' the and the ')")}"""
+)
+def search_phrase_ranked(spark: SparkSession, d: str) -> DataFrame:
+    pages = fx.unnumbered_pages(spark, d)
+    rows = search.postings(pages, "id", TEXT, ["the", "and"])
+    ids = search.match_phrase(rows, ["the", "and", "the"])
+    return search.with_rank(search.bm25(rows, search.lengths(pages, "id", TEXT), ["the", "and"], ids))
+
+
+@query(f"""WITH {_POSTINGS}, {_bm25("'with'")} {_ranked("NOT list_has_any(ts, ['tion', 'are'])")}""")
+def search_none_ranked(spark: SparkSession, d: str) -> DataFrame:
+    pages = fx.unnumbered_pages(spark, d)
+    rows = search.postings(pages, "id", TEXT, ["with", "tion", "are"])
+    ids = search.match_terms(rows, every=["with"], none=["tion", "are"])
+    return search.with_rank(search.bm25(rows, search.lengths(pages, "id", TEXT), ["with"], ids))
+
+
+@query(
+    f"""WITH {_DOCS}, postings AS (SELECT id, 'retition' AS term FROM (SELECT id, unnest(ts) AS t FROM docs) WHERE starts_with(t, 'retition')),
+        {_bm25("'retition'")} {_ranked("true")}"""
+)
+def search_prefix_ranked(spark: SparkSession, d: str) -> DataFrame:
+    pages = fx.unnumbered_pages(spark, d)
+    rows = search.postings(pages, "id", TEXT, prefixes=["retition"])
+    return search.with_rank(search.bm25_prefix(rows, search.lengths(pages, "id", TEXT), "retition"))
+
+
+@query(
+    f"""WITH {_NOTE_DOCS}, {_bm25("'ment'")} {_ranked(f"id IN (SELECT id FROM fx_notes WHERE list_contains({_tokens('user_memo')}, 'ment'))")}""",
+    "fx_notes",
+)
+def search_column_ranked(spark: SparkSession, d: str) -> DataFrame:
+    notes = fx.notes(spark, d)
+    rows = search.postings(notes, "id", NOTE_COLUMNS, ["ment"])
+    ids = search.match_any(rows, ["ment"], ["user_memo"])
+    return search.with_rank(search.bm25(rows, search.lengths(notes, "id", NOTE_COLUMNS), ["ment"], ids))
 
 
 @query(

@@ -236,6 +236,19 @@ def test_suffix_order(spark):
     assert [(r.pos, r.shared) for r in rows if r.k == 3] == [(2, 0), (0, 1), (1, 0)]
 
 
+def test_terms_keep_no_marks(spark):
+    rows = spark.createDataFrame([("c\u0061\u0301fe \u1eb9 \u00e9t\u00e9 \u1ea5",)], "t string")
+    assert rows.select(text.search_tokens(F.col("t")).alias("w")).first().w == ["cafe", "e", "ete", "\u1ea5"]
+
+
+def test_ranked_search_needs_the_whole_query(spark):
+    notes = spark.createDataFrame([(3, "reaux x"), (4, "assistant reaux ment"), (5, "ment")], "id long, t string")
+    terms = ["reaux", "assistant", "ment"]
+    rows = search.postings(notes, "id", ["t"], terms)
+    found = search.with_rank(search.bm25(rows, search.lengths(notes, "id", ["t"]), terms, search.match_all(rows, terms)))
+    assert [(r.id, r["rank"]) for r in found.collect()] == [(4, 1)]
+
+
 def test_passages(spark):
     frame = spark.createDataFrame(
         [("One two, three four",), ("zero one two three. one two three",), ("one two",)], "t string"
