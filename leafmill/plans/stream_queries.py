@@ -71,6 +71,22 @@ def sliding_window_stream(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, user_id, count(*) AS events,
+              round(sum(value), 4) AS value FROM events GROUP BY date_trunc('day', ts), user_id
+       HAVING date_trunc('day', ts) + INTERVAL '1 day' <= (SELECT max(ts) FROM events) - INTERVAL '1 hour'"""
+)
+def window_final_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Windows that are closed: the watermark, an hour behind the newest event, has passed their end.
+
+    Closed windows leave the state; those still open come with a later run.
+    """
+    stored = stream.stored_result(window_counts(_events(spark, d), "1 day"), "append")
+    return stored.select(
+        _time("window.start").alias("start"), "user_id", "events", F.round("value", 4).alias("value")
+    )
+
+
 @query(
     """WITH marked AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '6 hours'
            THEN 0 ELSE 1 END AS opens FROM events),
@@ -89,7 +105,21 @@ def session_stream(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_NOTES = f"""notes AS (SELECT conv_id * 1000000 + turn AS id, text AS user_memo, role AS book_title FROM conversations),
+@query(
+    """WITH marked AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '6 hours'
+           THEN 0 ELSE 1 END AS opens FROM events),
+       numbered AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM marked)
+       SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS events FROM numbered GROUP BY user_id, session
+       HAVING max(ts) + INTERVAL '6 hours' <= (SELECT max(ts) FROM events) - INTERVAL '1 hour'"""
+)
+def session_final_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions that can no longer grow; they leave the state as they are written."""
+    reading = _events(spark, d).withColumn("page", fx.props_k())
+    stored = stream.stored_result(sessions(reading, "6 hours"), "append")
+    return stored.select("user_id", _time("session_window.start").alias("start"), "events")
+
+
+_NOTES = f"""notes AS (SELECT conv_id::VARCHAR || ':' || turn::VARCHAR AS id, text AS user_memo, role AS book_title FROM conversations),
     docs AS (SELECT id, {_tokens('user_memo')} || {_tokens('book_title')} AS ts FROM notes),
     postings AS (SELECT id, unnest(ts) AS term FROM docs)"""
 
@@ -107,7 +137,7 @@ def note_ingest_stream(spark: SparkSession, d: str) -> DataFrame:
         ]
     )
     arriving = spark.readStream.schema(schema).parquet(f"{d}/conversations.parquet*").select(
-        (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("id"),
+        F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
         F.col("text").alias("user_memo"), F.col("role").alias("book_title"),
     )
     root = fresh_path(spark, "notes")
