@@ -182,10 +182,11 @@ def arrange(
 
     Give plain columns as ``order`` where lags or totals follow.
 
-    ``large`` skips the size check where the caller already made it.
+    ``large`` skips the size check where the caller already made it. Without keys all
+    rows are one group, which never goes into one task.
     """
     if large is None:
-        large = has_large_group(df, keys, group_rows)
+        large = not keys or has_large_group(df, keys, group_rows)
     if large:
         numbered = number_by_range(df, keys, order, rank)
     else:

@@ -53,7 +53,7 @@ def word_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT id, page_number, ocr_markdown FROM fx_pages WHERE book_id = 'src7'", "fx_pages")
 def pages_of_book(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.pages_of_book(fx.pages(spark, d), "src7").select("id", "page_number", "ocr_markdown")
+    return catalog.pages_of_book(fx.pages(spark, d, "src7"), "src7").select("id", "page_number", "ocr_markdown")
 
 
 @query("SELECT id, book_id, page_number FROM fx_pages", "fx_pages")

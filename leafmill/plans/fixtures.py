@@ -10,7 +10,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.operators.ordering import TEXT_GROUP_ROWS, arrange
+from leafmill.operators.ordering import arrange
 from leafmill.operators.vocabulary import word_occurrences
 from leafmill.sources.tables import sample_table, spread
 
@@ -64,17 +64,24 @@ def _as_pages(table: DataFrame) -> DataFrame:
     )
 
 
-def pages(spark: SparkSession, d: str) -> DataFrame:
-    """Pages numbered in each book by document id."""
-    # Numbering shuffles the pages anyway.
-    table = _as_pages(sample_table(spark, d, "documents"))
-    rows = arrange(table, ["book_id"], [F.col("id")], "page_number", TEXT_GROUP_ROWS)
-    return rows.df.withColumn("page_number", F.col("page_number").cast("int"))
+def pages(spark: SparkSession, d: str, book_id: str | None = None) -> DataFrame:
+    """Pages numbered in each book by document id; with ``book_id`` those of one book.
+
+    Only ids are numbered; the texts meet their numbers by id.
+    """
+    table = _as_pages(sample_table(spark, d, "documents")).drop("book_id")
+    return table.join(page_numbers(spark, d, book_id), "id").select(
+        "id", "book_id", "ocr_markdown", "ocr_text_plain", "page_number"
+    )
 
 
-def page_numbers(spark: SparkSession, d: str) -> DataFrame:
-    """``(id, book_id, page_number)`` without the texts."""
-    return pages(spark, d).select("id", "book_id", "page_number")
+def page_numbers(spark: SparkSession, d: str, book_id: str | None = None) -> DataFrame:
+    """``(id, book_id, page_number)`` without the texts. A book is chosen before its pages are numbered."""
+    ids = sample_table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("book_id"))
+    if book_id is not None:
+        ids = ids.where(F.col("book_id") == book_id)
+    rows = arrange(ids, ["book_id"], [F.col("id")], "page_number").df
+    return rows.select("id", "book_id", F.col("page_number").cast("int").alias("page_number"))
 
 
 def words(spark: SparkSession, d: str) -> DataFrame:
@@ -85,8 +92,9 @@ def words(spark: SparkSession, d: str) -> DataFrame:
 
 def notes(spark: SparkSession, d: str) -> DataFrame:
     turns = sample_table(spark, d, "conversations")
-    numbered = arrange(turns, [], [F.col("conv_id"), F.col("turn")], "id").df
-    return numbered.select(
+    places = turns.select("conv_id", "turn")
+    numbers = arrange(places, [], [F.col("conv_id"), F.col("turn")], "id").df
+    return turns.join(numbers, ["conv_id", "turn"]).select(
         "id",
         F.col("role").alias("book_title"),
         F.col("turn").cast("int").alias("page_number"),
