@@ -23,17 +23,21 @@ from leafmill.session import keep
 
 KINDS = ("email", "ip", "card", "phone")
 
-# (kind, role, pattern). Possessive marks change no match here, they only keep long matches off the stack.
+# (kind, role, what every match holds, pattern). Texts without a match of the cheap third are not searched for the
+# fourth. Possessive marks change no match here, they only keep long matches off the stack.
 GENERATORS = (
-    ("email", "base", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++"),
-    ("ip", "base", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"),
-    ("card", "base", r"[0-9](?:[\x20-]?[0-9])++"),
-    ("phone", "base", r"\+[0-9][\x20().0-9-]+[0-9]"),
-    ("email", "wide", r"[^\x20\x09-\x0D@]*+@[^\x20\x09-\x0D@]*+"),
-    ("ip", "wide", r"[0-9]+(?:\.[0-9]+)++"),
-    ("card", "wide", r"[0-9A-Fa-f]{8,}"),
-    ("phone", "variant", r"\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}(?:[\x20.-][0-9]{3,4})?+"),
-    ("email", "variant", r"[A-Za-z0-9._%+-]+\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]+(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]+)++"),
+    ("email", "base", "@", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++"),
+    ("ip", "base", r"[0-9]\.[0-9]", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"),
+    ("card", "base", r"[0-9](?:[\x20-]?[0-9]){11}", r"[0-9](?:[\x20-]?[0-9])++"),
+    ("phone", "base", r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]"),
+    ("email", "wide", "@", r"[^\x20\x09-\x0D@]*+@[^\x20\x09-\x0D@]*+"),
+    ("ip", "wide", r"[0-9]\.[0-9]", r"[0-9]+(?:\.[0-9]+)++"),
+    ("card", "wide", "[0-9]{8}", "[0-9]{8,}"),
+    ("phone", "variant", r"[0-9]\)?[\x20.-][0-9]{3}", r"\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}(?:[\x20.-][0-9]{3,4})?+"),
+    (
+        "email", "variant", r"[\[(]at[\])]",
+        r"[A-Za-z0-9._%+-]+\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]+(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]+)++",
+    ),
 )
 # Words that announce a kind, as fixed values.
 HINTS = {
@@ -52,17 +56,21 @@ TREES, DEPTH = 10, 3
 
 def _matches(rows: DataFrame) -> DataFrame:
     """Every match of every generator: (id, part, gen, start, end, match, left, right)."""
+    holds = lambda sign: F.contains(F.col("text"), F.lit(sign)) if len(sign) == 1 else F.col("text").rlike(sign)
     found = F.array(
         *[
-            F.struct(
-                F.lit(g).alias("gen"),
-                F.split("text", pattern, -1).alias("between"),
-                F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("matches"),
+            F.when(
+                holds(sign),
+                F.struct(
+                    F.lit(g).alias("gen"),
+                    F.split("text", pattern, -1).alias("between"),
+                    F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("matches"),
+                ),
             )
-            for g, (_, _, pattern) in enumerate(GENERATORS)
+            for g, (_, _, sign, pattern) in enumerate(GENERATORS)
         ]
     )
-    per_generator = rows.select("id", "part", F.inline(found)).where(F.size("matches") > 0)
+    per_generator = rows.select("id", "part", F.inline(F.array_compact(found))).where(F.size("matches") > 0)
     after = F.slice("between", F.lit(2), F.size("between"))
     placed = per_generator.select(
         "id", "part", "gen", F.posexplode(F.arrays_zip("between", "matches", after.alias("after")))
@@ -124,8 +132,8 @@ def _meets(partition: list[str]) -> Column:
 
 def candidates(rows: DataFrame) -> tuple[DataFrame, list[str]]:
     """Candidates of (id, part, text) with features, ``base``, and ``truth`` (null where unknown)."""
-    kind = _by_generator([F.lit(k) for k, _, _ in GENERATORS])
-    role = _by_generator([F.lit(r) for _, r, _ in GENERATORS])
+    kind = _by_generator([F.lit(k) for k, *_ in GENERATORS])
+    role = _by_generator([F.lit(r) for _, r, *_ in GENERATORS])
     found = _matches(rows).withColumn("kind", kind).withColumn("role", role).withColumn("base", _valid())
     found = found.withColumn("meets_own", _meets(["id", "part", "kind"])).withColumn("meets_any", _meets(["id", "part"]))
     truth = F.when(F.col("meets_own"), 1.0).when((F.col("role") != "variant") | F.col("meets_any"), 0.0)
