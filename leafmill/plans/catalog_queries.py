@@ -14,9 +14,9 @@ from leafmill.operators.signal import with_reject_reason
 from leafmill.plans import fixtures as fx
 from leafmill.plans.registry import query
 from leafmill.schemas import ANNOTATION_TYPES
-from leafmill.session import keep
+from leafmill.session import fresh_path, keep
 from leafmill.sources import files
-from leafmill.sources.tables import sample_table
+from leafmill.sources.tables import open_table, sample_table
 
 NOW = 1_700_000_000
 
@@ -390,6 +390,53 @@ def insert_defaults(spark: SparkSession, d: str) -> DataFrame:
     return writes.with_defaults(given, "books", F.lit(NOW))
 
 
+def _stored(spark: SparkSession, rows: DataFrame, table: str) -> DataFrame:
+    """``rows`` appended to a new catalog in two steps, and the table opened again by its schema."""
+    root = fresh_path(spark, "catalog")
+    whole = writes.with_defaults(rows, table, F.lit(NOW))
+    for half in (0, 1):
+        writes.append(whole.where(F.pmod("id", F.lit(2)) == half), root, table)
+    return open_table(spark, root, table)
+
+
+@query(
+    f"SELECT id, page_number, ocr_text_plain, {NOW}::BIGINT AS created_at FROM fx_pages WHERE book_id = 'src7'",
+    "fx_pages",
+)
+def stored_pages(spark: SparkSession, d: str) -> DataFrame:
+    """One book of the stored pages, from its own partition."""
+    given = fx.pages(spark, d).withColumn("image_path", F.lit("/pages"))
+    stored = catalog.pages_of_book(_stored(spark, given, "book_pages"), "src7")
+    return stored.select("id", "page_number", "ocr_text_plain", "created_at")
+
+
+@query(
+    """SELECT id, page_number, annotation_type, color FROM fx_annotations
+       WHERE book_id = 'src3' AND annotation_type IN ('highlight', 'bookmark', 'note')""",
+    "fx_annotations",
+)
+def stored_annotations(spark: SparkSession, d: str) -> DataFrame:
+    given, _ = writes.accept_rows(fx.annotations(spark, d), "annotations")
+    stored = catalog.annotations_of_book(_stored(spark, given, "annotations"), "src3")
+    return stored.select("id", "page_number", "annotation_type", "color")
+
+
+@query("SELECT id, book_title, page_number, user_memo FROM fx_notes", "fx_notes")
+def stored_notes(spark: SparkSession, d: str) -> DataFrame:
+    return _stored(spark, fx.notes(spark, d), "sticky_notes").select("id", "book_title", "page_number", "user_memo")
+
+
+@query(
+    """SELECT row_number() OVER (ORDER BY p_partkey) AS id, p_name AS word, false AS ai_generated, p_size AS source_page FROM part"""
+)
+def stored_words(spark: SparkSession, d: str) -> DataFrame:
+    parts = sample_table(spark, d, "part").select(
+        "p_partkey", F.col("p_name").alias("word"), F.col("p_size").alias("source_page")
+    )
+    given = writes.next_ids(parts, spark.createDataFrame([], "id long"), [F.col("p_partkey")])
+    return _stored(spark, given, "words").select("id", "word", "ai_generated", "source_page")
+
+
 @query(
     """SELECT conv_id, turn, (SELECT max(doc_id) FROM documents)
               + row_number() OVER (ORDER BY conv_id, turn) AS id FROM conversations"""
