@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from leafmill.session import keep
 
+FILE_ROWS = 250_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """``links`` has two ids per row (a, b). Returns (id, root) for every id that is not the smallest of its component.
@@ -15,16 +17,21 @@ def components(links: DataFrame) -> DataFrame:
     the longest path. Smallest neighbours come from aggregates with a map side; edges of a node with many
     neighbours are split by the join. An empty table gives no rows; links of an id to itself do nothing.
     """
-    edges = keep(
-        links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
-    )
+    given = links.count()
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
+    edges = _kept(edges, given)
     last = None
     while True:
         seen = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if tuple(seen) == last or not seen[0]:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
         last = tuple(seen)
-        edges = keep(_small_star(_large_star(edges)))
+        edges = _kept(_small_star(_large_star(edges)), given)
+
+
+def _kept(edges: DataFrame, rows: int) -> DataFrame:
+    """``edges`` kept in as many files as that many rows are worth; a star has no more rows than it came from."""
+    return keep(edges.coalesce(rows // FILE_ROWS + 1))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
