@@ -30,7 +30,7 @@ from leafmill.session import keep
 WINDOW = 35
 ANCHOR = 8
 GROUP_ROWS = 10_000
-BATCH_ROWS = 200_000
+BATCH_ROWS = 100_000
 
 # Odd multipliers of the two window hashes.
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -68,7 +68,7 @@ class Suffixes:
         import xxhash
 
         self.window, self.anchor = window, anchor
-        self.hash = Memo(xxhash.xxh3_64_intdigest)
+        self.hash = Memo(xxhash.xxh3_64_intdigest, 100_000)
         self.p, self.q = _Powers(_P), _Powers(_Q)
 
     def words(self, text: str) -> list[bytes]:
@@ -168,10 +168,19 @@ def _suffix_rows(texts: DataFrame, window: int, anchor: int) -> DataFrame:
 
         suffixes, plain = Suffixes(window, anchor), zstandard.ZstdDecompressor().decompress
         names = ["id", "part", "at", "prefix", "content", "long"]
+
+        def out(batch: pa.RecordBatch, rows: list[int], found: list[tuple]) -> pa.RecordBatch:
+            ends = pa.array(np.cumsum([0, *(len(f[0]) for f in found)]), pa.int32())
+            lists = (pa.ListArray.from_arrays(ends, pa.array(np.concatenate(column))) for column in zip(*found))
+            keys = (batch.column(c).take(pa.array(rows)) for c in ("id", "part"))
+            return pa.RecordBatch.from_arrays([*keys, *lists], names)
+
         for batch in batches:
+            rows, found, held = [], [], 0
             for i in range(batch.num_rows):
-                shared = np.array(batch.column("shared")[i].as_py(), np.int64).view(np.uint64)
-                frequent = np.array(batch.column("frequent")[i].as_py(), np.int64).view(np.uint64)
+                shared, frequent = (
+                    batch.column(c)[i].values.to_numpy(zero_copy_only=False).view(np.uint64) for c in ("shared", "frequent")
+                )
                 ids = suffixes.ids(plain(batch.column("packed")[i].as_py()).split())
                 anchors, places = suffixes.anchors(ids)
                 content, other = suffixes.windows(ids)
@@ -180,18 +189,14 @@ def _suffix_rows(texts: DataFrame, window: int, anchor: int) -> DataFrame:
                 at = np.flatnonzero(np.isin(anchors, shared))
                 for a in range(0, len(at), BATCH_ROWS):
                     part = at[a : a + BATCH_ROWS]
-                    lists = [
-                        pa.array(part.astype(np.int32)), pa.array(prefix[part].view(np.int64)),
-                        pa.array(content[part].view(np.int64)), pa.array(whole[part]),
-                    ]
-                    ends = pa.array([0, len(part)], pa.int32())
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column("id").slice(i, 1), batch.column("part").slice(i, 1),
-                            *(pa.ListArray.from_arrays(ends, x) for x in lists),
-                        ],
-                        names,
-                    )
+                    rows.append(i)
+                    found.append((part.astype(np.int32), prefix[part].view(np.int64), content[part].view(np.int64), whole[part]))
+                    held += len(part)
+                    if held >= BATCH_ROWS:
+                        yield out(batch, rows, found)
+                        rows, found, held = [], [], 0
+            if rows:
+                yield out(batch, rows, found)
 
     return texts.mapInArrow(
         run,
@@ -220,15 +225,14 @@ def _cut(texts: DataFrame, window: int) -> DataFrame:
         plain = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             sizes, removed, spans, texts = [], [], [], []
-            columns = (batch.column(c).to_pylist() for c in ("packed", "copy", "at"))
-            for packed, copy, at in zip(*columns):
-                text = plain(packed)
+            for packed, copy, at in zip(*(batch.column(c) for c in ("packed", "copy", "at"))):
+                text = plain(packed.as_py())
                 words = text.split()
                 sizes.append(len(words))
-                if copy and len(words) >= window:
+                if copy.as_py() and len(words) >= window:
                     runs = [(0, len(words))]
                 else:
-                    runs = _runs(at or [], window)
+                    runs = _runs(at.as_py() or [], window)
                 spans.append([{"start": a, "end": b} for a, b in runs])
                 removed.append(sum(b - a for a, b in runs))
                 if runs:
@@ -275,7 +279,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("anchors").alias("anchors")
     )
     anchors = classes.select("id", F.xxhash64("digest").alias("part"), F.explode("anchors").alias("anchor"))
-    shared = keep(_shared(anchors, group_rows))
+    shared = _shared(anchors, group_rows)
     texts = _squeezed(rows).select("id", F.xxhash64("digest").alias("part"), "packed")
     suffixes = keep(_suffix_rows(texts.join(shared, ["id", "part"]), window, anchor))
     cuts = _repeats(suffixes).groupBy("id", "part").agg(F.collect_list("at").alias("at"))
