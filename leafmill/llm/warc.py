@@ -25,6 +25,7 @@ from leafmill.session import fresh_path, keep
 MIN_BYTES = 1000
 READ_BYTES = 4 << 20
 GAP_BYTES = 64 << 10
+TASK_BYTES = 16 << 20  # bytes of records that one task reads
 # Fixed values of the WARC 1.0 format.
 VERSION = "WARC/1.0"
 DATE = "2020-01-01T00:00:00Z"
@@ -173,7 +174,9 @@ def read(index: DataFrame, folder: str, read_bytes: int = READ_BYTES, gap_bytes:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names)
 
     ordered = index.select("file", "offset", "length", "page_id")
-    ordered = ordered.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    # Index rows are small beside their records, so the records' bytes say how many tasks read them.
+    tasks = (index.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES + 1
+    ordered = ordered.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(run, RECORDS.format(id=id_type))
 
 
