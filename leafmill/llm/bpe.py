@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -83,8 +84,23 @@ class Vocabulary:
         """Ids of one pre-token."""
         if word in self.ranks:
             return [self.ranks[word]]
+        text = word.decode("latin-1")
+        return self._straight(text) or self._backtracked(word, text)
+
+    def _straight(self, text: str) -> list[int] | None:
+        """The longest tokens from left to right, if each two neighbours fit."""
+        found: list[int] = []
+        at, last, fits = 0, None, self.fits
+        for end, (n, rank) in self.automaton.iter_long(text):
+            if end + 1 - n != at or last is not None and not fits[last, rank]:
+                return None
+            found.append(rank)
+            at, last = end + 1, rank
+        return found if at == len(text) else None
+
+    def _backtracked(self, word: bytes, text: str) -> list[int]:
         longest: dict[int, int] = {}
-        for end, (n, rank) in self.automaton.iter(word.decode("latin-1")):
+        for end, (n, rank) in self.automaton.iter(text):
             longest[end + 1 - n] = rank  # later ends are longer
         fits, shorter, tokens = self.fits, self.shorter, self.tokens
         found: list[int] = []
@@ -116,11 +132,12 @@ def encoder(vocabulary: Vocabulary, pattern: str) -> Callable[[str], bytes]:
 
     compiled = regex.compile(pattern)
 
+    words = Memo(lambda match: np.array(vocabulary.word(match.encode()), dtype="<u4").tobytes(), 300_000)
+
     def whole(text: str) -> bytes:
-        ids = [i for match in compiled.findall(text) for i in vocabulary.word(match.encode())]
-        return np.array(ids, dtype="<u4").tobytes()
+        return b"".join(map(words.__getitem__, compiled.findall(text)))
 
-    after_space = Memo(lambda piece: whole(" " + piece), 600_000)
+    after_space = Memo(lambda piece: whole(" " + piece), 400_000)
 
     def encode(text: str) -> bytes:
         parts = pieces(text)
@@ -136,6 +153,12 @@ def load(path: str) -> Vocabulary:
         return Vocabulary(lines)
 
 
+@lru_cache(maxsize=1)
+def _stored_encoder(path: str, pattern: str) -> Callable[[str], bytes]:
+    """An encoder that the tasks of a worker share."""
+    return encoder(load(path), pattern)
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id`` and ``ids`` (array of int).
 
@@ -148,7 +171,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        one = encoder(load(ranks_path), pattern)
+        one = _stored_encoder(ranks_path, pattern)
         for batch in batches:
             found = [one(text.as_py()) for text in batch.column("text")]
             ends = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
