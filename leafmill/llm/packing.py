@@ -16,6 +16,7 @@ import bisect
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -42,6 +43,7 @@ class _Packer:
         self.by_length: dict[int, deque] = {}
         self.lengths: list[int] = []  # sorted, those with items
         self.tokens = self.windows = 0
+        self.of_tier: dict[int, int] = {}
         self.rows: list[tuple] = []
 
     def put(self, item: tuple) -> None:
@@ -75,12 +77,13 @@ class _Packer:
             self._window()
 
     def _close(self, tier: int, items: list[tuple]) -> None:
-        offset = 0
+        offset, nth = 0, self.of_tier.get(tier, 0)
         for doc, total, start, ids in items:
             n = len(ids) // 4
-            self.rows.append((doc, start, n, zlib.crc32(ids), total, self.windows, offset, tier))
+            self.rows.append((doc, start, n, zlib.crc32(ids), total, self.windows, offset, tier, nth))
             offset += n
         self.windows += 1
+        self.of_tier[tier] = nth + 1
 
     def _window(self) -> None:
         """Closes one full window, opened by the longest item that waits."""
@@ -126,8 +129,9 @@ class _Packer:
         return rows
 
 
+@lru_cache(maxsize=1)
 def encoder(ranks_path: str, json_path: str, pattern: str) -> Encode:
-    """Ids of a text by a byte-level vocabulary, as little-endian unsigned 32-bit numbers.
+    """Ids of a text by a byte-level vocabulary, as little-endian unsigned 32-bit numbers. The tasks of a worker share it.
 
     ``ranks_path`` holds the vocabulary of ``json_path`` as ranks. Pieces of Latin letters are encoded by the
     ranks, which is several times faster; any other piece by the tokenizer itself, as two libraries may follow
@@ -161,7 +165,7 @@ def encoder(ranks_path: str, json_path: str, pattern: str) -> Encode:
     return encode
 
 
-_SCHEMA = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int"
+_SCHEMA = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, nth long"
 
 
 def pack(
@@ -192,8 +196,8 @@ def pack(
             columns[5] = [first + x for x in columns[5]]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow)], names)
 
-        arrow = [None, *[pa.int64()] * 6, pa.int32()]
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier"]
+        arrow = [None, *[pa.int64()] * 6, pa.int32(), pa.int64()]
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "nth"]
         for batch in batches:
             arrow[0] = batch.schema.field("id").type
             for doc, text in zip(batch.column("id"), batch.column("text")):
@@ -211,28 +215,21 @@ def pack(
 def _step_groups(found: DataFrame, step_tokens: int) -> DataFrame:
     """Adds ``step_group``: windows are numbered within their tier over all tasks and dealt out evenly.
 
-    Counts are one row per task and tier, far fewer than pieces.
+    A window knows its number among those of its tier and task (``nth``); how many came before that task is a
+    table of one row per task and tier, far smaller than the pieces.
     """
     task = F.floor(F.col("sequence_id") / F.lit(SPAN)).cast("long")
-    counts = found.where(F.col("offset") == 0).groupBy(task.alias("task"), "tier").agg(F.count(F.lit(1)).alias("n"))
+    counts = found.groupBy(task.alias("task"), "tier").agg((F.max("nth") + 1).alias("n"))
     before = Window.partitionBy("tier").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     every_tier = Window.partitionBy(F.lit(1))  # as many rows as there are tiers
     sizes = counts.groupBy("tier").agg(F.sum("n").alias("of_tier")).withColumn(
         "steps", F.ceil(F.sum(F.col("tier") * F.col("of_tier")).over(every_tier) / F.lit(step_tokens))
     )
-    starts = (
-        counts.select("task", "tier", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
-        .join(sizes, "tier")
-    )
-    # Within a task windows of all tiers share one numbering; the rank within the tier comes from the same order.
-    rank = F.row_number().over(Window.partitionBy("task", "tier").orderBy("sequence_id")) - 1
-    opened = found.where(F.col("offset") == 0).select(task.alias("task"), "tier", "sequence_id")
-    groups = (
-        opened.withColumn("rank", rank)
+    starts = counts.select("task", "tier", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier")).join(sizes, "tier")
+    group = F.floor((F.col("earlier") + F.col("nth")) * F.col("steps") / F.col("of_tier"))
+    return (
+        found.withColumn("task", task)
         .join(starts, ["task", "tier"])
-        .select(
-            "sequence_id",
-            F.floor((F.col("earlier") + F.col("rank")) * F.col("steps") / F.col("of_tier")).alias("step_group"),
-        )
+        .withColumn("step_group", group)
+        .drop("task", "nth", "earlier", "of_tier", "steps")
     )
-    return found.join(groups, "sequence_id")
