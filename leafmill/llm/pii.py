@@ -12,6 +12,8 @@ Places are code points: the pieces between matches and the matches themselves ar
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -154,12 +156,16 @@ def _thresholds(scored: DataFrame) -> DataFrame:
 
 def _added(found: DataFrame, names: list[str], train_rows: int) -> DataFrame:
     """Candidates beyond the base spans that the trees accept."""
-    draw = F.xxhash64("id", "part", "kind", "start", "end")
-    sample = found.where("truth is not null").withColumn("draw", draw).orderBy("draw", "start", "end").limit(train_rows)
-    sample = keep(sample)
-    fit, held = sample.where("draw % 10 >= 3"), sample.where("draw % 10 < 3")
+    place = ["id", "part", "kind", "start", "end"]
+    labelled = found.where("truth is not null").withColumn("draw", F.xxhash64(*place))
+    # Who is held back is drawn by a hash of its own: the sample is the lowest end of the first one.
+    labelled = labelled.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), *place), F.lit(10)) < 3)
+    sample = keep(labelled.orderBy("draw", "start", "end").limit(train_rows))
+    fit, held = sample.where("not held"), sample.where("held")
     open_ones = found.where(~F.col("meets_any"))
     if fit.select("truth").distinct().count() < 2:  # nothing to tell apart
+        if sample.count() >= train_rows:
+            warnings.warn(f"no spans are added: all {fit.count()} candidates to fit on have the same truth", stacklevel=2)
         return open_ones.limit(0)
     vectors = VectorAssembler(inputCols=names, outputCol="features")
     trees = GBTClassifier(labelCol="truth", maxIter=TREES, maxDepth=DEPTH, seed=7, checkpointInterval=-1)

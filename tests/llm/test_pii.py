@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from leafmill.llm import pii
 from leafmill.llm.queries import op2_pii
 from tests.llm.helpers import LONG, docs, empty
@@ -79,6 +81,21 @@ def test_trees_add_what_the_strict_patterns_miss(spark):
     assert all(not s.startswith("ip") for spans in found.values() for s in spans.split(","))
 
 
+def test_trees_add_on_large_input(spark):
+    """Over 40,000 labelled candidates: the sample's order leaves both parts of it filled."""
+    say = "please call +1 (6{0}) 555-{1} now, version {1}.{2}. "
+    texts = ["".join(say.format(i % 90 + 10, 1000 + i % 8999, j) for j in range(10)) for i in range(2000)]
+    rows = docs(spark, [*texts, "please call (626) 555-1234 now"])
+    found, _ = pii.candidates(rows.selectExpr("doc_id as id", "text", "xxhash64(text) as part"))
+    assert found.where("truth is not null").count() > 40_000
+    assert pii.report(rows).where("doc_id = 2000").first().spans == "phone:12:26"
+
+
+def test_one_class_is_reported(spark):
+    with pytest.warns(UserWarning, match="same truth"):
+        assert pii.report(docs(spark, [f"a{i}@b.co" for i in range(100)]), train_rows=50).count() == 100
+
+
 def test_redaction(spark):
     texts = ["a mail a@b.co, ip 1.2.3.4!", "é +1 (626) 555-5759", None, "clean"]
     rows = pii.redact(docs(spark, texts))
