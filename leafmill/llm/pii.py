@@ -4,8 +4,8 @@ Strict patterns with validators give the base spans, which always stay. Wide pat
 candidates. Boosted trees score every candidate from its format and its context; they are trained on candidates
 whose truth is known from the base spans: those that meet one of their kind are true, wide ones that meet none are
 false, and so is what a validator refused. Variants that no strict pattern covers have no known truth and are left
-out of training. On a part held back, each kind gets the lowest score at which the precision still is
-``PRECISION``; candidates at or above it that touch no base span are added.
+out of training. The trees are fitted on a sample. On all other candidates of known truth, each kind gets the lowest
+score at which the precision still is ``PRECISION``; candidates at or above it that touch no base span are added.
 
 Places are code points: the pieces between matches and the matches themselves are measured and summed up.
 """
@@ -50,7 +50,7 @@ HINTS = {
 }
 CONTEXT = 24
 
-TRAIN_ROWS = 20_000  # most labelled candidates that the trees are fitted and calibrated on
+TRAIN_ROWS = 20_000  # most labelled candidates that the trees are fitted on
 PRECISION = 0.95
 LEAST = 20  # candidates at or above a threshold, for it to count
 TREES, DEPTH = 10, 3
@@ -158,14 +158,16 @@ def _added(found: DataFrame, names: list[str], train_rows: int) -> DataFrame:
     """Candidates beyond the base spans that the trees accept."""
     place = ["id", "part", "kind", "start", "end"]
     labelled = found.where("truth is not null").withColumn("draw", F.xxhash64(*place))
-    # Who is held back is drawn by a hash of its own: the sample is the lowest end of the first one.
+    # Three tenths are held back, by a hash of its own, however small the input is.
     labelled = labelled.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), *place), F.lit(10)) < 3)
-    sample = keep(labelled.orderBy("draw", "start", "end").limit(train_rows))
-    fit, held = sample.where("not held"), sample.where("held")
+    drawn = labelled.where("not held").select("draw").orderBy("draw").limit(train_rows)
+    last = drawn.agg(F.max("draw")).first()[0]
+    fit = keep(labelled.where(~F.col("held") & (F.col("draw") <= F.lit(last))))
+    rest = labelled.where(F.col("held") | (F.col("draw") > F.lit(last)))
     open_ones = found.where(~F.col("meets_any"))
     if fit.select("truth").distinct().count() < 2:  # nothing to tell apart
-        if sample.count() >= train_rows:
-            warnings.warn(f"no spans are added: all {fit.count()} candidates to fit on have the same truth", stacklevel=2)
+        if (n := fit.count()) >= train_rows:
+            warnings.warn(f"no spans are added: all {n} candidates to fit on have the same truth", stacklevel=2)
         return open_ones.limit(0)
     vectors = VectorAssembler(inputCols=names, outputCol="features")
     trees = GBTClassifier(labelCol="truth", maxIter=TREES, maxDepth=DEPTH, seed=7, checkpointInterval=-1)
@@ -174,7 +176,7 @@ def _added(found: DataFrame, names: list[str], train_rows: int) -> DataFrame:
     def scored(df: DataFrame) -> DataFrame:
         return model.transform(vectors.transform(df)).withColumn("score", vector_to_array("probability")[1])
 
-    thresholds = keep(_thresholds(scored(held)))
+    thresholds = keep(_thresholds(scored(rest)))
     return scored(open_ones).join(thresholds, "kind").where(F.col("score") >= F.col("threshold"))
 
 

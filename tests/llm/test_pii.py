@@ -91,6 +91,14 @@ def test_trees_add_on_large_input(spark):
     assert pii.report(rows).where("doc_id = 2000").first().spans == "phone:12:26"
 
 
+def test_rare_kinds_get_a_threshold(spark):
+    """Thresholds come from all candidates outside the fitted sample, in which a kind may be rare."""
+    runs = [" ".join(f"no {i}{j:02}00000000x" for j in range(20)) for i in range(1000)]
+    calls = [f"please call +1 (6{i % 90 + 10}) 555-{1000 + i} now" for i in range(150)]
+    rows = docs(spark, [*runs, *calls, "please call (626) 555-1234 now"])
+    assert pii.report(rows, train_rows=1500).where("doc_id = 1150").first().spans == "phone:12:26"
+
+
 def test_one_class_is_reported(spark):
     with pytest.warns(UserWarning, match="same truth"):
         assert pii.report(docs(spark, [f"a{i}@b.co" for i in range(100)]), train_rows=50).count() == 100
