@@ -43,6 +43,27 @@ def test_odd_rows(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_notices_in_running_text(spark):
+    """A notice within a line, or wrapped over comment lines, is found; one place counts once."""
+    line = "The photos are by the author. Released under the MIT License. Contact us for prints."
+    named, other = dict(licenses.TEMPLATES), " ".join(f"w{i}" for i in range(80))
+
+    def comment(name, mark):
+        lines = re.findall(r".{1,50}(?: |$)", named[name])
+        blank = mark.rstrip()
+        return "\n".join([f"{mark}Copyright (c) 2020 Somebody Else", blank, *[mark + x for x in lines], blank, f"{mark}{other}"])
+
+    mit = f"# {licenses.TEMPLATES[2][1]}".replace("without", "\n# without")
+    texts = [
+        line, comment("MIT", "# "), f"#\n{mit}\n#\n# {other}", "x " * 3000 + line + " y" * 3000,
+        line + " And so on and so forth. " + line, "the photos are under a licence of the author, released", comment("BSD-3-Clause", " * "),
+    ]
+    found = {}
+    for r in licenses.scan(docs(spark, texts)).collect():
+        found.setdefault(r.doc_id, []).append((r.license, r.dice, r.units))
+    assert found == {i: [("MIT", 1.0, 1)] for i in range(4)} | {4: [("MIT", 1.0, 2)], 6: [("BSD-3-Clause", 1.0, 1)]}
+
+
 def test_every_template_needs_a_marker():
     """Whatever bigrams a unit lacks, one with a marker word is left if it reaches the threshold."""
     words = set(licenses.markers(licenses.TEMPLATES, licenses.THRESHOLD))
