@@ -270,8 +270,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Removed are the words covered by a window of ``window`` words that also starts anywhere else, in the same
     document too; all windows are judged on the input. A null text has no words. Rows that repeat an id are
-    documents of their own, as are rows without an id, which lose words only as copies of a whole text. Texts below
-    ``window`` words stay. An empty table gives no rows. Other columns are dropped.
+    documents of their own, as are rows without an id. Texts below ``window`` words stay. An empty table gives no rows. Other columns are dropped.
     """
     rows = narrow(docs, id_col, text_col)
     found = keep(_scan(rows, window, anchor))
@@ -281,7 +280,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchors = classes.select("id", F.xxhash64("digest").alias("part"), F.explode("anchors").alias("anchor"))
     shared = _shared(anchors, group_rows)
     texts = _squeezed(rows).select("id", F.xxhash64("digest").alias("part"), "packed")
-    suffixes = keep(_suffix_rows(texts.join(shared, ["id", "part"]), window, anchor))
+    own = texts["id"].eqNullSafe(shared["id"]) & (texts["part"] == shared["part"])
+    anchored = texts.join(shared, own).select(texts["id"], texts["part"], "packed", "shared", "frequent")
+    suffixes = keep(_suffix_rows(anchored, window, anchor))
     cuts = _repeats(suffixes).groupBy("id", "part").agg(F.collect_list("at").alias("at"))
     copied = found.join(classes.where("copies > 1").select("digest"), "digest", "left_semi")
     copied = copied.select("id", F.xxhash64("digest").alias("part"), F.lit(True).alias("copy")).distinct()

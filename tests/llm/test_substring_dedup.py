@@ -53,3 +53,14 @@ def test_whole_table(spark):
     for r in op8_substring_dedup(spark, FOLDER).collect():
         n, removed, kept = wanted[r.doc_id]
         assert (r.n_words, r.n_removed, r.kept_sha256) == (n, removed, hashlib.sha256(kept.encode()).hexdigest())
+
+
+def test_rows_without_an_id_take_part(spark):
+    """A passage shared with a row that has no id goes from both, and so does one that two such rows share."""
+    said = [" ".join(f"{name}{i}" for i in range(40)) for name in "pq"]
+    texts = [(1, f"one {said[0]}"), (None, f"{said[0]} two {said[1]}"), (None, f"three {said[1]}"), (None, "four")]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    found = substring_dedup.remove_repeats(rows).collect()
+    assert sorted((r.doc_id or 0, r.kept_text, r.n_removed) for r in found) == [
+        (0, "four", 0), (0, "three", 40), (0, "two", 80), (1, "one", 40),
+    ]
