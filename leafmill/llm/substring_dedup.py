@@ -1,18 +1,19 @@
-"""Repeated passages by suffix trees over prefix-partitioned suffixes.
+"""Repeated passages by hashes of fixed word windows, in place of suffix trees.
 
-A word suffix matters from ``window`` words on: windows that occur twice are the leaves below a tree node at least
-that deep. The tree is never built whole:
+A word is removed if a window of ``window`` words over it starts twice. That asks only whether two suffixes agree over
+their first ``window`` words, never how much further, so no tree is built: suffixes are not sorted by content, no
+depth is computed, and no repeat longer than the window is found as such. Longer ones show as windows side by side.
+A sort by content would have to move and compare the words themselves, and would mark the same words.
 
 1. Every window has an anchor, the word 8-gram in it with the smallest hash, so equal windows have equal anchors.
    Anchors are counted; suffixes whose anchor occurs once cannot repeat and are left out.
-2. The others are split by a prefix of variable length into groups that fit into memory: by their anchor and its
-   place as long as it occurs at most ``group_rows`` times, else by the whole window.
-3. A group, sorted by content, lists its subtree depth first: neighbours that agree over the window hang under an
-   internal node of that depth, which is a maximal repeat; its suffixes are marked. Groups of a whole window are
-   nodes already; their rows are counted, so a passage in very many documents is no hot key.
-
-Copies of a whole text are found first by digest; one of them takes part. Suffixes are held as 64-bit numbers: the
-hash of the group and that of the window must both agree.
+2. The others are split into groups: by their anchor and its place as long as it occurs at most ``group_rows`` times,
+   else by a second hash of the window.
+3. A group is sorted by the hash of the window; neighbours with the same one are marked. Of groups by the second hash
+   the rows of each hash are counted instead, so a passage in very many documents is no hot key.
+
+Copies of a whole text are found first by digest; one of them takes part. Apart from collisions, in which
+the hash of the group and that of the window both agree by chance, the removed words are those of the rule.
 """
 
 from __future__ import annotations
@@ -207,8 +208,8 @@ def _suffix_rows(texts: DataFrame, window: int, anchor: int) -> DataFrame:
 def _repeats(suffixes: DataFrame) -> DataFrame:
     """The suffixes (id, part, at) that share their window with another one."""
     rows = suffixes.select("id", "part", F.inline(F.arrays_zip("at", "prefix", "content", "long")))
-    depth_first = Window.partitionBy("prefix").orderBy("content")
-    beside = lambda f: F.coalesce(f("content").over(depth_first) == F.col("content"), F.lit(False))
+    by_window = Window.partitionBy("prefix").orderBy("content")
+    beside = lambda f: F.coalesce(f("content").over(by_window) == F.col("content"), F.lit(False))
     short = rows.where("not long").withColumn("deep", beside(F.lag) | beside(F.lead)).where("deep")
     frequent = rows.where("long")
     nodes = frequent.groupBy("prefix", "content").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
