@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, chat, exact_dedup, licenses, ngram_join, packing, pii, quality, substring_dedup, warc
+from leafmill.llm import (
+    bpe, chat, exact_dedup, licenses, merkle, ngram_join, packing, pii, quality, substring_dedup, token_counts,
+    vector_codes, warc,
+)
 from leafmill.sources.tables import sample_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,6 +19,8 @@ CHECKS: dict[str, str] = {}
 
 PACK_RANKS, PACK_JSON = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
+COUNT_JSON = "word_bpe_49k.json"
+TOKEN_LIMIT = 2048
 
 
 def query(sql: str | None = None):
@@ -176,3 +181,118 @@ def _license_sql() -> str:
 @query(_license_sql())
 def op10_licenses(spark: SparkSession, d: str) -> DataFrame:
     return licenses.scan(sample_table(spark, d, "documents"))
+
+
+MANIFEST_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _manifest_sql(levels: int = 9, tree_levels: int = 4) -> str:
+    """The manifest for trees of up to 8 to the number of levels leaves."""
+
+    def field(column: str) -> str:
+        return f"coalesce(octet_length(encode({column}::VARCHAR))::VARCHAR || ':' || {column}::VARCHAR, '-')"
+
+    def climb(name: str, depth: int) -> list[str]:
+        """Nodes of each level and the digests beside them, from ``{name}0`` on."""
+        steps = []
+        for k in range(depth):
+            beside = "coalesce(string_agg(d, '') OVER (PARTITION BY tree, pos // 8 ORDER BY pos ROWS BETWEEN {}), '')"
+            steps += [
+                f"{name}s{k} AS (SELECT tree, pos, n, {beside.format('UNBOUNDED PRECEDING AND 1 PRECEDING')} AS l,"
+                f" {beside.format('1 FOLLOWING AND UNBOUNDED FOLLOWING')} AS r FROM {name}{k})",
+                f"{name}{k + 1} AS (SELECT tree, pos // 8 AS pos, CASE WHEN min(n) > 1 THEN sha256(string_agg(d, '' ORDER BY pos)) ELSE min(d) END AS d,"
+                f" (min(n) + 7) // 8 AS n FROM {name}{k} GROUP BY tree, pos // 8)",
+            ]
+        return steps
+
+    def fold(name: str, depth: int, source: str) -> list[str]:
+        """``source`` (tree, pos, f, proof) hashed up level by level, to ``{name}f{depth}``."""
+        steps = [f"{name}f0 AS ({source})"]
+        for k in range(depth):
+            steps.append(
+                f"{name}f{k + 1} AS (SELECT o.* REPLACE (CASE WHEN n > 1 THEN sha256(l || f || r) ELSE f END AS f,"
+                f" CASE WHEN n > 1 THEN proof || l || r ELSE proof END AS proof) FROM {name}f{k} o JOIN {name}s{k} s"
+                f" ON o.tree = s.tree AND o.pos // {8**k} = s.pos)"
+            )
+        return steps
+
+    leaf = " || ".join(map(field, MANIFEST_COLUMNS))
+    tampered = " || ".join(field(f"translate(text, '{UPPER}', '{LOWER}')" if c == "text" else c) for c in MANIFEST_COLUMNS)
+    # CRC-32, a byte and then its eight bits (256) at a time.
+    bits = "flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT] || repeat([256::BIGINT], 8)))"
+    crc = (
+        f"xor(4294967295, list_reduce([4294967295::BIGINT] || {bits}, lambda a, x:"
+        " CASE WHEN x < 256 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))"
+    )
+    parts = [
+        f"h AS (SELECT doc_id, coalesce('=' || lang, '-') AS tree, sha256({leaf}) AS leaf,"
+        f" CASE WHEN {crc} % 3 = 0 THEN sha256({tampered}) ELSE sha256({leaf}) END AS tampered FROM documents)",
+        "p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM h)",
+        "a0 AS (SELECT tree, pos, leaf AS d, count(*) OVER (PARTITION BY tree) AS n FROM p)",
+        *climb("a", levels),
+        f"b0 AS (SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS pos, d, count(*) OVER () AS n, tree AS name FROM a{levels})",
+        *climb("b", tree_levels),
+        *fold("a", levels, "SELECT doc_id, tree, pos, leaf, tampered AS f, '' AS proof FROM p"),
+        *fold(
+            "b", tree_levels,
+            f"SELECT doc_id, b0.tree, b0.pos, leaf, b0.d AS subroot, f, proof FROM af{levels} o JOIN b0 ON o.tree = b0.name",
+        ),
+    ]
+    return (
+        f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, f AS folded_root,"
+        f" f = d AS verified FROM bf{tree_levels}, b{tree_levels}"
+    )
+
+
+@query(_manifest_sql())
+def op11_merkle(spark: SparkSession, d: str) -> DataFrame:
+    picked = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    lowered = F.when(picked, F.translate("text", UPPER, LOWER)).otherwise(F.col("text"))
+    rows = merkle.manifest(sample_table(spark, d, "documents"), MANIFEST_COLUMNS, tampered={"text": lowered})
+    rows = rows.select(
+        "doc_id", "leaf", "subroot", "root",
+        merkle.proof(F.col("path")).alias("proof_sha256"),
+        merkle.fold(F.col("path"), F.col("tampered_leaf")).alias("folded_root"),
+    )
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query()
+def op12_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    counted = token_counts.count(sample_table(spark, d, "documents"), public_tokenizers.path(COUNT_JSON))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+def _codes_sql() -> str:
+    k, parts = vector_codes.ENTRIES, vector_codes.PARTS
+    nearest = (
+        "SELECT vec_id, row, label, p.part, any_value(p.x) AS x, min((list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, c.x)"
+        " + list_inner_product(c.x, c.x))::BIGINT * {k} + entry) AS best FROM p JOIN c{r} c ON p.part = c.part GROUP BY vec_id, row, label, p.part"
+    )
+    steps = [
+        f"v AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id, embedding) AS row,"
+        f" list_transform(embedding, lambda x: floor({vector_codes.SCALE} * x::DOUBLE)) AS e"
+        " FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"p AS MATERIALIZED (SELECT vec_id, label, row, part, e[part * (len(e) // {parts}) + 1 : (part + 1) * (len(e) // {parts})] AS x FROM v, range({parts}) t(part))",
+        f"c0 AS MATERIALIZED (SELECT part, row - 1 AS entry, x FROM p WHERE row <= {k})",
+    ]
+    for r in range(vector_codes.ROUNDS + 1):
+        steps.append(f"a{r} AS MATERIALIZED ({nearest.format(k=k, r=r)})")
+        steps.append(
+            f"m{r} AS (SELECT part, entry, list(floor(total / n) ORDER BY i) AS x FROM (SELECT part, best % {k} AS entry, i, sum(value) AS total,"
+            f" count(*) AS n FROM (SELECT part, best, unnest(x) AS value, generate_subscripts(x, 1) AS i FROM a{r}) GROUP BY ALL) GROUP BY ALL)"
+        )
+        steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} m USING (part, entry))")
+    last = vector_codes.ROUNDS
+    return (
+        f"WITH {', '.join(steps)}, o AS (SELECT vec_id, row, label, string_agg(printf('%02x', best % {k}), '' ORDER BY part) AS code,"
+        f" sum(best // {k})::BIGINT AS error FROM a{last} GROUP BY ALL)"
+        " SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,"
+        f" (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda y: y::BIGINT), ','), ',' ORDER BY part, entry)) FROM c{last}) AS codebooks_sha256 FROM o"
+    )
+
+
+@query(_codes_sql())
+def op13_vector_codes(spark: SparkSession, d: str) -> DataFrame:
+    return vector_codes.compress(sample_table(spark, d, "embeddings"))
