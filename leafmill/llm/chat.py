@@ -66,6 +66,13 @@ def parse(formatted: Column) -> Column:
     return F.when(F.array_join(part(0), "") == formatted, turns)
 
 
+def masked(formatted: Column, loss: Column) -> Column:
+    """The texts under a loss mask, cut out of the formatted conversation by its byte ranges and unescaped."""
+    raw = formatted.cast("binary")
+    cut = lambda m: F.substring(raw, (m["start"] + 1).cast("int"), m["length"].cast("int")).cast("string")
+    return F.transform(loss, lambda m: unescape(cut(m)))
+
+
 def _digests(turns: Column) -> Column:
     return F.transform(turns, lambda t: F.xxhash64(t["role"], t["text"]))
 

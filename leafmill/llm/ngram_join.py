@@ -1,6 +1,7 @@
 """Jaccard join on word n-grams, exact, in size-banded tiles with bitmap bounds.
 
-1. Documents become sets of shingles (64-bit hashes). Equal sets form a class; its smallest id stands for it.
+1. Documents become sets of shingles (64-bit hashes). Equal sets form a class, which gets a number; ids come in again
+   only at the end, so rows that repeat an id or have none take part like all others.
 2. Two sets that link differ in at most k shingles, k following from their sizes. In a band of sizes, shingles are
    dealt by their hash to more than k buckets, so linked sets agree in whole buckets. A tile is a band, a bucket
    and its content. Buckets of under two shingles say little; they are left out where enough others remain that
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.components import components
-from leafmill.llm.words import Memo, narrow
+from leafmill.llm.words import Memo, narrow, text_digest
 from leafmill.session import keep
 
 WORDS, PERCENT = 3, 90
@@ -156,14 +157,14 @@ def sets(rows: DataFrame, words: int, percent: int) -> DataFrame:
             values = np.concatenate(tiles) if tiles else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id"), pa.array(sizes, pa.int32()), pa.array(classes, pa.binary()),
+                    batch.column("id"), batch.column("digest"), pa.array(sizes, pa.int32()), pa.array(classes, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(values)), pa.array(bits, pa.binary()),
                 ],
-                ["id", "n", "class", "tiles", "bits"],
+                ["id", "digest", "n", "class", "tiles", "bits"],
             )
 
     id_type = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {id_type}, n int, class binary, tiles array<long>, bits binary")
+    return rows.mapInArrow(run, f"id {id_type}, digest binary, n int, class binary, tiles array<long>, bits binary")
 
 
 def _squeezed(rows: DataFrame) -> DataFrame:
@@ -175,10 +176,10 @@ def _squeezed(rows: DataFrame) -> DataFrame:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             out = pa.array([squeeze(t.as_py().encode()) for t in batch.column("text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), out], ["id", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), out], ["id", "digest", "packed"])
 
     id_type = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {id_type}, packed binary")
+    return rows.mapInArrow(run, f"id {id_type}, digest binary, packed binary")
 
 
 def _passing(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
@@ -222,21 +223,27 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     """One row per document: ``n_shingles`` and ``component_id``, the smallest id it is linked with over any path.
 
     Two sets link when ``100 * overlap >= percent * union``. A text without words has no set and no links. Rows
-    that repeat an id with one text share a component; with several texts, the pairs of one of them count. A row
-    without an id is in the component of its copies, or in none. An empty table gives no rows. Other columns are dropped.
+    that repeat an id, with one text or several, and rows without an id are documents of their own; a component without
+    any id has none. ``component`` numbers the components of this run (null without words), ``digest`` (``text_digest``)
+    tells rows of one id apart. An empty table gives no rows. Other columns are dropped.
     """
-    rows = narrow(docs, id_col, text_col)
+    rows = narrow(docs, id_col, text_col).withColumn("digest", text_digest(F.col("text")))
     found = keep(sets(rows, words, percent))
     classes = found.where("class is not null").groupBy("class").agg(
-        F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("tiles").alias("tiles"),
+        F.min("id").alias("least"), F.min(F.struct("id", "digest")).alias("row"), F.first("tiles").alias("tiles"),
         F.first("n").alias("n"), F.first("bits").alias("bits"),
-    ).where("rep is not null")
-    bits = keep(classes.select(F.col("rep").alias("id"), "n", "bits", "tiles"))
-    members = keep(_members(bits))
-    # Texts move once, and only those that share a tile with another.
+    )
+    # Kept, so that the numbers stay.
+    classes = keep(classes.withColumn("id", F.monotonically_increasing_id()))
+    members = keep(_members(classes.select("id", "tiles")))
+    # Texts move once, one for each class that shares a tile with another.
     sharing = members.select("id").distinct()
-    texts = keep(_squeezed(rows).join(sharing, "id", "left_semi").dropDuplicates(["id"]))
-    bits = keep(bits.select("id", "n", "bits").join(sharing, "id", "left_semi"))
+    shared = keep(classes.select("id", "n", "bits", "row").join(sharing, "id", "left_semi"))
+    wanted = shared.select(F.col("id").alias("node"), F.col("row.id").alias("of"), F.col("row.digest").alias("of_digest"))
+    own = (F.col("digest") == F.col("of_digest")) & F.col("id").eqNullSafe(F.col("of"))
+    squeezed = _squeezed(rows).join(wanted, own).select(F.col("node").alias("id"), "packed")
+    texts = keep(squeezed.dropDuplicates(["id"]))
+    bits = shared.select("id", "n", "bits")
 
     def linked(pairs: DataFrame) -> DataFrame:
         return keep(_linked(keep(_passing(pairs, bits, percent)), texts, words, percent))
@@ -259,18 +266,16 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
         links = keep(links.unionByName(linked(pairs)))
         members = led.select("tile", "id", "led")
         roots = components(links)
-    copies = classes.where("copies > 1").select("class", "rep")
-    of_rep = roots.select(F.col("id").alias("rep"), "root")
-    return (
-        found.select("id", "n", "class")
-        .join(copies, "class", "left")
-        .withColumn("rep", F.coalesce("rep", "id"))
-        .join(of_rep, "rep", "left")
-        .select(
-            F.col("id").alias("doc_id"),
-            F.col("n").cast("long").alias("n_shingles"),
-            F.coalesce("root", "rep").alias("component_id"),
-        )
+    # Of classes to components, and of these to their smallest id.
+    placed = classes.select("class", "id", "least").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    placed = placed.select("class", "root").join(smallest, "root")
+    return found.select("id", "digest", "n", "class").join(placed, "class", "left").select(
+        F.col("id").alias("doc_id"),
+        F.col("n").cast("long").alias("n_shingles"),
+        F.coalesce("component_id", "id").alias("component_id"),
+        F.col("root").alias("component"),
+        "digest",
     )
 
 

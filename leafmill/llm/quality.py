@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.llm.words import text_digest
 from leafmill.session import keep
 
 # Base rule of the contract.
@@ -44,13 +45,15 @@ COUNTS = "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_lett
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """One row per document: ``doc_id``, ``stratum`` and the counts of ``COUNTS``.
+    """One row per document: ``doc_id``, ``stratum``, ``digest`` (``text_digest``) and the counts of ``COUNTS``.
 
-    A null text has no words; a null stratum is the empty string. Other columns are dropped.
+    A null text has no words; a null stratum is the empty string. Rows that repeat an id or have none are counted each;
+    an empty table gives no rows. Other columns are dropped.
     """
     rows = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"),
         F.coalesce(F.col(f"`{stratum_col}`").cast("string"), F.lit("")).alias("stratum"),
+        text_digest(F.col(f"`{text_col}`")).alias("digest"),
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
     )
 
@@ -58,10 +61,10 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", str
         for batch in batches:
             found = [_counts(text.as_py()) for text in batch.column("text")]
             columns = [pa.array(c, pa.int64()) for c in (zip(*found) if found else [()] * len(COUNTS))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "stratum", *COUNTS])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["doc_id", "stratum", "digest", *COUNTS])
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {id_type}, stratum string, " + ", ".join(f"{c} long" for c in COUNTS))
+    return rows.mapInArrow(run, f"doc_id {id_type}, stratum string, digest binary, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def _counts(text: str) -> tuple[int, ...]:
@@ -179,6 +182,9 @@ def judge(measured: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def rate(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """Counts, ``base_failed`` and ``kept`` per document of (doc_id, text, lang). The counts are kept."""
+    """Counts, ``base_failed`` and ``kept`` per document of (doc_id, text, lang). The counts are kept.
+
+    See :func:`measure` for odd rows; ``labels`` may be empty, then the base rule decides alone.
+    """
     measured = keep(measure(docs))
     return judge(measured, cutoffs(measured, labels, risk, error))

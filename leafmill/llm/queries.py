@@ -107,7 +107,7 @@ def op9_warc(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def op5_ngram_join(spark: SparkSession, d: str) -> DataFrame:
-    return ngram_join.link(sample_table(spark, d, "documents"))
+    return ngram_join.link(sample_table(spark, d, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 @query()
@@ -145,10 +145,9 @@ def op7_chat(spark: SparkSession, d: str) -> DataFrame:
     )
     rows = sample_table(spark, d, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
     turns = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    learned = F.filter("turns", lambda t: t["role"] == chat.LEARNED)
     read = chat.format_conversations(rows).select(
         "conv_id", "formatted", F.size("turns").cast("long").alias("n_turns"), F.array_join(turns, "").alias("said"),
-        F.array_join(F.transform(learned, lambda t: t["text"]), "").alias("loss"),
+        F.array_join(chat.masked(F.col("formatted"), F.col("loss")), "").alias("loss"),
     )
     return read.select(
         "conv_id", "n_turns",

@@ -31,6 +31,7 @@ VERSION = "WARC/1.0"
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 NAME = "urn:page:"
+NAMELESS = "urn:page"  # of a page without an id
 
 INDEX = "page_id {id}, file string, offset long, length long, url string, payload_digest string, record_type string"
 RECORDS = "page_id {id}, url string, record_type string, payload_digest string, refers_to {id}, payload binary"
@@ -67,7 +68,9 @@ def with_types(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
         .select("id", "digest", "winner")
         .distinct()
     )
-    return rows.join(revisits, ["id", "digest"], "left").select(
+    named = revisits.select(F.col("id").alias("of"), F.col("digest").alias("of_digest"), "winner")
+    own = (F.col("digest") == F.col("of_digest")) & F.col("id").eqNullSafe(F.col("of"))
+    return rows.join(named, own, "left").select(
         "id", "url", "html", "digest",
         F.when(F.col("winner").isNull(), "response").otherwise("revisit").alias("record_type"),
         F.col("winner").alias("refers_to"),
@@ -78,7 +81,7 @@ def _record(page, url: str, payload: bytes, digest: str, kind: str, refers_to) -
     head = [
         VERSION,
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <{NAME}{page}>",
+        f"WARC-Record-ID: <{NAMELESS if page is None else f'{NAME}{page}'}>",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=')}",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -99,7 +102,11 @@ def _parse(record: bytes, as_id) -> tuple:
     size = int(fields["Content-Length"])
     if version != VERSION or rest[size:] != b"\r\n\r\n":
         raise ValueError("not a record")
-    named = lambda key: as_id(fields[key].removeprefix(f"<{NAME}").removesuffix(">")) if key in fields else None
+
+    def named(key: str):
+        uri = fields.get(key, f"<{NAMELESS}>")[1:-1]
+        return None if uri == NAMELESS else as_id(uri.removeprefix(NAME))
+
     kind = fields["WARC-Type"]
     return (
         named("WARC-Record-ID"), unquote(fields["WARC-Target-URI"]), kind,
@@ -112,7 +119,8 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     """Writes all pages as records below ``folder`` and returns the index, which is kept.
 
     Null html is an empty payload, a null URL an empty one. Rows that repeat an id and payload are each written,
-    with the same type. An empty table writes nothing. Ids are integers or strings without line breaks.
+    with the same type. A page without an id is written under a name without one, revisits the largest id of its copies
+    if they have any, and is never revisited. An empty table writes nothing. Ids are integers or strings without line breaks.
     """
     rows = pages.select(
         F.col(f"`{id_col}`").alias("id"),
@@ -154,7 +162,8 @@ def read(index: DataFrame, folder: str, read_bytes: int = READ_BYTES, gap_bytes:
     """The records that the index rows name, read in coalesced byte ranges in the order of file and offset.
 
     A single read joins ranges up to ``read_bytes`` that lie at most ``gap_bytes`` apart; a longer record is one
-    read. The result has one row per index row; a revisit has no payload.
+    read. The result has one row per index row; a revisit has no payload, a page without an id none, and an empty index
+    gives no rows.
     """
     id_type = index.schema["page_id"].dataType.simpleString()
     as_id = str if id_type == "string" else int

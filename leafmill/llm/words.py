@@ -22,6 +22,11 @@ def narrow(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def text_digest(text: Column) -> Column:
+    """16 bytes that stand for a text (null: empty), where rows that share an id are told apart."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def one_space(text: Column) -> Column:
     """White space runs as one space each."""
     return F.regexp_replace(text, WHITE, " ")

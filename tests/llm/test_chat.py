@@ -21,12 +21,15 @@ def rows(spark, turns):
 
 def test_round_trip_of_hard_texts(spark):
     turns = [(c, i, ["user", "assistant"][i % 2], HARD[(i + c) % len(HARD)]) for c in range(4) for i in range(len(HARD))]
-    for r in chat.format_conversations(rows(spark, turns)).collect():
+    formatted = chat.format_conversations(rows(spark, turns))
+    for r in formatted.collect():
         own = [(t[2], t[3] or "") for t in turns if t[0] == r.conv_id]
         assert [(t.role, t.text) for t in r.turns] == own
         raw = r.formatted.encode()
         masked = [re.sub(r"(?s)\\(.)", r"\1", raw[m.start : m.start + m.length].decode()) for m in r.loss]
         assert masked == [text for role, text in own if role == "assistant"]
+        cut = spark.createDataFrame([r], formatted.schema).select(chat.masked(F.col("formatted"), F.col("loss")).alias("m"))
+        assert cut.first().m == masked
 
 
 def test_plain_texts_are_not_escaped(spark):

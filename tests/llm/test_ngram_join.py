@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter, defaultdict
 
@@ -64,6 +65,20 @@ def test_empty_table(spark):
     assert ngram_join.link(empty(spark)).count() == 0
 
 
+def test_no_link_is_lost_over_repeated_and_null_ids(spark):
+    """Each row is a document: the other text of an id links too, and so does a row without an id."""
+    words = [f"w{i}" for i in range(60)]
+    base, near, far = " ".join(words), " ".join(words[:-1]), " ".join(words[:-2])
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(5, base), (5, other), (9, other + " x"), (None, near), (12, far), (None, "alone here"), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.digest: r for r in ngram_join.link(frame, percent=90).collect()}
+    of = {t: found[hashlib.md5((t or "").encode()).digest()] for _, t in rows}
+    assert [of[t].component_id for _, t in rows] == [5, 5, 5, 5, 5, None, None]
+    assert of[base].component == of[near].component == of[far].component != of[other].component == of[other + " x"].component
+    assert of["alone here"].component is not None and of[None].component is None
+
+
 def test_whole_table(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in op5_ngram_join(spark, FOLDER).collect()}

@@ -47,6 +47,23 @@ def test_odd_rows_pass_every_stage(spark, tmp_path):
         assert {r.doc_id for r in found} == ({2} if rows is odd else set())
 
 
+def test_rows_that_share_an_id_are_judged_each(spark, tmp_path):
+    """A rejected row goes though another of its id stays; equal rows, with and without an id, stay once."""
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    edited = c.replace("c59", "changed")
+    rows = [(1, a), (1, "too short"), (1, a), (None, a), (2, b), (2, b), (None, b), (None, d), (None, d), (5, c), (None, edited), (7, c + " end"), (None, None)]
+    docs_ = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    left = stages["quality_rules"](spark, docs_, str(tmp_path))
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in left.collect()))) == sorted(repr(r) for r in rows if r[1] and r[1] != "too short")
+    left = stages["exact_duplicates"](spark, left, str(tmp_path))
+    once = [(1, a), (2, b), (None, d), (5, c), (None, edited), (7, c + " end")]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in left.collect()))) == sorted(map(repr, once))
+    left = stages["near_duplicates"](spark, left, str(tmp_path))
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in left.collect()))) == sorted(map(repr, [(1, a), (2, b), (None, d), (5, c)]))
+
+
 def test_entry_lists_it():
     assert "pipeline" in entry.queries() and "pipeline" not in entry.oracle_sql()
     assert quality.RISK < 0.05

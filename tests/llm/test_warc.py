@@ -35,6 +35,18 @@ def test_odd_rows(spark, tmp_path):
         assert r.payload is None if refers_to else bytes(r.payload) == bodies[r.page_id]
 
 
+def test_pages_without_an_id(spark, tmp_path):
+    """They revisit a copy that has one; copies without any id are all responses."""
+    folder = f"file://{tmp_path}/warc"
+    long, other = "n" * 1500, "m" * 1500
+    rows = [(None, "http://a", long), (None, "http://b", long), (7, "http://c", long), (3, "http://d", long), (None, "x", other), (None, "y", other), (None, None, None)]
+    found = warc.read(warc.write(pages(spark, rows), folder), folder).collect()
+    assert sorted((r.page_id or 0, r.url, r.record_type, r.refers_to or 0, len(r.payload or b"")) for r in found) == [
+        (0, "", "response", 0, 0), (0, "http://a", "revisit", 7, 0), (0, "http://b", "revisit", 7, 0),
+        (0, "x", "response", 0, 1500), (0, "y", "response", 0, 1500), (3, "http://d", "revisit", 7, 0), (7, "http://c", "response", 0, 1500),
+    ]
+
+
 def test_index_finds_single_records(spark, tmp_path):
     folder = f"file://{tmp_path}/warc"
     index = warc.write(pages(spark, ROWS), folder)
