@@ -221,14 +221,18 @@ def count(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _stored(path).pieces
+        last, n = None, 0
         for batch in batches:
-            tokens = batch.column("token")
-            made = pa.array([pieces(t) for t in tokens.to_pylist()], pa.int32())
-            yield pa.RecordBatch.from_arrays([tokens, made], ["token", "pieces"])
+            made = []
+            for token in batch.column("token").to_pylist():
+                if token != last:  # rows of one pre-token stand together
+                    last, n = token, pieces(token)
+                made.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("at"), pa.array(made, pa.int32())], ["block", "at", "pieces"])
 
     held = kept.select("block", F.posexplode("tokens").alias("at", "token"))
-    counted = held.select("token").distinct().mapInArrow(measure, "token string, pieces int")
-    back = held.join(counted, "token").select("block", "at", "pieces")
+    together = held.repartition("token").sortWithinPartitions("token")
+    back = together.mapInArrow(measure, "block long, at int, pieces int")
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
         import numpy as np
