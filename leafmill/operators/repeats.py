@@ -2,181 +2,53 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from leafmill.functions.text import letter_runs
-from leafmill.operators.ordering import match
-from leafmill.session import keep
-
-PIECE = 256  # characters a text is cut into before suffixes are taken
-SPAN = 96  # characters of a suffix that are compared in one round
-HEAD = 2  # suffixes are dealt out by so many first characters
-
-
-def _pieces(texts: DataFrame, keys: Sequence[str], text: str, reach: int) -> DataFrame:
-    """Overlapping pieces of each text, because taking a substring costs time in its distance from the start."""
-    size = F.char_length(F.col(text))
-    starts = F.sequence(F.lit(0), size - 1, F.lit(PIECE))
-    found = texts.filter(size > 0).select(*keys, F.col(text), size.alias("_n"), F.explode(starts).alias("_from"))
-    return found.select(
-        *keys,
-        F.substring(F.col(text), F.col("_from") + 1, F.lit(PIECE + reach)).alias("_piece"),
-        F.least(F.col("_n") - F.col("_from"), F.lit(PIECE)).alias("_here"),
-        F.least(F.col("_n") - F.col("_from"), F.lit(PIECE + reach)).alias("_len"),
-        "_from",
-    )
-
+from leafmill.operators import suffixes
 
-def _short_nodes(texts: DataFrame, keys: Sequence[str], text: str, longest: int) -> DataFrame:
-    """Nodes of up to ``longest`` characters, the empty one included: substrings that two different symbols follow."""
-    placed = _pieces(texts, keys, text, longest).withColumn("_i", F.explode(F.sequence(F.lit(1), "_here")))
-    room = F.least(F.lit(longest), F.col("_len") - F.col("_i") + 1)
-    sized = placed.withColumn("_l", F.explode(F.sequence(F.lit(0), room)))
-    grams = sized.select(
-        *keys,
-        F.substring("_piece", F.col("_i"), F.col("_l")).alias("gram"),
-        F.substring("_piece", F.col("_i") + F.col("_l"), F.lit(1)).alias("next"),
-    )
-    # Different symbols are told by smallest and largest, which combine before the shuffle like the counts.
-    counted = grams.groupBy(*keys, "gram").agg(
-        F.count(F.lit(1)).alias("freq"),
-        F.min("next").alias("_low"), F.max("next").alias("_high"),
-        F.count_if(F.col("next") == "").alias("_ends"),
-    )
-    branching = (F.col("_low") != F.col("_high")) | (F.col("_ends") > 1) | (F.col("gram") == "")
-    return counted.filter(branching).select(*keys, "gram", "freq")
 
+def repeated_substrings(texts: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """Repeated substrings of any length that at least two different symbols follow, with counts.
 
-def _shared_length(a: str, b: str) -> int:
-    return len(os.path.commonprefix((a, b)))
+    These are the inner nodes of a suffix tree, the empty one included. ``keys`` names a text; with no keys counts
+    are over all texts together. The end of each text is a symbol of its own, so two ends differ. The rounds follow the
+    logarithm of the longest repeat, and no text has to fit into a task.
+    """
+    found, groups, rows = _nodes(texts, keys, text)
+    grams = suffixes.substrings(found, rows).select("_g", "gram", "freq")
+    roots = rows.groupBy("_g").agg(F.sum(F.char_length("_text")).alias("freq")).where("freq > 0")
+    grams = grams.unionByName(roots.select("_g", F.lit("").alias("gram"), "freq"))
+    return grams.join(groups, "_g").select(*keys, "gram", "freq")
 
 
-def _subtrees(rows: DataFrame, keys: Sequence[str], first: bool) -> DataFrame:
-    """Nodes below each head. Sorted suffixes are read once; a stack holds the open nodes of the current path.
+def repeat_places(texts: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """As ``repeated_substrings``, but each substring by its length and one place of it, for very long repeats.
 
-    A node that ends where the compared characters end is left to the next round, which starts with it.
+    ``keys`` should tell the texts apart, as ``pos`` is a position in a text of theirs.
     """
-    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("gram", T.StringType()), T.StructField("freq", T.LongType())])
-    group = [*keys, "head"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, last, seen, stack, found = None, "", 0, [], []
-
-        def close(down_to: int) -> int:
-            """Ends nodes deeper than ``down_to``; where the last of them began."""
-            begin = seen - 1
-            while stack and stack[-1][0] > down_to:
-                depth, begin = stack.pop()
-                if depth < SPAN and (not first or depth > HEAD):
-                    found.append((*current[:-1], current[-1] + last[:depth], seen - begin))
-            return begin
-
-        def out() -> pa.RecordBatch:
-            columns = list(zip(*found))
-            found.clear()
-            return pa.RecordBatch.from_pylist([dict(zip(schema.names, row)) for row in zip(*columns)], schema=arrow)
-
-        arrow = to_arrow_schema(schema)
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in [*group, "tail"])):
-                if row[:-1] != current:
-                    if current is not None:
-                        close(-1)
-                    current, last, seen, stack = row[:-1], row[-1], 1, []
-                    continue
-                shared = _shared_length(last, row[-1])
-                begin = close(shared)
-                if not stack or stack[-1][0] < shared:
-                    stack.append((shared, begin))
-                last, seen = row[-1], seen + 1
-            if len(found) > 10_000:
-                yield out()
-        if current is not None:
-            close(-1)
-        if found:
-            yield out()
-
-    dealt = [*keys, F.substring(F.concat("head", "tail"), 1, HEAD)] if first else [F.col(c) for c in group]
-    ordered = rows.select(*group, "tail").repartition(*dealt).sortWithinPartitions(*group, "tail")
-    return ordered.mapInArrow(run, schema)
+    found, groups, _ = _nodes(texts, keys, text)
+    return found.join(groups, "_g").select(*keys, "pos", "length", "freq")
 
 
-def repeated_substrings(texts: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
-    """Repeated substrings of any length that at least two different symbols follow, with counts.
-
-    These are the inner nodes of a suffix tree, the empty one included. ``keys`` names a text; with no keys counts
-    are over all texts together. The end of each text is a symbol of its own, so two ends differ. Short nodes are
-    counted; for longer ones suffixes are dealt out by their first characters, sorted on the next ``SPAN`` and read
-    once. Suffixes that agree in all of these go into another round with what follows, until none is left, so the
-    rounds follow the longest repeat and no text or group has to fit into memory.
-    """
-    found = _short_nodes(texts, keys, text, HEAD)
-    offset, heads = 0, None
-    while True:
-        placed = _pieces(texts, keys, text, offset + SPAN)
-        placed = placed.withColumn("_i", F.explode(F.sequence(F.lit(1), "_here")))
-        rows = placed.select(
-            *keys,
-            F.substring("_piece", F.col("_i"), F.lit(offset)).alias("head"),
-            F.substring("_piece", F.col("_i") + offset, F.lit(SPAN)).alias("tail"),
-        )
-        if heads is not None:
-            rows = match(rows.where(F.char_length("head") == offset), heads, [*keys, "head"], "left_semi")
-        rows = keep(rows)
-        found = found.unionByName(_subtrees(rows, keys, heads is None))
-        full = rows.where(F.char_length("tail") == SPAN).select(*keys, F.concat("head", "tail").alias("head"))
-        heads = keep(full.groupBy(*keys, "head").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
-        if heads.isEmpty():
-            return found
-        offset += SPAN
+def _nodes(texts: DataFrame, keys: Sequence[str], text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows, groups = suffixes.numbered(texts, text, keys)
+    return suffixes.nodes(suffixes.neighbours(suffixes.rank(rows))), groups, rows
 
 
 def suffix_order(texts: DataFrame, key: str, text: str) -> DataFrame:
     """Suffixes of each text in order, with the length of the prefix shared with the one before.
 
-    Ranks of blocks of 1, 2, 4, ... characters are refined until all differ, so suffixes are told apart at any
-    depth; memory is linear in a text. A null or empty text has no suffixes.
+    Rows that repeat a key are texts of their own. A null or empty text has no suffixes.
     """
-    rows = texts.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, value in enumerate(batch.column("_text").to_pylist()):
-                order, shared = _suffixes(value)
-                ids = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(order), np.int32)), batch.column("_key").slice(i, 1))
-                columns = [ids.dictionary_decode(), *(pa.array(x.astype(np.int32)) for x in (np.arange(len(order)), order, shared))]
-                yield pa.RecordBatch.from_arrays(columns, [key, "rank", "pos", "shared"])
-
-    kind = rows.schema["_key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{key}` {kind}, rank int, pos int, shared int")
-
-
-def _suffixes(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the suffixes in order, and what each shares with the one before."""
-    n = len(text)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    levels = [np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32), return_inverse=True)[1].astype(np.int64) + 1]
-    while len(np.unique(levels[-1])) < n:
-        step = 1 << (len(levels) - 1)
-        after = np.concatenate([levels[-1][step:], np.zeros(min(step, n), np.int64)])
-        levels.append(np.unique(levels[-1] * (n + 1) + after, return_inverse=True)[1].astype(np.int64) + 1)
-    order = np.argsort(levels[-1])
-    a, b, shared = order[:-1].copy(), order[1:].copy(), np.zeros(n, np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        inside = (a < n) & (b < n)
-        same = inside & (levels[k][np.minimum(a, n - 1)] == levels[k][np.minimum(b, n - 1)])
-        for x in (a, b, shared[1:]):
-            x[same] += 1 << k
-    return order, shared
+    rows, groups = suffixes.numbered(texts.select(key, text), text, None)
+    placed = suffixes.neighbours(suffixes.rank(rows))
+    return placed.join(groups, "_g").select(
+        key, F.col("rank").cast("int").alias("rank"), F.col("pos").cast("int").alias("pos"), F.col("shared").cast("int").alias("shared")
+    )
 
 
 def repeated_passages(texts: DataFrame, text: str, length: int) -> DataFrame:

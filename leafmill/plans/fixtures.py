@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.operators.ordering import arrange
+from leafmill.operators.text_index import StoredIndex
 from leafmill.operators.vocabulary import word_occurrences
+from leafmill.session import fresh_path
 from leafmill.sources.tables import sample_table, spread
 
 # Signal features are made with these parameters on the short sample signals.
@@ -50,6 +52,18 @@ def unnumbered_pages(spark: SparkSession, d: str) -> DataFrame:
     return _as_pages(documents(spark, d))
 
 
+_PAGE_INDEXES: dict[tuple[str, str], StoredIndex] = {}
+
+
+def page_index(spark: SparkSession, d: str) -> StoredIndex:
+    """The stored index over the texts of all pages, which the searches of a session share."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _PAGE_INDEXES:
+        index = StoredIndex(spark, fresh_path(spark, "page-index"), "id", ("ocr_text_plain",))
+        _PAGE_INDEXES[key] = index.create(unnumbered_pages(spark, d).select("id", "ocr_text_plain"))
+    return _PAGE_INDEXES[key]
+
+
 def documents(spark: SparkSession, d: str) -> DataFrame:
     """Documents on all cores, for work on their texts."""
     return spread(sample_table(spark, d, "documents"))
@@ -101,6 +115,8 @@ def notes(spark: SparkSession, d: str) -> DataFrame:
         F.col("text").alias("user_memo"),
         F.lit(None).cast("string").alias("tags"),
         F.col("id").alias("created_seq"),
+        F.substring("text", 1, 60).alias("ocr_text_plain"),
+        F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("voice_transcript"),
     )
 
 
@@ -234,7 +250,8 @@ SQL = {
     "fx_notes": """
         SELECT row_number() OVER (ORDER BY conv_id, turn) AS id, role AS book_title,
                turn::INTEGER AS page_number, text AS user_memo, NULL::VARCHAR AS tags,
-               row_number() OVER (ORDER BY conv_id, turn) AS created_seq
+               row_number() OVER (ORDER BY conv_id, turn) AS created_seq,
+               substring(text, 1, 60) AS ocr_text_plain, 'turn ' || turn::VARCHAR AS voice_transcript
         FROM conversations""",
     "fx_annotations": """
         SELECT id, book_id, page_number, annotation_type, content,

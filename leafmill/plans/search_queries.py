@@ -11,7 +11,7 @@ from leafmill.plans.registry import query
 from leafmill.sources.tables import sample_table
 
 TEXT = ["ocr_text_plain"]
-NOTE_COLUMNS = ["user_memo", "book_title"]
+NOTE_COLUMNS = ["ocr_text_plain", "user_memo", "book_title", "voice_transcript"]
 BEST = 10  # documents that a search with many queries returns for each
 
 
@@ -37,30 +37,30 @@ def inverted_index(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_DOCS} SELECT id FROM docs WHERE list_has_all(ts, ['tion', 'ble', 'thing'])")
 def search_all_terms(spark: SparkSession, d: str) -> DataFrame:
     terms = ["tion", "ble", "thing"]
-    return search.match_all(search.postings(fx.unnumbered_pages(spark, d), "id", TEXT, terms), terms)
+    return search.match_all(fx.page_index(spark, d).postings(terms), terms)
 
 
 @query(f"WITH {_DOCS} SELECT id FROM docs WHERE list_has_any(ts, ['thing', 'thble', 'anea'])")
 def search_any(spark: SparkSession, d: str) -> DataFrame:
     terms = ["thing", "thble", "anea"]
-    return search.match_any(search.postings(fx.unnumbered_pages(spark, d), "id", TEXT, terms), terms)
+    return search.match_any(fx.page_index(spark, d).postings(terms), terms)
 
 
 @query(f"WITH {_DOCS} SELECT id FROM docs WHERE list_contains(ts, 'with') AND NOT list_has_any(ts, ['tion', 'are'])")
 def search_none(spark: SparkSession, d: str) -> DataFrame:
-    rows = search.postings(fx.unnumbered_pages(spark, d), "id", TEXT, ["with", "tion", "are"])
+    rows = fx.page_index(spark, d).postings(["with", "tion", "are"])
     return search.match_terms(rows, every=["with"], none=["tion", "are"])
 
 
 @query(f"WITH {_DOCS} SELECT id FROM docs WHERE contains(' ' || list_aggregate(ts, 'string_agg', ' ') || ' ', ' the and the ')")
 def search_phrase(spark: SparkSession, d: str) -> DataFrame:
-    rows = search.postings(fx.unnumbered_pages(spark, d), "id", TEXT, ["the", "and"])
+    rows = fx.page_index(spark, d).postings(["the", "and"])
     return search.match_phrase(rows, ["the", "and", "the"])
 
 
 @query(f"WITH {_DOCS} SELECT id FROM docs WHERE len(list_filter(ts, lambda t: starts_with(t, 'retition'))) > 0")
 def search_prefix(spark: SparkSession, d: str) -> DataFrame:
-    rows = search.postings(fx.unnumbered_pages(spark, d), "id", TEXT, prefixes=["retition"])
+    rows = fx.page_index(spark, d).postings(prefixes=["retition"])
     return search.match_prefix(rows, "retition")
 
 
@@ -77,13 +77,20 @@ def _bm25(asked: str, extra: str = "") -> str:
 @query(f"WITH {_POSTINGS}, {_bm25(chr(39) + 'thing' + chr(39) + ', ' + chr(39) + 'thble' + chr(39) + ', ' + chr(39) + 'anea' + chr(39))} SELECT id, round(sum(part), 6) AS score FROM parts GROUP BY id")
 def search_bm25(spark: SparkSession, d: str) -> DataFrame:
     terms = ["thing", "thble", "anea"]
-    pages = fx.unnumbered_pages(spark, d)
-    scores = search.bm25(
-        search.postings(pages, "id", TEXT, terms), search.lengths(pages, "id", TEXT), terms
-    )
+    pages = fx.page_index(spark, d)
+    scores = search.bm25(pages.postings(terms), pages.lengths(), terms)
     return scores.withColumn("score", F.round("score", 6))
 
 
+@query(
+    f"""WITH {_POSTINGS}, {_bm25("'thing', 'thble', 'anea'")}, sums AS (SELECT id, sum(part) AS score FROM parts GROUP BY id ORDER BY score DESC, id LIMIT {BEST})
+        SELECT id, round(score, 6) AS score FROM sums"""
+)
+def search_top_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The best pages for three terms; blocks of the index that cannot hold one are not read."""
+    return fx.page_index(spark, d).best(["thing", "thble", "anea"], BEST).withColumn("score", F.round("score", 6))
+
+
 _ASKED = f"""asked AS (SELECT DISTINCT item_id AS query_id, unnest({_tokens('text')}) AS term FROM benchmark)"""
 
 
@@ -95,15 +102,14 @@ _ASKED = f"""asked AS (SELECT DISTINCT item_id AS query_id, unnest({_tokens('tex
 )
 def search_many_queries(spark: SparkSession, d: str) -> DataFrame:
     """Every benchmark text as a query of its terms, against every page; the best pages of each."""
-    pages = fx.unnumbered_pages(spark, d)
+    pages = fx.page_index(spark, d)
     asked = search.postings(sample_table(spark, d, "benchmark"), "item_id", ["text"]).select(
         F.col("id").alias("query_id"), "term"
     )
-    rows = search.postings(pages, "id", TEXT)
-    return search.best_per_query(search.bm25_many(rows, search.lengths(pages, "id", TEXT), asked), BEST)
+    return search.best_per_query(search.bm25_many(pages.postings(), pages.lengths(), asked), BEST)
 
 
-_NOTE_DOCS = f"""docs AS (SELECT id, {_tokens('user_memo')} || {_tokens('book_title')} AS ts FROM fx_notes),
+_NOTE_DOCS = f"""docs AS (SELECT id, {' || '.join(map(_tokens, NOTE_COLUMNS))} AS ts FROM fx_notes),
     postings AS (SELECT id, unnest(ts) AS term FROM docs)"""
 
 
@@ -133,18 +139,18 @@ def _ranked(accepted: str) -> str:
         {_ranked("contains(' ' || list_aggregate(ts, 'string_agg', ' ') || ' ', ' the and the ')")}"""
 )
 def search_phrase_ranked(spark: SparkSession, d: str) -> DataFrame:
-    pages = fx.unnumbered_pages(spark, d)
-    rows = search.postings(pages, "id", TEXT, ["the", "and"])
+    pages = fx.page_index(spark, d)
+    rows = pages.postings(["the", "and"])
     ids = search.match_phrase(rows, ["the", "and", "the"])
-    return search.with_rank(search.bm25(rows, search.lengths(pages, "id", TEXT), ["the", "and"], ids))
+    return search.with_rank(search.bm25(rows, pages.lengths(), ["the", "and"], ids))
 
 
 @query(f"""WITH {_POSTINGS}, {_bm25("'with'")} {_ranked("NOT list_has_any(ts, ['tion', 'are'])")}""")
 def search_none_ranked(spark: SparkSession, d: str) -> DataFrame:
-    pages = fx.unnumbered_pages(spark, d)
-    rows = search.postings(pages, "id", TEXT, ["with", "tion", "are"])
+    pages = fx.page_index(spark, d)
+    rows = pages.postings(["with", "tion", "are"])
     ids = search.match_terms(rows, every=["with"], none=["tion", "are"])
-    return search.with_rank(search.bm25(rows, search.lengths(pages, "id", TEXT), ["with"], ids))
+    return search.with_rank(search.bm25(rows, pages.lengths(), ["with"], ids))
 
 
 @query(
@@ -152,9 +158,9 @@ def search_none_ranked(spark: SparkSession, d: str) -> DataFrame:
         {_bm25("'retition'")} {_ranked("true")}"""
 )
 def search_prefix_ranked(spark: SparkSession, d: str) -> DataFrame:
-    pages = fx.unnumbered_pages(spark, d)
-    rows = search.postings(pages, "id", TEXT, prefixes=["retition"])
-    return search.with_rank(search.bm25_prefix(rows, search.lengths(pages, "id", TEXT), "retition"))
+    pages = fx.page_index(spark, d)
+    rows = pages.postings(prefixes=["retition"])
+    return search.with_rank(search.bm25_prefix(rows, pages.lengths(), "retition"))
 
 
 @query(

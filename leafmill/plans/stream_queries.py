@@ -9,10 +9,11 @@ from pyspark.sql import types as T
 from leafmill.operators import search
 from leafmill.plans import fixtures as fx
 from leafmill.plans.registry import query
+from leafmill.operators.text_index import StoredIndex
 from leafmill.plans.search_queries import NOTE_COLUMNS, _bm25, _tokens
 from leafmill.session import fresh_path
 from leafmill.streaming import events as stream
-from leafmill.streaming.notes import ingest_notes
+from leafmill.streaming.notes import ingest_notes, maintain_index
 from leafmill.streaming.progress import maintain_progress
 from leafmill.streaming.windows import sessions, window_counts
 
@@ -141,7 +142,51 @@ def note_ingest_stream(spark: SparkSession, d: str) -> DataFrame:
         F.col("text").alias("user_memo"), F.col("role").alias("book_title"),
     )
     root = fresh_path(spark, "notes")
-    ingest_notes(arriving, root, NOTE_COLUMNS)
+    ingest_notes(arriving, root, ["user_memo", "book_title"])
     rows, sizes = (spark.read.parquet(f"{root}/{n}") for n in ("postings", "lengths"))
     scores = search.bm25(rows, sizes, ["reaux", "assistant", "ment"])
     return scores.withColumn("score", F.round("score", 6))
+
+
+_CHANGED = f"""changed AS (SELECT id, ocr_text_plain, CASE WHEN id % 3 = 0 THEN 'revised ' || user_memo ELSE user_memo END AS user_memo,
+        CASE WHEN id % 7 = 0 THEN 'appendix' ELSE book_title END AS book_title, voice_transcript FROM fx_notes WHERE id % 5 <> 0 OR id % 35 = 0),
+    docs AS (SELECT id, {' || '.join(map(_tokens, NOTE_COLUMNS))} AS ts FROM changed),
+    postings AS (SELECT id, unnest(ts) AS term FROM docs)"""
+
+
+@query(
+    f"""WITH {_CHANGED}, {_bm25("'revised', 'appendix', 'ment'")}
+        SELECT s.id, s.score, n.book_title, length(n.user_memo) AS memo_chars FROM (
+            SELECT id, round(sum(part), 6) AS score FROM parts GROUP BY id) s JOIN changed n ON n.id = s.id""",
+    "fx_notes",
+)
+def note_change_stream(spark: SparkSession, d: str) -> DataFrame:
+    """All notes are indexed; then a log of changes arrives in three batches, with a restart before each.
+
+    Every third memo is rewritten, every fifth note is deleted, every seventh comes (back) with another title. The
+    stored index is then searched, and its hits meet the stored notes.
+    """
+    notes = fx.notes(spark, d).select("id", *NOTE_COLUMNS)
+    root = fresh_path(spark, "note-index")
+    index = StoredIndex(spark, f"{root}/index", "id", tuple(NOTE_COLUMNS)).create(notes)
+    revised = F.concat(F.lit("revised "), F.col("user_memo"))
+    memo = F.when(F.col("id") % 3 == 0, revised).otherwise(F.col("user_memo")).alias("user_memo")
+    other = [c for c in NOTE_COLUMNS if c != "user_memo"]
+    batches = [
+        # Written twice: the earlier change of an id loses against the later one of the batch.
+        notes.where("id % 3 = 0").select("id", *NOTE_COLUMNS, F.lit(False).alias("deleted"), F.lit(1).alias("seq")).unionByName(
+            notes.where("id % 3 = 0").select("id", *other, memo, F.lit(False).alias("deleted"), F.lit(2).alias("seq"))
+        ),
+        notes.where("id % 5 = 0").select("id", *NOTE_COLUMNS, F.lit(True).alias("deleted"), F.lit(3).alias("seq")),
+        notes.where("id % 7 = 0").withColumn("book_title", F.lit("appendix")).withColumn("user_memo", memo).select(
+            "id", *NOTE_COLUMNS, F.lit(False).alias("deleted"), F.lit(4).alias("seq")
+        ),
+    ]
+    for batch in batches:
+        batch.write.mode("append").parquet(f"{root}/changes")
+        arriving = spark.readStream.schema(batch.schema).parquet(f"{root}/changes")
+        maintain_index(arriving, index, ["seq"], f"{root}/checkpoint")
+    terms = ["revised", "appendix", "ment"]
+    scores = search.bm25(index.postings(terms), index.lengths(), terms)
+    found = search.ranked_rows(scores.withColumn("score", F.round("score", 6)), index.documents(), "id")
+    return found.select("id", "score", "book_title", F.char_length("user_memo").cast("long").alias("memo_chars"))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from leafmill.functions import arrays, audio, geometry, text
 from leafmill.functions.documents import from_document, last_states, to_document
 from leafmill.operators import (
-    audits, catalog, convert, export, layout, merge, repeats, search, signal, slots, tokens,
+    audits, catalog, convert, export, layout, merge, repeats, search, signal, slots, suffixes, tokens,
     vocabulary, writes,
 )
 from leafmill.operators.ordering import arrange
@@ -214,7 +214,7 @@ def test_repeats(spark):
 def test_repeats_of_any_length(spark):
     """Repeats that end before, at and after the characters compared in a round."""
     alphabet = [chr(0x4E00 + i) for i in range(400)]
-    for size in (repeats.SPAN - 1, repeats.SPAN, repeats.SPAN + 1, 2 * repeats.SPAN, 3 * repeats.SPAN + 5):
+    for size in (suffixes.BLOCK - 1, suffixes.BLOCK, suffixes.BLOCK + 1, 64, 300):
         text = "".join(alphabet[:size]) + "X" + "".join(alphabet[:size]) + "Y" + "".join(alphabet[:size])
         assert {r.gram: r.freq for r in nodes(spark, text).collect()} == brute_nodes(text)
     assert {r.gram: r.freq for r in nodes(spark, "a" * 250).collect()} == brute_nodes("a" * 250)
