@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import geometry
+from leafmill.operators.joins import broadcast_if_small
 from leafmill.operators.ordering import (
     GROUP_ROWS,
     TEXT_GROUP_ROWS,
@@ -24,8 +26,8 @@ PARAGRAPH_GAP = 50.0
 # Pages with more boxes than this are suppressed box by box over the cluster.
 PAGE_BOXES = 2_000
 
-# Side of the square tiles in which overlapping boxes meet.
-TILE = 256.0
+# Boxes below 2 to this power wide or high share a level.
+LEAST_LEVEL = -30
 
 
 def detector_boxes(
@@ -208,43 +210,64 @@ def book_document(
     return rows.texts({"document": F.concat(F.col(text), separator)}, part_pages)
 
 
-def _tiles(boxes: DataFrame, tile: float) -> DataFrame:
-    """One row per tile a box reaches into; boxes without area reach none."""
+def _placed(boxes: DataFrame, min_iou: float) -> DataFrame:
+    """Boxes in the tiles of every grid on which they meet others of their page.
 
-    def cells(low: str, high: str) -> Column:
-        return F.sequence(F.floor(F.col(low) / tile), F.floor(F.col(high) / tile))
-
-    solid = boxes.filter("x2 > x1 and y2 > y1")
-    return solid.withColumn("tx", F.explode(cells("x1", "x2"))).withColumn(
-        "ty", F.explode(cells("y1", "y2"))
+    A box has a level per direction, the power of two that its side just fits into, and two boxes meet on the grid of
+    the larger level in either direction. So a box reaches into at most four tiles of a grid, small boxes get small
+    tiles, and a page has no more grids than its boxes have pairs of levels. Boxes above ``min_iou`` are alike in size,
+    which leaves out grids of much larger ones. Boxes without area are in no tile.
+    """
+    level = lambda low, high: F.greatest(F.ceil(F.log2(F.col(high) - F.col(low))).cast("int"), F.lit(LEAST_LEVEL))
+    sized = boxes.filter("x2 > x1 and y2 > y1").withColumns({"_lx": level("x1", "x2"), "_ly": level("y1", "y2")})
+    levels = sized.groupBy("page_id").agg(F.collect_set(F.struct("_lx", "_ly")).alias("_met"))
+    alike = F.col("_met")
+    if min_iou > 0:
+        apart = math.ceil(-math.log2(min_iou)) + 1
+        alike = F.filter(alike, lambda m: (F.abs(m["_lx"] - F.col("_lx")) <= apart) & (F.abs(m["_ly"] - F.col("_ly")) <= apart))
+    grids = F.transform(alike, lambda m: F.struct(F.greatest(m["_lx"], "_lx").alias("gx"), F.greatest(m["_ly"], "_ly").alias("gy")))
+    names = F.struct(*[c for c in boxes.columns if c != "page_id"]).alias("box")
+    rows = match(sized, broadcast_if_small(keep(levels)), ["page_id"], "inner")
+    rows = rows.withColumn("_grid", F.explode(F.array_distinct(grids))).select(
+        "page_id", "_grid.*", (F.col("_lx") == F.col("_grid.gx")).alias("nx"), (F.col("_ly") == F.col("_grid.gy")).alias("ny"), names
     )
 
+    def cells(low: str, high: str, grid: str) -> Column:
+        side = F.pow(F.lit(2.0), F.col(grid))
+        return F.sequence(F.floor(F.col(f"box.{low}") / side), F.floor(F.col(f"box.{high}") / side))
+
+    return rows.withColumn("tx", F.explode(cells("x1", "x2", "gx"))).withColumn("ty", F.explode(cells("y1", "y2", "gy")))
+
 
-def _pairs(boxes: DataFrame, min_iou: float, before: Column, tile: float) -> DataFrame:
-    """Overlapping pairs of boxes of a page, structs ``a`` and ``b``, with ``iou``.
+def _pairs(boxes: DataFrame, min_iou: float, before: Callable[[Column, Column], Column]) -> DataFrame:
+    """Overlapping pairs of boxes of a page, structs ``a`` and ``b``, with ``iou``; ``a`` is the one that comes before.
 
-    Boxes meet in shared tiles and a pair counts only in the tile that holds the
-    corner of its overlap, so pairs far apart never meet and none comes twice.
+    On a grid only boxes of its own level meet the others, or those of its level in one direction those of its level in
+    the other. A pair counts only in the tile that holds the corner of its overlap, so none comes twice.
     """
-    names = [c for c in boxes.columns if c != "page_id"]
-    tiled = _tiles(boxes, tile)
-    packed = tiled.select("page_id", "tx", "ty", F.struct(*names).alias("box"))
-    a = packed.withColumnRenamed("box", "a")
-    b = packed.withColumnRenamed("box", "b")
-    left, right = geometry.fields(F.col("a")), geometry.fields(F.col("b"))
+    placed = keep(_placed(boxes, min_iou))
+    tile = ["page_id", "gx", "gy", "tx", "ty"]
+    own = F.col("nx") & F.col("ny")
+    p = placed.select(*tile, F.col("box").alias("p"), own.alias("p_own"), F.col("nx").alias("p_nx"))
+    q = placed.select(*tile, F.col("box").alias("q"), own.alias("q_own"), F.col("ny").alias("q_ny"))
+    same_level = match(p.where("p_own"), q, tile, "inner").where(~F.col("q_own") | before(F.col("p"), F.col("q")))
+    crossing = match(p.where("p_nx and not p_own"), q.where("q_ny and not q_own"), tile, "inner")
+    left, right = geometry.fields(F.col("p")), geometry.fields(F.col("q"))
+    x, y = F.greatest(left["x1"], right["x1"]), F.greatest(left["y1"], right["y1"])
     meets = (
-        (F.greatest(left["x1"], right["x1"]) < F.least(left["x2"], right["x2"]))
-        & (F.greatest(left["y1"], right["y1"]) < F.least(left["y2"], right["y2"]))
-        & (F.floor(F.greatest(left["x1"], right["x1"]) / tile) == F.col("tx"))
-        & (F.floor(F.greatest(left["y1"], right["y1"]) / tile) == F.col("ty"))
+        (x < F.least(left["x2"], right["x2"]))
+        & (y < F.least(left["y2"], right["y2"]))
+        & (F.floor(x / F.pow(F.lit(2.0), F.col("gx"))) == F.col("tx"))
+        & (F.floor(y / F.pow(F.lit(2.0), F.col("gy"))) == F.col("ty"))
     )
-    found = a.join(b, ["page_id", "tx", "ty"]).filter(before & meets)
-    return found.withColumn("iou", geometry.iou(left, right)).filter(F.col("iou") > min_iou).drop(
-        "tx", "ty"
+    found = same_level.unionByName(crossing).filter(meets).withColumn("iou", geometry.iou(left, right)).filter(F.col("iou") > min_iou)
+    first = before(F.col("p"), F.col("q"))
+    return found.select(
+        "page_id", F.when(first, F.col("p")).otherwise(F.col("q")).alias("a"), F.when(first, F.col("q")).otherwise(F.col("p")).alias("b"), "iou"
     )
 
 
-def overlaps(regions: DataFrame, min_iou: float = 0.0, tile: float = TILE) -> DataFrame:
+def overlaps(regions: DataFrame, min_iou: float = 0.0) -> DataFrame:
     """Pairs of overlapping boxes on each page with their IoU.
 
     Regions with the very same box are one box with ``copies``; a box with
@@ -255,7 +278,7 @@ def overlaps(regions: DataFrame, min_iou: float = 0.0, tile: float = TILE) -> Da
         F.min("ix").alias("ix"), F.count(F.lit(1)).alias("copies")
     )
     names = ["page_id", "ix_a", "ix_b", "copies_a", "copies_b", "iou"]
-    apart = _pairs(boxes, min_iou, F.col("a.ix") < F.col("b.ix"), tile).select(
+    apart = _pairs(boxes, min_iou, lambda p, q: p["ix"] < q["ix"]).select(
         "page_id", F.col("a.ix").alias("ix_a"), F.col("b.ix").alias("ix_b"),
         F.col("a.copies").alias("copies_a"), F.col("b.copies").alias("copies_b"), "iou",
     )
@@ -285,7 +308,7 @@ def _suppress_small(regions: DataFrame, threshold: float) -> DataFrame:
     return pages.select("page_id", F.inline(kept)).drop("_key", "_tie")
 
 
-def _suppress_large(regions: DataFrame, threshold: float, tile: float) -> DataFrame:
+def _suppress_large(regions: DataFrame, threshold: float) -> DataFrame:
     """The same result for pages of any size, box by box.
 
     A pile of identical boxes is judged by its best one: with IoU 1 to it, and
@@ -300,9 +323,8 @@ def _suppress_large(regions: DataFrame, threshold: float, tile: float) -> DataFr
         F.min(F.struct((-F.col("confidence")).alias("key"), F.col("ix").alias("ix"))).alias("s")
     )
     candidates = keep(best.select("page_id", *box, "s.key", "s.ix"))
-    better = F.struct("a.key", "a.ix") < F.struct("b.key", "b.ix")
     edges = keep(
-        _pairs(candidates, threshold, better, tile).select(
+        _pairs(candidates, threshold, lambda p, q: F.struct(p["key"], p["ix"]) < F.struct(q["key"], q["ix"])).select(
             "page_id", F.col("a.ix").alias("better"), F.col("b.ix").alias("worse")
         )
     )
@@ -334,7 +356,6 @@ def suppress(
     regions: DataFrame,
     threshold: float,
     page_boxes: int = PAGE_BOXES,
-    tile: float = TILE,
 ) -> DataFrame:
     """Regions left after non-maximum suppression on each page.
 
@@ -352,5 +373,5 @@ def suppress(
     small_pages = regions.join(large, "page_id", "left_anti")
     large_pages = keep(regions.join(large, "page_id", "left_semi"))
     return _suppress_small(small_pages, threshold).unionByName(
-        _suppress_large(large_pages, threshold, tile)
+        _suppress_large(large_pages, threshold)
     )

@@ -100,7 +100,7 @@ def test_suppression_against_brute_force(regions, threshold, page_boxes):
             if all(iou(k, b) <= threshold for k in kept):
                 kept.append(b)
         wanted |= {(page, b.ix) for b in kept}
-    found = layout.suppress(regions, threshold, page_boxes, tile=64.0).collect()
+    found = layout.suppress(regions, threshold, page_boxes).collect()
     assert len(found) == len(wanted)
     assert {(r.page_id, r.ix) for r in found} == wanted
 
@@ -110,7 +110,7 @@ def test_overlaps_against_brute_force(regions):
     for boxes in by_page(regions).values():
         for i, a in enumerate(boxes):
             wanted += sum(iou(a, b) > 0.2 for b in boxes[i + 1 :])
-    found = layout.overlaps(regions, 0.2, tile=50.0).collect()
+    found = layout.overlaps(regions, 0.2).collect()
     pairs = sum(
         r.copies_a * (r.copies_a - 1) // 2 if r.ix_a == r.ix_b else r.copies_a * r.copies_b
         for r in found
@@ -118,6 +118,37 @@ def test_overlaps_against_brute_force(regions):
     assert pairs == wanted
 
 
+def test_boxes_of_all_sizes_meet(spark):
+    """Long and high, tiny and large boxes, on the borders of tiles and below zero."""
+    draw = random.Random(7)
+    sides = [0.01, 1.0, 2.0, 3.7, 64.0, 500.0]
+    rows = []
+    for ix in range(160):
+        x, y, w, h = draw.uniform(-300, 300), draw.uniform(-300, 300), draw.choice(sides), draw.choice(sides)
+        if ix % 3 == 0:
+            x, y = float(round(x)), float(round(y / 64) * 64)
+        rows.append((ix % 2, ix, x, y, x + w, y + h))
+    frame = spark.createDataFrame(rows, "page_id int, ix int, x1 double, y1 double, x2 double, y2 double")
+    boxes = frame.collect()
+    for least in (0.0, 0.3):
+        wanted = {
+            (a.ix, b.ix) for a in boxes for b in boxes
+            if a.page_id == b.page_id and a.ix < b.ix and iou(a, b) > least
+        }
+        got = [(r.ix_a, r.ix_b) for r in layout.overlaps(frame, least).collect()]
+        assert len(got) == len(set(got)) and set(got) == wanted
+
+
+def test_many_boxes_in_a_small_place_spread_over_tiles(spark):
+    """20,000 small boxes on 256 pixels: few rows a box, and few boxes a tile."""
+    places = spark.range(20_000).selectExpr("1 as page_id", "id as ix", "(id % 141) * 1.8 as x1", "floor(id / 141) * 1.8 as y1")
+    boxes = places.selectExpr("*", "x1 + 1.5 + (ix % 3) * 0.2 as x2", "y1 + 1.5 as y2")
+    placed = layout._placed(boxes, 0.0)
+    tiles = placed.groupBy("gx", "gy", "tx", "ty").count()
+    assert placed.count() <= 4 * 20_000 * placed.select("gx", "gy").distinct().count()
+    assert tiles.agg({"count": "max"}).first()[0] <= 9
+
+
 def markdown(boxes):
     """Page text by walking the boxes one by one."""
     vertical = sum(b.is_vertical for b in boxes)
