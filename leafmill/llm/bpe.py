@@ -34,6 +34,7 @@ class Vocabulary:
         for token, rank in self.ranks.items():
             self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
         self.automaton.make_automaton()
+        self.most = max(map(len, self.ranks), default=0)
         self.shorter = Memo(self._shorter, PAIR_LIMIT)
         self.halves = Memo(self._halves, PAIR_LIMIT)
         self.fits = Memo(self._fits, PAIR_LIMIT)
@@ -81,37 +82,39 @@ class Vocabulary:
         return self._stays_apart(*pair)
 
     def word(self, word: bytes) -> list[int]:
-        """Ids of one pre-token."""
+        """Ids of one pre-token: the longest tokens from left to right, and from where two do not fit, a search."""
         if word in self.ranks:
             return [self.ranks[word]]
         text = word.decode("latin-1")
-        return self._straight(text) or self._backtracked(word, text)
-
-    def _straight(self, text: str) -> list[int] | None:
-        """The longest tokens from left to right, if each two neighbours fit."""
         found: list[int] = []
         at, last, fits = 0, None, self.fits
         for end, (n, rank) in self.automaton.iter_long(text):
-            if end + 1 - n != at or last is not None and not fits[last, rank]:
-                return None
+            if last is not None and not fits[last, rank]:
+                return self._backtracked(text, found, at, rank)
             found.append(rank)
             at, last = end + 1, rank
-        return found if at == len(text) else None
+        return found
+
+    def _longest(self, text: str, at: int) -> int:
+        """The longest token from a place on; single bytes are tokens, so there is one."""
+        rest = text[at : at + self.most]
+        n = self.automaton.longest_prefix(rest)
+        while (hit := self.automaton.get(rest[:n], None)) is None:
+            n -= 1
+        return hit[1]
 
-    def _backtracked(self, word: bytes, text: str) -> list[int]:
-        longest: dict[int, int] = {}
-        for end, (n, rank) in self.automaton.iter(text):
-            longest[end + 1 - n] = rank  # later ends are longer
+    def _backtracked(self, text: str, found: list[int], at: int, token: int | None) -> list[int]:
+        """Goes on from ``found``, whose neighbours fit, with ``token`` at ``at``."""
         fits, shorter, tokens = self.fits, self.shorter, self.tokens
-        found: list[int] = []
-        dead = bytearray(len(word) + 1)
-        at, token = 0, longest[0]
-        while at < len(word):
+        size = len(text)
+        dead = bytearray(size + 1)
+        while True:
             end = at + len(tokens[token])
             if not dead[end] and (not found or fits[found[-1], token]):
                 found.append(token)
-                at = end
-                token = longest.get(at)
+                if end == size:
+                    return found
+                at, token = end, self._longest(text, end)
                 continue
             token = shorter[token]
             while token is None:
@@ -119,7 +122,6 @@ class Vocabulary:
                 last = found.pop()
                 at -= len(tokens[last])
                 token = shorter[last]
-        return found
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -127,17 +129,27 @@ class Vocabulary:
 
 def encoder(vocabulary: Vocabulary, pattern: str) -> Callable[[str], bytes]:
     """Ids of a text as little-endian unsigned 32-bit numbers. Each match of ``pattern`` is encoded separately."""
-    import numpy as np
+    import struct
+
     import regex
 
-    compiled = regex.compile(pattern)
+    find = regex.compile(pattern).findall
 
-    words = Memo(lambda match: np.array(vocabulary.word(match.encode()), dtype="<u4").tobytes(), 300_000)
+    def packed(match: str) -> bytes:
+        ids = vocabulary.word(match.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    words = Memo(packed, 200_000)
 
     def whole(text: str) -> bytes:
-        return b"".join(map(words.__getitem__, compiled.findall(text)))
+        return b"".join(map(words.__getitem__, find(text)))
+
+    def spaced(piece: str) -> bytes:
+        # Most are one match, which need not be remembered twice.
+        matches = find(" " + piece)
+        return packed(matches[0]) if len(matches) == 1 else b"".join(map(words.__getitem__, matches))
 
-    after_space = Memo(lambda piece: whole(" " + piece), 400_000)
+    after_space = Memo(spaced, 500_000)
 
     def encode(text: str) -> bytes:
         parts = pieces(text)
