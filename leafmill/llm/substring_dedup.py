@@ -1,19 +1,20 @@
-"""Repeated passages by hashes of fixed word windows, in place of suffix trees.
-
-A word is removed if a window of ``window`` words over it starts twice. That asks only whether two suffixes agree over
-their first ``window`` words, never how much further, so no tree is built: suffixes are not sorted by content, no
-depth is computed, and no repeat longer than the window is found as such. Longer ones show as windows side by side.
-A sort by content would have to move and compare the words themselves, and would mark the same words.
-
-1. Every window has an anchor, the word 8-gram in it with the smallest hash, so equal windows have equal anchors.
-   Anchors are counted; suffixes whose anchor occurs once cannot repeat and are left out.
-2. The others are split into groups: by their anchor and its place as long as it occurs at most ``group_rows`` times,
-   else by a second hash of the window.
-3. A group is sorted by the hash of the window; neighbours with the same one are marked. Of groups by the second hash
-   the rows of each hash are counted instead, so a passage in very many documents is no hot key.
-
-Copies of a whole text are found first by digest; one of them takes part. Apart from collisions, in which
-the hash of the group and that of the window both agree by chance, the removed words are those of the rule.
+"""Repeated passages from prefix-partitioned suffix trees over words.
+
+A word is removed if a window of ``window`` words over it starts twice, so what counts are the inner nodes of the tree of
+all suffixes at a depth of ``window`` words or more: a suffix below such a node repeats at least so far.
+
+1. Every window has an anchor, the word 8-gram in it with the smallest hash, so suffixes that meet at such a depth have
+   equal anchors at equal places. Suffixes are counted by anchor; where an anchor has one place only, none can repeat.
+2. Suffixes are split into groups by a prefix of variable length. As long as an anchor has at most ``group_rows``
+   suffixes, its words are the prefix, and the group is held in memory. It comes as one row per place of the anchor,
+   with the words around it once, for all suffixes whose window has its anchor there.
+3. A group's suffixes are sorted by content, to the depth that is asked; neighbours that agree so far are leaves below a
+   deep inner node, and all of them are marked. Contents are compared themselves, not hashes of them.
+4. For larger groups the prefix grows to the whole window (by two 64-bit hashes of it). Such a group is a single node, of
+   which only the number of leaves is asked, so it is counted and never gathered: a passage in very many documents is
+   no hot key.
+
+Copies of a whole text are found first by digest; one of them takes part.
 """
 
 from __future__ import annotations
@@ -22,16 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.words import Memo, narrow
-from leafmill.session import keep
+from leafmill.session import fresh_path, keep
 
 WINDOW = 35
 ANCHOR = 8
 GROUP_ROWS = 10_000
 BATCH_ROWS = 100_000
+BATCH_RUNS = 2_000
 
 # Odd multipliers of the two window hashes.
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -96,12 +98,18 @@ class Suffixes:
             width += step
         return grams[best], best - np.arange(len(best))
 
-    def listed(self, words: list[bytes]) -> np.ndarray:
-        """The distinct anchors of a text; one that lies at several places is listed twice."""
-        anchors, places = self.anchors(self.ids(words))
-        first = np.unique(np.arange(len(places)) + places, return_index=True)[1]
-        keys, count = np.unique(anchors[first], return_counts=True)
-        return np.concatenate([keys, keys[count > 1]])
+    def runs(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of anchors in a text: first window that has its anchor there, number of such windows, anchor."""
+        anchors, places = self.anchors(ids)
+        absolute = np.arange(len(places)) + places
+        first = np.concatenate([[0], np.flatnonzero(np.diff(absolute)) + 1])
+        return first, np.diff(np.append(first, len(places))), anchors[first]
+
+    def listed(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct anchors of a text, in how many places each is, and how many suffixes it has there."""
+        _, sizes, anchors = self.runs(self.ids(words))
+        keys, which, places = np.unique(anchors, return_inverse=True, return_counts=True)
+        return keys, places.astype(np.int32), np.bincount(which, weights=sizes).astype(np.int32)
 
     def windows(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two independent hashes of each window."""
@@ -109,30 +117,31 @@ class Suffixes:
 
 
 def _scan(rows: DataFrame, window: int, anchor: int) -> DataFrame:
-    """Per document: number of words, digest of its words, and its anchors."""
+    """Per document: number of words, digest of its words, and its anchors with their places and suffixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         suffixes = Suffixes(window, anchor)
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))
         for batch in batches:
-            sizes, digests, keys = [], [], []
+            sizes, digests, found = [], [], [none]
             for text in batch.column("text"):
                 words = suffixes.words(text.as_py())
                 sizes.append(len(words))
                 digests.append(hashlib.sha256(b" ".join(words)).digest())
-                keys.append(suffixes.listed(words) if len(words) >= window else np.zeros(0, np.uint64))
-            ends = np.cumsum([0, *map(len, keys)], dtype=np.int32)
-            values = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+                found.append(suffixes.listed(words) if len(words) >= window else none)
+            ends = pa.array(np.cumsum([0, *(len(f[0]) for f in found[1:])], dtype=np.int32))
+            keys, places, counts = (np.concatenate(column) for column in zip(*found))
+            lists = (pa.ListArray.from_arrays(ends, pa.array(v)) for v in (keys.view(np.int64), places, counts))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64))),
-                ],
-                ["id", "n_words", "digest", "anchors"],
+                [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *lists],
+                ["id", "n_words", "digest", "anchor", "places", "suffixes"],
             )
 
-    return rows.mapInArrow(run, f"id {_kind(rows)}, n_words long, digest binary, anchors array<long>")
+    return rows.mapInArrow(
+        run, f"id {_kind(rows)}, n_words long, digest binary, anchor array<long>, places array<int>, suffixes array<int>"
+    )
 
 
 def _kind(rows: DataFrame) -> str:
@@ -161,60 +170,143 @@ def _squeezed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"id {_kind(rows)}, digest binary, packed binary")
 
 
+GROUPED = "runs array<struct<anchor: long, at: int, n: int, words: binary>>"
+COUNTED = "leaves array<struct<at: int, prefix: long, content: long>>"
+
+
 def _suffix_rows(texts: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(id, part, at, prefix, content, long) of each window with a shared anchor, as arrays per document."""
+    """Suffixes with a shared anchor: ``runs`` for groups that are gathered, ``leaves`` for those that are counted.
+
+    A row is a document or, with many suffixes, a part of one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         suffixes, plain = Suffixes(window, anchor), zstandard.ZstdDecompressor().decompress
-        names = ["id", "part", "at", "prefix", "content", "long"]
+        run_type = pa.struct([("anchor", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("words", pa.binary())])
+        leaf_type = pa.struct([("at", pa.int32()), ("prefix", pa.int64()), ("content", pa.int64())])
+
+        def out(batch: pa.RecordBatch, i: int, runs: tuple | None, leaves: tuple | None) -> pa.RecordBatch:
+            def listed(columns: tuple | None, kind: pa.StructType) -> pa.Array:
+                if columns is None:
+                    return pa.array([None], pa.list_(kind))
+                arrays = [pa.array(c, f.type) for c, f in zip(columns, kind)]
+                return pa.ListArray.from_arrays(pa.array([0, len(arrays[0])], pa.int32()), pa.StructArray.from_arrays(arrays, fields=list(kind)))
 
-        def out(batch: pa.RecordBatch, rows: list[int], found: list[tuple]) -> pa.RecordBatch:
-            ends = pa.array(np.cumsum([0, *(len(f[0]) for f in found)]), pa.int32())
-            lists = (pa.ListArray.from_arrays(ends, pa.array(np.concatenate(column))) for column in zip(*found))
-            keys = (batch.column(c).take(pa.array(rows)) for c in ("id", "part"))
-            return pa.RecordBatch.from_arrays([*keys, *lists], names)
+            keys = [batch.column(c).slice(i, 1) for c in ("id", "part")]
+            return pa.RecordBatch.from_arrays([*keys, listed(runs, run_type), listed(leaves, leaf_type)], ["id", "part", "runs", "leaves"])
 
         for batch in batches:
-            rows, found, held = [], [], 0
             for i in range(batch.num_rows):
                 shared, frequent = (
                     batch.column(c)[i].values.to_numpy(zero_copy_only=False).view(np.uint64) for c in ("shared", "frequent")
                 )
-                ids = suffixes.ids(plain(batch.column("packed")[i].as_py()).split())
-                anchors, places = suffixes.anchors(ids)
-                content, other = suffixes.windows(ids)
-                whole = np.isin(anchors, frequent)
-                prefix = np.where(whole, other, _mix(anchors + places.astype(np.uint64)))
-                at = np.flatnonzero(np.isin(anchors, shared))
-                for a in range(0, len(at), BATCH_ROWS):
-                    part = at[a : a + BATCH_ROWS]
-                    rows.append(i)
-                    found.append((part.astype(np.int32), prefix[part].view(np.int64), content[part].view(np.int64), whole[part]))
-                    held += len(part)
-                    if held >= BATCH_ROWS:
-                        yield out(batch, rows, found)
-                        rows, found, held = [], [], 0
-            if rows:
-                yield out(batch, rows, found)
+                words = plain(batch.column("packed")[i].as_py()).split()
+                ids = suffixes.ids(words)
+                first, sizes, anchors = suffixes.runs(ids)
+                counted = np.isin(anchors, frequent)
+                gathered = np.flatnonzero(np.isin(anchors, shared) & ~counted)
+                for a in range(0, len(gathered), BATCH_RUNS):
+                    some = gathered[a : a + BATCH_RUNS]
+                    around = [b" ".join(words[first[r] : first[r] + sizes[r] + window - 1]) for r in some]
+                    yield out(batch, i, (anchors[some].view(np.int64), first[some].astype(np.int32), sizes[some].astype(np.int32), around), None)
+                if counted.any():
+                    content, prefix = suffixes.windows(ids)
+                    at = np.flatnonzero(np.repeat(counted, sizes))
+                    for a in range(0, len(at), BATCH_ROWS):
+                        some = at[a : a + BATCH_ROWS]
+                        yield out(batch, i, None, (some.astype(np.int32), prefix[some].view(np.int64), content[some].view(np.int64)))
+
+    return texts.mapInArrow(run, f"id {_kind(texts)}, part long, {GROUPED}, {COUNTED}")
+
+
+def _deep(rows: list[tuple[int, int, bytes]], window: int) -> list[list[int]]:
+    """For each (first, number, words) of a group the suffixes below an inner node of ``window`` words or more.
+
+    In the order of content those below one such node stand side by side, so each is compared with the one before it.
+    """
+    suffixes = []
+    for r, (_, n, words) in enumerate(rows):
+        ends = [i for i, c in enumerate(words) if c == 32]
+        ends.append(len(words))
+        begins = [0, *(e + 1 for e in ends)]
+        suffixes += [(words[begins[k] : ends[k + window - 1]], r, k) for k in range(n)]
+    suffixes.sort()
+    found: list[list[int]] = [[] for _ in rows]
+    before = None
+    for suffix in suffixes:
+        if before is not None and suffix[0] == before[0]:
+            if not found[before[1]] or found[before[1]][-1] != before[2]:
+                found[before[1]].append(before[2])
+            found[suffix[1]].append(suffix[2])
+        before = suffix
+    return found
+
+
+def _gathered(suffixes: DataFrame, window: int) -> DataFrame:
+    """(id, part, marks) of groups that fit into memory, ``marks`` being ranges of suffixes that repeat."""
+    rows = suffixes.where("runs is not null").select("id", "part", F.inline("runs"))
 
-    return texts.mapInArrow(
-        run,
-        f"id {_kind(texts)}, part long, at array<int>, prefix array<long>, content array<long>, long array<boolean>",
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, keys, group = None, [], []
+        ids, marks, arrow = [], [], None
+        mark = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+
+        def close() -> None:
+            if len(group) > 1 or group and group[0][1] > 1:
+                for (id_, part), (at, _, _), own in zip(keys, group, _deep(group, window)):
+                    if own:
+                        ids.append((id_, part))
+                        marks.append(_ranges(sorted(at + k for k in own)))
+
+        def out() -> pa.RecordBatch:
+            columns = list(zip(*ids)) if ids else [(), ()]
+            made = pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], arrow), pa.array(columns[1], pa.int64()), pa.array(marks, mark)], ["id", "part", "marks"]
+            )
+            ids.clear()
+            marks.clear()
+            return made
+
+        for batch in batches:
+            arrow = batch.schema.field("id").type
+            columns = (batch.column(c).to_pylist() for c in ("id", "part", "anchor", "at", "n", "words"))
+            for id_, part, anchor, at, n, words in zip(*columns):
+                if anchor != key:
+                    close()
+                    key, keys, group = anchor, [], []
+                keys.append((id_, part))
+                group.append((at, n, words))
+            if len(ids) > 5_000:
+                yield out()
+        close()
+        if ids:
+            yield out()
+
+    ordered = rows.repartition("anchor").sortWithinPartitions("anchor")
+    return ordered.mapInArrow(run, f"id {_kind(rows)}, part long, marks {MARKS}")
+
+
+MARKS = "array<struct<first: int, last: int>>"
+
+
+def _ranges(at: list[int]) -> list[dict]:
+    out: list[dict] = []
+    for a in at:
+        if out and a == out[-1]["last"] + 1:
+            out[-1]["last"] = a
+        else:
+            out.append({"first": a, "last": a})
+    return out
 
 
-def _repeats(suffixes: DataFrame) -> DataFrame:
-    """The suffixes (id, part, at) that share their window with another one."""
-    rows = suffixes.select("id", "part", F.inline(F.arrays_zip("at", "prefix", "content", "long")))
-    by_window = Window.partitionBy("prefix").orderBy("content")
-    beside = lambda f: F.coalesce(f("content").over(by_window) == F.col("content"), F.lit(False))
-    short = rows.where("not long").withColumn("deep", beside(F.lag) | beside(F.lead)).where("deep")
-    frequent = rows.where("long")
-    nodes = frequent.groupBy("prefix", "content").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    marked = frequent.join(nodes, ["prefix", "content"], "left_semi")
-    return short.select("id", "part", "at").unionByName(marked.select("id", "part", "at"))
+def _counted(suffixes: DataFrame) -> DataFrame:
+    """(id, part, marks) of suffixes whose prefix is the whole window, where the node has several leaves."""
+    rows = suffixes.where("leaves is not null").select("id", "part", F.inline("leaves"))
+    nodes = rows.groupBy("prefix", "content").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    marked = rows.join(nodes, ["prefix", "content"], "left_semi")
+    return marked.groupBy("id", "part").agg(F.collect_list(F.struct(F.col("at").alias("first"), F.col("at").alias("last"))).alias("marks"))
 
 
 def _cut(texts: DataFrame, window: int) -> DataFrame:
@@ -233,7 +325,7 @@ def _cut(texts: DataFrame, window: int) -> DataFrame:
                 if copy.as_py() and len(words) >= window:
                     runs = [(0, len(words))]
                 else:
-                    runs = _runs(at.as_py() or [], window)
+                    runs = _runs([(m["first"], m["last"]) for m in at.as_py() or []], window)
                 spans.append([{"start": a, "end": b} for a, b in runs])
                 removed.append(sum(b - a for a, b in runs))
                 if runs:
@@ -255,14 +347,14 @@ def _cut(texts: DataFrame, window: int) -> DataFrame:
     )
 
 
-def _runs(at: list[int], window: int) -> list[tuple[int, int]]:
-    """The word ranges that the windows at these places cover."""
+def _runs(marks: list[tuple[int, int]], window: int) -> list[tuple[int, int]]:
+    """The word ranges that the windows of these ranges of suffixes cover."""
     runs: list[tuple[int, int]] = []
-    for a in sorted(at):
-        if runs and a <= runs[-1][1]:
-            runs[-1] = (runs[-1][0], a + window)
+    for first, last in sorted(marks):
+        if runs and first <= runs[-1][1]:
+            runs[-1] = (runs[-1][0], max(runs[-1][1], last + window))
         else:
-            runs.append((a, a + window))
+            runs.append((first, last + window))
     return runs
 
 
@@ -276,20 +368,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = narrow(docs, id_col, text_col)
     found = keep(_scan(rows, window, anchor))
     classes = found.where(F.col("n_words") >= window).groupBy("digest").agg(
-        F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("anchors").alias("anchors")
+        F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first(F.arrays_zip("anchor", "places", "suffixes")).alias("anchors")
     )
-    anchors = classes.select("id", F.xxhash64("digest").alias("part"), F.explode("anchors").alias("anchor"))
+    anchors = classes.select("id", F.xxhash64("digest").alias("part"), F.inline("anchors"))
     shared = _shared(anchors, group_rows)
     texts = _squeezed(rows).select("id", F.xxhash64("digest").alias("part"), "packed")
     own = texts["id"].eqNullSafe(shared["id"]) & (texts["part"] == shared["part"])
     anchored = texts.join(shared, own).select(texts["id"], texts["part"], "packed", "shared", "frequent")
-    suffixes = keep(_suffix_rows(anchored, window, anchor))
-    cuts = _repeats(suffixes).groupBy("id", "part").agg(F.collect_list("at").alias("at"))
+    folder = fresh_path(docs.sparkSession, "suffixes")
+    split = _suffix_rows(anchored, window, anchor)
+    split.write.option("compression", "zstd").parquet(folder)
+    suffixes = docs.sparkSession.read.schema(split.schema).parquet(folder)
+    found_marks = _gathered(suffixes, window).unionByName(_counted(suffixes))
+    cuts = found_marks.groupBy("id", "part").agg(F.flatten(F.collect_list("marks")).alias("at"))
     copied = found.join(classes.where("copies > 1").select("digest"), "digest", "left_semi")
     copied = copied.select("id", F.xxhash64("digest").alias("part"), F.lit(True).alias("copy")).distinct()
     marks = (
         cuts.select("id", "part", "at", F.lit(False).alias("copy"))
-        .unionByName(copied.withColumn("at", F.lit(None).cast("array<int>")))
+        .unionByName(copied.withColumn("at", F.lit(None).cast(MARKS)))
         .groupBy("id", "part")
         .agg(F.max("copy").alias("copy"), F.first("at", ignorenulls=True).alias("at"))
     )
@@ -299,14 +395,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _shared(anchors: DataFrame, group_rows: int) -> DataFrame:
-    """Per document its anchors that occur again, and those of them listed more than ``group_rows`` times.
+    """Per document its anchors with several places, and those of them with more than ``group_rows`` suffixes.
 
     One shuffle serves the counts and the join that gives them back.
     """
     dealt = anchors.repartition("anchor")
-    counts = dealt.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
-    joined = dealt.join(counts.where("n > 1"), "anchor")
+    counts = dealt.groupBy("anchor").agg(F.sum("places").alias("n"), F.sum("suffixes").alias("all"))
+    joined = dealt.drop("places", "suffixes").join(counts.where("n > 1"), "anchor")
     return joined.groupBy("id", "part").agg(
         F.collect_list("anchor").alias("shared"),
-        F.collect_list(F.when(F.col("n") > group_rows, F.col("anchor"))).alias("frequent"),
+        F.collect_list(F.when(F.col("all") > group_rows, F.col("anchor"))).alias("frequent"),
     )

@@ -25,10 +25,11 @@ def sample():
     draw = random.Random(5)
     texts = [" ".join(draw.choice("ab") for _ in range(draw.randint(0, 30))) for _ in range(60)]
     line = " ".join("abcdefghijklmnopqrs")
-    return texts + ["x " * 50, f"{line} {line}", None, "", " \n", "q w e r t y u i o p l k j", "q w e r t y u i o p l k j", "a b c"]
+    return texts + ["x " * 50, f"{line} {line}", None, "", " \n", "q w e r t y u i o p l k j", "q w e r t y u i o p l k j", "a b c",
+        "k\x01 " * 13 + "k\x00 k", "k k\x1f " * 7, "k\x01 " * 13 + "k"]
 
 
-@pytest.mark.parametrize("group_rows", [10_000, 1])
+@pytest.mark.parametrize("group_rows", [10_000, 40, 10, 1])
 def test_odd_rows(spark, group_rows):
     """With ``group_rows`` 1 every group is split down to whole windows."""
     texts = sample()
@@ -41,6 +42,26 @@ def test_odd_rows(spark, group_rows):
     assert found.count() == len(texts)
 
 
+def test_a_text_that_repeats_itself_is_no_large_group(spark):
+    """Suffixes are counted, not documents: 300 repeats of 40 words are more than a group may hold."""
+    stretch = " ".join(f"s{i}" for i in range(40))
+    texts = [" ".join([stretch] * 300 + [f"tail{n}"]) for n in range(3)] + ["other " * 50, stretch + " end"]
+    rows = docs(spark, texts)
+    listed = substring_dedup._scan(substring_dedup.narrow(rows, "doc_id", "text"), 35, 8).where("id = 0").first()
+    assert sum(listed.suffixes) == 300 * 40 + 1 - 34 and max(listed.suffixes) > 1_000
+    wanted = brute(dict(enumerate(texts)), 35)
+    for group_rows in (10, 100_000):
+        for r in substring_dedup.remove_repeats(rows, group_rows=group_rows).collect():
+            assert (r.n_words, r.n_removed, " ".join(r.kept_text.split())) == wanted[r.doc_id]
+
+
+def test_a_subtree_marks_what_lies_below_deep_nodes():
+    words = b"a b c d e f a b c d x"
+    assert substring_dedup._deep([(0, 8, words)], 4) == [[0, 6]]
+    assert substring_dedup._deep([(5, 2, b"a b c d e"), (9, 2, b"z b c d e")], 4) == [[1], [1]]
+    assert substring_dedup._deep([(0, 1, b"a bc"), (3, 1, b"ab c")], 2) == [[], []]
+
+
 def test_long_and_empty(spark):
     found = substring_dedup.remove_repeats(docs(spark, [LONG, "short"])).collect()
     assert sorted(r.n_removed for r in found) == [0, 60_000]
