@@ -23,9 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafmill.llm.components import components
 from leafmill.llm.words import Memo, narrow, text_digest
+from leafmill.operators.joins import broadcast_if_small
 from leafmill.session import keep
 
 WORDS, PERCENT = 3, 90
@@ -233,8 +235,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
         F.min("id").alias("least"), F.min(F.struct("id", "digest")).alias("row"), F.first("tiles").alias("tiles"),
         F.first("n").alias("n"), F.first("bits").alias("bits"),
     )
-    # Kept, so that the numbers stay.
-    classes = keep(classes.withColumn("id", F.monotonically_increasing_id()))
+    classes = _numbered(keep(classes))
     members = keep(_members(classes.select("id", "tiles")))
     # Texts move once, one for each class that shares a tile with another.
     sharing = members.select("id").distinct()
@@ -279,6 +280,24 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     )
 
 
+def _numbered(classes: DataFrame) -> DataFrame:
+    """Classes with a number ``id``: their smallest document id, so that leaders of tiles tend to be first copies.
+
+    Classes that share it with others (rows that repeat an id) or have none get numbers of their own beyond all ids.
+    """
+    if not isinstance(classes.schema["least"].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return keep(classes.withColumn("id", F.monotonically_increasing_id()))
+    least = F.col("least").cast("long")
+    again = classes.groupBy("least").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or least is null")
+    again = keep(again.select(F.col("least").alias("again"), F.lit(True).alias("other")))
+    if again.isEmpty():
+        return classes.withColumn("id", least)
+    beyond = (classes.agg(F.max(least)).first()[0] or 0) + 1
+    marked = classes.join(broadcast_if_small(again), F.col("least").eqNullSafe(F.col("again")), "left")
+    number = F.when(F.col("other"), F.lit(beyond) + F.monotonically_increasing_id()).otherwise(least)
+    return keep(marked.withColumn("id", number).drop("again", "other"))
+
+
 def _members(sets_of_classes: DataFrame) -> DataFrame:
     """Sets in tiles of two or more, each with its tile's first leader (tile, id, led).
 

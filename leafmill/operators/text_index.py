@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from leafmill.operators import search
 from leafmill.operators.joins import broadcast_if_small
+from leafmill.sources.tables import read_if_there
 
 BUCKETS = 64
 HEAD = 2  # characters of a term that choose its bucket
@@ -33,7 +34,7 @@ BLOCK_IDS = 4096  # ids in the range of a block
 LEADING = 8  # blocks with the highest bounds, scored first for a threshold
 SLACK = 1e-9  # of a score, for the order in which parts are summed
 
-MANIFEST = "generation long, segment long, documents long, tokens long"
+MANIFEST = T.StructType([T.StructField(n, T.LongType()) for n in ("generation", "segment", "documents", "tokens")])
 
 
 def _bucket(term: Column) -> Column:
@@ -100,15 +101,9 @@ class StoredIndex:
 
     def _manifest(self) -> list:
         """Lines of the newest generation; one per segment."""
-        try:
-            lines = self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest")
-            newest = lines.agg(F.max("generation").alias("g")).first().g
-        except Exception as error:
-            if "PATH_NOT_FOUND" in str(error):
-                return []
-            raise
-        found = lines.where(F.col("generation") == newest).orderBy("segment").collect()
-        return found
+        lines = read_if_there(self.spark, f"{self.root}/manifest", MANIFEST)
+        newest = lines.agg(F.max("generation").alias("g")).first().g
+        return lines.where(F.col("generation") == newest).orderBy("segment").collect()
 
     def _table(self, name: str, schema: T.StructType | str) -> DataFrame:
         """Rows of the listed segments, with ``segment``."""

@@ -12,8 +12,10 @@ from leafmill.plans.registry import query
 from leafmill.operators.text_index import StoredIndex
 from leafmill.plans.search_queries import NOTE_COLUMNS, _bm25, _tokens
 from leafmill.session import fresh_path
+from leafmill.sources.tables import sample_table
 from leafmill.streaming import events as stream
 from leafmill.streaming.notes import ingest_notes, maintain_index
+from leafmill.streaming.partials import StoredPartials, fold_sessions, fold_windows, maintain, session_partial, window_partial
 from leafmill.streaming.progress import maintain_progress
 from leafmill.streaming.windows import sessions, window_counts
 
@@ -120,6 +122,45 @@ def session_final_stream(spark: SparkSession, d: str) -> DataFrame:
     return stored.select("user_id", _time("session_window.start").alias("start"), "events")
 
 
+def _in_three_batches(spark: SparkSession, d: str, partial, fold, label: str) -> DataFrame:
+    """Events in three batches, each of all users and times, with a restart before each; the stored result."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    root = fresh_path(spark, label)
+    events = sample_table(spark, d, "events")
+    for number in range(3):
+        events.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == number).write.mode("append").parquet(f"{root}/in/events.parquet{number}")
+        arriving = stream.event_stream(spark, f"{root}/in").withColumn("page", fx.props_k())
+        sample = arriving.sparkSession.createDataFrame([], arriving.schema)
+        table = StoredPartials(spark, f"{root}/table", partial(sample).schema, fold, compact_every=2)
+        result = maintain(arriving, partial, table, f"{root}/checkpoint")
+    return result
+
+
+@query(
+    """WITH marked AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '6 hours'
+           THEN 0 ELSE 1 END AS opens FROM events),
+       numbered AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM marked)
+       SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS events,
+              min(regexp_extract(props, '"k": (\\d+)', 1)::INTEGER) AS first_page,
+              max(regexp_extract(props, '"k": (\\d+)', 1)::INTEGER) AS last_page
+       FROM numbered GROUP BY user_id, session"""
+)
+def session_restart_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions over restarts; events that come late close gaps between sessions that were stored before."""
+    found = _in_three_batches(spark, d, lambda rows: session_partial(rows, "6 hours"), fold_sessions, "sessions")
+    return found.select("user_id", _time("start").alias("start"), "events", "first_page", "last_page")
+
+
+@query(
+    """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, user_id, count(*) AS events,
+              round(sum(value), 4) AS value FROM events GROUP BY ALL"""
+)
+def window_restart_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Windows over restarts, however late an event comes."""
+    found = _in_three_batches(spark, d, lambda rows: window_partial(rows, "1 day"), fold_windows, "windows")
+    return found.select(_time("window.start").alias("start"), "user_id", "events", F.round("value", 4).alias("value"))
+
+
 _NOTES = f"""notes AS (SELECT conv_id::VARCHAR || ':' || turn::VARCHAR AS id, text AS user_memo, role AS book_title FROM conversations),
     docs AS (SELECT id, {_tokens('user_memo')} || {_tokens('book_title')} AS ts FROM notes),
     postings AS (SELECT id, unnest(ts) AS term FROM docs)"""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from leafmill.schemas import TABLES
 
@@ -16,6 +18,16 @@ def open_catalog(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {name: open_table(spark, root, name) for name in TABLES}
 
 
+def read_if_there(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A Parquet folder, or no rows if nothing was written there yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def memory_catalog(spark: SparkSession, rows: dict[str, list[tuple]] | None = None) -> dict[str, DataFrame]:
     """A catalog of small in-memory tables, also registered as views, for tests."""
     given = rows or {}

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from leafmill.session import fresh_path
+from leafmill.sources.tables import read_if_there
 
 EVENT_SCHEMA = T.StructType(
     [
@@ -55,21 +56,23 @@ def run_available(
     return query
 
 
-def stored_result(stream: DataFrame, mode: str, path: str | None = None) -> DataFrame:
+def stored_result(stream: DataFrame, mode: str, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Run a stream over what has arrived and read its result back from files.
 
-    In append mode each batch is its own folder, so a repeated batch overwrites
-    itself. In complete mode a batch holds the whole result and the newest counts.
+    In append mode each batch is its own folder, so a repeated batch overwrites itself, and all count. In complete mode
+    a batch holds the whole result and the newest counts. The folders say which batches there are, so with ``path`` and
+    ``checkpoint`` of an earlier run the result goes on from there, also if nothing new has arrived.
     """
     spark = stream.sparkSession
     target = path or fresh_path(spark, "result")
-    newest: list[int] = []
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
-        newest.append(number)
 
-    run_available(stream, mode, write)
-    whole = f"{target}/batch={newest[-1]}" if mode == "complete" and newest else target
-    result = spark.read.schema(stream.schema).parquet(whole) if newest else None
-    return spark.createDataFrame([], stream.schema) if result is None else result
+    run_available(stream, mode, write, checkpoint)
+    stored = read_if_there(spark, target, T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())]))
+    if mode == "complete":
+        newest = stored.select("batch").agg(F.max("batch")).first()[0]
+        if newest is not None:
+            stored = stored.where(F.col("batch") == newest)
+    return stored.drop("batch")

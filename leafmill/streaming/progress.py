@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.operators.merge import fold_latest
 from leafmill.session import fresh_path
 from leafmill.streaming.events import run_available
+from leafmill.streaming.partials import StoredPartials
 
 
 def live_progress(events: DataFrame) -> DataFrame:
@@ -25,37 +26,16 @@ def live_progress(events: DataFrame) -> DataFrame:
     )
 
 
-class ProgressTable:
-    """The progress table a stream keeps up to date.
-
-    Batch n writes version n from version n - 1, each in its own folder. A
-    repeated batch starts from the same version again, and nothing is remembered
-    between batches but the files, so a restarted stream goes on where it was.
-    """
-
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark = spark
-        self.path = path
-
-    def read(self) -> DataFrame:
-        versions = self.spark.read.parquet(self.path)
-        newest = versions.agg(F.max("version")).scalar()
-        return versions.filter(F.col("version") == newest).drop("version")
-
-    def merge(self, changed: DataFrame, number: int) -> None:
-        """Newest row per book of the version before and the batch; older rows lose."""
-        rows = changed
-        if number > 0:
-            before = self.spark.read.parquet(f"{self.path}/version={number - 1}")
-            rows = before.unionByName(changed)
-        merged = fold_latest(rows, "book_id", ["newest", "last_processed_page"])
-        merged.write.mode("overwrite").parquet(f"{self.path}/version={number}")
-
-
 def maintain_progress(
-    events: DataFrame, path: str | None = None, checkpoint: str | None = None
+    events: DataFrame, path: str | None = None, checkpoint: str | None = None, compact_every: int = 50
 ) -> DataFrame:
+    """Progress of everything that has arrived: each batch stores its changed books, readers fold them.
+
+    A repeated batch replaces itself, and a restarted stream goes on where it was.
+    """
     spark = events.sparkSession
-    table = ProgressTable(spark, path or fresh_path(spark, "progress"))
-    run_available(live_progress(events), "update", table.merge, checkpoint)
+    changed = live_progress(events)
+    fold = lambda rows: fold_latest(rows, "book_id", ["newest", "last_processed_page"])
+    table = StoredPartials(spark, path or fresh_path(spark, "progress"), changed.schema, fold, compact_every)
+    run_available(changed, "update", table.add, checkpoint)
     return table.read()

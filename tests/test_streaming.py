@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.operators import search
 from leafmill.streaming import events as stream
 from leafmill.streaming.notes import ingest_notes
+from leafmill.streaming.partials import StoredPartials, fold_sessions, session_partial
 from leafmill.streaming.progress import maintain_progress
 from leafmill.streaming.windows import sessions, window_counts
 
@@ -79,6 +80,43 @@ def test_notes_and_index_grow_together(spark, tmp_path):
     assert set(scores) == {1, 2, 3} and scores[3] == max(scores.values())
 
 
+def test_progress_writes_changed_books_only(spark, tmp_path):
+    folder, path, place = (str(tmp_path / n) for n in ("in", "table", "checkpoint"))
+    for number in range(5):
+        write(spark, folder, number, [(10 * number + i, number, 100 * (number > 0) + i, "done", 1.0, i) for i in range(30 if number == 0 else 1)])
+        table = maintain_progress(pages(spark, folder), path, place, compact_every=3)
+    assert table.count() == 31
+    rows = spark.read.parquet(f"{path}/batches").groupBy("batch").count().collect()
+    assert {r.batch: r["count"] for r in rows} == {0: 30, 1: 1, 2: 1, 3: 1, 4: 1}
+    assert [r.upto for r in spark.read.parquet(f"{path}/folded").select("upto").distinct().collect()] == [2]
+
+
+def test_late_events_merge_stored_sessions(spark, tmp_path):
+    """Two stored sessions become one when an event between them comes late; a repeated batch changes nothing."""
+    schema = "ts timestamp, user_id long, page int"
+    at = lambda *minutes: spark.createDataFrame([(DAY + datetime.timedelta(minutes=m), 1, m) for m in minutes], schema)
+    partial = lambda rows: session_partial(rows, "30 minutes")
+    for every in (50, 1):
+        table = StoredPartials(spark, str(tmp_path / f"t{every}"), partial(at()).schema, fold_sessions, every)
+        assert table.read().count() == 0
+        table.add(partial(at(0, 50, 200)), 0)
+        assert table.read().count() == 3
+        for _ in range(2):
+            table.add(partial(at(25, 230)), 1)
+        found = table.read().orderBy("start").collect()
+        assert [(r.events, r.first_page, r.last_page) for r in found] == [(3, 0, 50), (1, 200, 200), (1, 230, 230)]
+
+
+def test_a_stored_result_goes_on_after_a_restart(spark, tmp_path):
+    folder, path, place = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    for number in range(2):
+        write(spark, folder, number, [(number, number, 1, "view", 1.0, 1)])
+        for _ in range(2):  # the second run finds nothing new
+            counts = window_counts(stream.event_stream(spark, folder), "1 hour")
+            done = stream.stored_result(counts, "complete", path, place).collect()
+            assert [r.events for r in done] == [number + 1]
+
+
 def test_an_empty_stream(spark, tmp_path):
     write(spark, str(tmp_path), 0, [])
     events = stream.event_stream(spark, str(tmp_path))
