@@ -54,6 +54,14 @@ def notes(annotations: DataFrame, book_id: str) -> DataFrame:
     return annotations_of_book(annotations, book_id, "note")
 
 
+def annotations_by_kind(annotations: DataFrame, book_id: str) -> DataFrame:
+    """Highlights, bookmarks and notes of a book, in this order and each by page and start, from one scan."""
+    kind = F.col("annotation_type")
+    found = annotations.filter((F.col("book_id") == book_id) & kind.isin(*ANNOTATION_TYPES))
+    place = F.array_position(F.array(*map(F.lit, ANNOTATION_TYPES)), kind)
+    return found.orderBy(place, "page_number", F.col("position_start").asc_nulls_first(), "id")
+
+
 def words_of_book(words: DataFrame, book_id: str) -> DataFrame:
     return words.filter(F.col("source_book_id") == book_id).orderBy("word")
 
@@ -77,6 +85,12 @@ def library(books: DataFrame, which: str = "all") -> DataFrame:
     return books.filter(chosen)
 
 
+def shelves(books: DataFrame) -> DataFrame:
+    """Every book on each shelf it belongs to (``shelf``: all, pdf, physical), from one scan."""
+    names = F.array_compact(F.array(F.lit("all"), F.when(F.col("is_pdf"), "pdf"), F.when(~F.col("is_pdf"), "physical")))
+    return books.select(F.explode(names).alias("shelf"), *books.columns)
+
+
 def progress_percent(done: Column, total: Column) -> Column:
     """Whole percent, truncated, in single precision; 0 without a positive total."""
     share = (done / total).cast("float") * F.lit(100.0).cast("float")
@@ -151,6 +165,17 @@ def books_with_pages(books: DataFrame, pages: DataFrame) -> DataFrame:
     return paged.unionByName(empty, allowMissingColumns=True)
 
 
+def annotation_feed(annotations: DataFrame, columns: Sequence[str], own: dict[str, Sequence[str]]) -> DataFrame:
+    """Annotations of the kinds in ``own`` as one table from one scan, with the common ``columns``.
+
+    ``own`` names the further columns of each kind; they are null for kinds that lack them.
+    """
+    kind = F.col("annotation_type")
+    optional = sorted({c for names in own.values() for c in names})
+    values = [F.when(kind.isin(*[k for k, names in own.items() if c in names]), F.col(c)).alias(c) for c in optional]
+    return annotations.filter(kind.isin(*own)).select(*columns, kind, *values)
+
+
 def annotation_feeds(highlighted: DataFrame, bookmarked: DataFrame, noted: DataFrame) -> DataFrame:
     """Three feeds as one annotations table; columns a feed lacks are null."""
     parts = [

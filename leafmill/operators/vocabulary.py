@@ -87,47 +87,41 @@ def vocabulary_rollup(occurrences: DataFrame, reviews: DataFrame) -> DataFrame:
 
 
 def _examples(
-    pages: DataFrame, wanted: DataFrame, keys: Sequence[str], carried: Sequence[str], text: str
+    pages: DataFrame, wanted: DataFrame, keys: Sequence[str], text: str, place: bool = False
 ) -> DataFrame:
-    """The first sentence of each wanted word on its page.
+    """The first sentence of each wanted word on its page, with ``place`` its first position too.
 
-    ``wanted`` has the page's ``keys``, word and ``carried`` columns. A page's
-    wanted words travel as one array to the page's row, so a text is shuffled
-    once however many words are looked up in it.
+    ``wanted`` has the page's ``keys`` and word. A page's wanted words travel as
+    one array to the page's row, so a text is shuffled once however many words
+    are looked up in it.
     """
-    entry = F.struct("word", *carried)
-    per_page = wanted.groupBy(*keys).agg(F.collect_list(entry).alias("_wanted"))
+    per_page = wanted.groupBy(*keys).agg(F.collect_list("word").alias("_wanted"))
     both = pages.join(per_page, list(keys)).withColumn("_parts", sentences(F.col(text)))
+    if place:
+        both = both.withColumn("_words", words(F.col(text)))
     found = F.transform(
         "_wanted",
         lambda w: F.struct(
-            *[w[c].alias(c) for c in ("word", *carried)],
-            first_sentence(F.col("_parts"), w["word"]).alias("sentence"),
+            w.alias("word"), first_sentence(F.col("_parts"), w).alias("sentence"),
+            *([(F.array_position("_words", w) - 1).cast("int").alias("pos")] if place else []),
         ),
     )
     return both.select(*keys, F.inline(found))
 
 
-def first_occurrences(pages: DataFrame, text: str) -> DataFrame:
-    """Each word's first place in (book_id, page_number, pos) order, with example.
+def first_occurrences(pages: DataFrame, text: str, page: str = "page_number") -> DataFrame:
+    """Each word's first place in (book_id, ``page``, pos) order, with example.
 
-    ``pages`` has book_id, page_number and the text. Within a book the place is
-    packed into one long, so the large first aggregate hashes fixed-width values.
+    ``pages`` has book_id, the text and ``page``, any whole number that orders the pages of a book. Only the first page
+    per word and book is looked for over the corpus, by one aggregate of fixed-width values; the position on it is
+    taken where the example is.
     """
-    page = ["book_id", "page_number"]
-    occurrences = word_occurrences(pages, text, page)
-    place = F.shiftleft(F.col("page_number").cast("long"), 32) + F.col("pos")
-    per_book = occurrences.groupBy("word", "book_id").agg(F.min(place).alias("place"))
-    first = per_book.groupBy("word").agg(F.min(F.struct("book_id", "place")).alias("f"))
-    wanted = first.select(
-        "word",
-        F.col("f.book_id").alias("book_id"),
-        F.shiftright("f.place", 32).cast("int").alias("page_number"),
-        F.col("f.place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos"),
-    )
-    found = _examples(pages.select(*page, text), wanted, page, ["pos"], text)
+    keys = ["book_id", page]
+    per_book = word_occurrences(pages, text, keys).groupBy("word", "book_id").agg(F.min(page).alias(page))
+    first = per_book.groupBy("word").agg(F.min(F.struct(*keys)).alias("f"))
+    found = _examples(pages.select(*keys, text), first.select("word", "f.*"), keys, text, place=True)
     return found.select(
-        "word", F.col("book_id").alias("source_book"), F.col("page_number").alias("source_page"),
+        "word", F.col("book_id").alias("source_book"), F.col(page).alias("source_page"),
         "pos", F.col("sentence").alias("example_sentence"),
     )
 
@@ -139,7 +133,7 @@ def concordance(pages: DataFrame, targets: DataFrame, text: str) -> DataFrame:
     """
     found = pages.select("id", F.explode(F.array_distinct(words(F.col(text)))).alias("word"))
     wanted = found.join(broadcast_if_small(targets.select("word")), "word", "left_semi")
-    return _examples(pages.select("id", text), wanted, ["id"], [], text)
+    return _examples(pages.select("id", text), wanted, ["id"], text)
 
 
 def template_definition(word: Column) -> Column:

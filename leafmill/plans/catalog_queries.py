@@ -74,9 +74,7 @@ def annotations_of_book(spark: SparkSession, d: str) -> DataFrame:
     "fx_annotations",
 )
 def annotations_by_type(spark: SparkSession, d: str) -> DataFrame:
-    table = fx.annotations(spark, d)
-    kinds = [f(table, "src5") for f in (catalog.highlights, catalog.bookmarks, catalog.notes)]
-    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).select(*_ANNOTATION)
+    return catalog.annotations_by_kind(fx.annotations(spark, d), "src5").select(*_ANNOTATION)
 
 
 def _stored_words(spark: SparkSession, d: str) -> DataFrame:
@@ -122,12 +120,7 @@ def books_by_title(spark: SparkSession, d: str) -> DataFrame:
     "fx_books",
 )
 def library_filter(spark: SparkSession, d: str) -> DataFrame:
-    books = fx.books(spark, d)
-    shelves = [
-        catalog.library(books, s).select(F.lit(s).alias("shelf"), "id", "title")
-        for s in ("all", "pdf", "physical")
-    ]
-    return shelves[0].unionByName(shelves[1]).unionByName(shelves[2])
+    return catalog.shelves(fx.books(spark, d)).select("shelf", "id", "title")
 
 
 @query(
@@ -301,15 +294,8 @@ def book_pages_joined(spark: SparkSession, d: str) -> DataFrame:
 def annotations_union(spark: SparkSession, d: str) -> DataFrame:
     table = fx.annotations(spark, d)
     common = ["book_id", "page_number", "content"]
-    feeds = {
-        "highlight": [*common, "color", "position_start"],
-        "bookmark": common,
-        "note": [*common, "user_note", "position_start"],
-    }
-    highlighted, bookmarked, noted = (
-        table.filter(F.col("annotation_type") == k).select(*c) for k, c in feeds.items()
-    )
-    return catalog.annotation_feeds(highlighted, bookmarked, noted).select(
+    own = {"highlight": ["color", "position_start"], "bookmark": [], "note": ["user_note", "position_start"]}
+    return catalog.annotation_feed(table, common, own).select(
         "book_id", "page_number", "annotation_type", "content", "color", "user_note", "position_start"
     )
 

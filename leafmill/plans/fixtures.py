@@ -81,9 +81,12 @@ def _as_pages(table: DataFrame) -> DataFrame:
 def pages(spark: SparkSession, d: str, book_id: str | None = None) -> DataFrame:
     """Pages numbered in each book by document id; with ``book_id`` those of one book.
 
-    Only ids are numbered; the texts meet their numbers by id.
+    Only ids are numbered; the texts meet their numbers by id. A book is chosen in the scan of the texts too.
     """
-    table = _as_pages(sample_table(spark, d, "documents")).drop("book_id")
+    table = _as_pages(sample_table(spark, d, "documents"))
+    if book_id is not None:
+        table = table.where(F.col("book_id") == book_id)
+    table = table.drop("book_id")
     return table.join(page_numbers(spark, d, book_id), "id").select(
         "id", "book_id", "ocr_markdown", "ocr_text_plain", "page_number"
     )
@@ -98,6 +101,16 @@ def page_numbers(spark: SparkSession, d: str, book_id: str | None = None) -> Dat
     return rows.select("id", "book_id", F.col("page_number").cast("int").alias("page_number"))
 
 
+def with_page_number(found: DataFrame, column: str, spark: SparkSession, d: str) -> DataFrame:
+    """``found`` with the id of a page in ``column`` replaced by its number.
+
+    Pages of a book are numbered in the order of their ids, so firsts are found by id and only they are numbered.
+    """
+    numbers = page_numbers(spark, d).select(F.col("id").alias("_page"), F.col("page_number").alias("_number"))
+    joined = found.join(numbers, F.col(column) == F.col("_page"))
+    return joined.withColumn(column, F.col("_number")).drop("_page", "_number")
+
+
 def words(spark: SparkSession, d: str) -> DataFrame:
     return word_occurrences(
         pages(spark, d), "ocr_text_plain", ["id", "book_id", "page_number"]

@@ -49,7 +49,9 @@ def vocab_rollup(spark: SparkSession, d: str) -> DataFrame:
     reviews = vocabulary.word_occurrences(
         sample_table(spark, d, "conversations"), "text", ["conv_id"]
     ).withColumnRenamed("conv_id", "reviewed_at")
-    rolled = vocabulary.vocabulary_rollup(fx.words(spark, d), reviews)
+    seen = vocabulary.word_occurrences(fx.unnumbered_pages(spark, d), "ocr_text_plain", ["id", "book_id"])
+    rolled = vocabulary.vocabulary_rollup(seen.withColumnRenamed("id", "page_number"), reviews)
+    rolled = fx.with_page_number(rolled, "first_page", spark, d)
     return rolled.withColumn("last_reviewed_at", F.coalesce("last_reviewed_at", F.lit(-1)))
 
 
@@ -64,7 +66,8 @@ _FIRST = f"""first AS (SELECT word, book_id AS source_book, page_number AS sourc
 
 @query(f"WITH {_FIRST} SELECT * FROM first", "fx_pages fx_words")
 def vocab_first_occurrence(spark: SparkSession, d: str) -> DataFrame:
-    return vocabulary.first_occurrences(fx.pages(spark, d), "ocr_text_plain")
+    found = vocabulary.first_occurrences(fx.unnumbered_pages(spark, d), "ocr_text_plain", "id")
+    return fx.with_page_number(found, "source_page", spark, d)
 
 
 def _quoted(text: str) -> str:
@@ -122,7 +125,8 @@ _ENTRIES = f"""{_FIRST}, {_CACHE}, entries AS (SELECT f.word, c.definition AS me
 
 def _entries(spark: SparkSession, d: str) -> DataFrame:
     """Harvested words with a meaning only where one was cached."""
-    entries = harvest(fx.pages(spark, d), "ocr_text_plain", _cache(spark, d))
+    entries = harvest(fx.unnumbered_pages(spark, d), "ocr_text_plain", _cache(spark, d), "id")
+    entries = fx.with_page_number(entries, "source_page", spark, d)
     return entries.withColumn("meaning", F.when(~F.col("ai_generated"), F.col("meaning"))).drop("ai_generated")
 
 
