@@ -12,11 +12,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from leafmill.operators.ordering import match
+from leafmill.sources.tables import read_if_there
+
 ATTEMPTS = 2
 BATCH_ROWS = 64
 
@@ -45,29 +49,34 @@ def _outcomes(function: Callable[[list[Row]], list[object]], rows: list[Row]) ->
     return [_alone(function, row) for row in rows]
 
 
+def _outcome_schema(rows: DataFrame, keys: Sequence[str], result: T.DataType) -> T.StructType:
+    return T.StructType(
+        [
+            *[rows.schema[k] for k in keys],
+            T.StructField("result", result),
+            T.StructField("status", T.StringType()),
+            T.StructField("attempts", T.IntegerType()),
+            T.StructField("error", T.StringType()),
+        ]
+    )
+
+
 def run_slot(
     rows: DataFrame,
     keys: Sequence[str],
     factory: Callable[[], Callable[[list[Row]], list[object]]],
     result: T.DataType,
     batch_rows: int = BATCH_ROWS,
+    profile: ResourceProfile | None = None,
 ) -> DataFrame:
     """``keys`` with ``result``, ``status`` (ok or skipped), ``attempts`` and ``error``.
 
     Every input row gives one output row under its own key, failed ones too. Keys
     are passed through untouched; the function sees at most ``batch_rows`` rows,
     each a dict of plain values with None for null. A list of the wrong length
-    counts as a failure of the batch.
+    counts as a failure of the batch. ``profile`` asks for executors with what the function needs (memory, devices).
     """
-    schema = T.StructType(
-        [
-            *[rows.schema[k] for k in keys],
-            T.StructField("result", result),
-            T.StructField("status", T.StringType()),
-            T.StructField("attempts", T.IntegerType()),
-            T.StructField("error", T.StringType()),
-        ]
-    )
+    schema = _outcome_schema(rows, keys, result)
     types = [to_arrow_type(result), pa.string(), pa.int32(), pa.string()]
     names = schema.names
 
@@ -80,7 +89,43 @@ def run_slot(
                 out = [pa.array(list(c), t) for c, t in zip(columns, types)]
                 yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], *out], names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema, profile=profile)
+
+
+def run_stored(
+    rows: DataFrame,
+    keys: Sequence[str],
+    factory: Callable[[], Callable[[list[Row]], list[object]]],
+    result: T.DataType,
+    path: str,
+    waves: int = 16,
+    again: bool = False,
+    **options,
+) -> DataFrame:
+    """Outcomes of ``run_slot`` kept below ``path``: the function is called only for rows that have none there.
+
+    ``keys`` tell the rows apart. Rows are dealt to ``waves`` by a hash of their keys, and each wave is a write of its
+    own, so a job that fails or is restarted loses at most the wave it was in; a lost executor costs its unfinished tasks.
+    With ``again``, rows that were skipped are tried anew, and the newest outcome of a row counts.
+    """
+    spark = rows.sparkSession
+    fields = _outcome_schema(rows, keys, result).fields
+    stored = T.StructType([*fields, T.StructField("wave", T.IntegerType()), T.StructField("run", T.LongType())])
+    newest = read_if_there(spark, path, stored).agg(F.max("run")).first()[0]
+    number = 0 if newest is None else newest + 1
+    wave_of = F.pmod(F.xxhash64(*keys), F.lit(waves))
+    for wave in range(waves):
+        held = read_if_there(spark, path, stored).where(F.col("wave") == wave)
+        if again:
+            held = held.where("status = 'ok'")
+        todo = match(rows.where(wave_of == wave), held.select(*keys), keys, "left_anti")
+        outcomes = run_slot(todo, keys, factory, result, **options)
+        outcomes.write.mode("overwrite").parquet(f"{path}/wave={wave}/run={number}")
+    kept = spark.read.schema(stored).parquet(path)
+    if not again and number == 0:
+        return kept.drop("wave", "run")
+    last = kept.groupBy(*keys).agg(F.max("run").alias("run"))
+    return match(kept, last, [*keys, "run"], "left_semi").drop("wave", "run")
 
 
 def split_outcomes(outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -11,6 +11,7 @@ from leafmill.functions.geometry import resized
 from leafmill.functions.text import preview
 from leafmill.operators import audits, catalog, merge, writes
 from leafmill.operators.signal import with_reject_reason
+from leafmill.operators.stored_table import StoredTable
 from leafmill.plans import fixtures as fx
 from leafmill.plans.registry import query
 from leafmill.schemas import ANNOTATION_TYPES
@@ -735,3 +736,36 @@ def epoch_stamps(spark: SparkSession, d: str) -> DataFrame:
     return sample_table(spark, d, "events").select("event_id", seconds.alias("seconds")).withColumn(
         "stamp", clock.stamp(F.col("seconds"))
     )
+
+
+_NOTED = ["id", "book_id", "annotation_type", "content", "color", "user_note"]
+
+
+@query(
+    """WITH upserted AS (
+        SELECT id, book_id, annotation_type, CASE WHEN id % 4 = 0 THEN 'edited' ELSE content END AS content, color, user_note FROM fx_annotations
+        UNION ALL SELECT id + 1000000000, book_id, 'bookmark', content, NULL, NULL FROM fx_annotations WHERE id % 50 = 0)
+       SELECT id, book_id, annotation_type, content, CASE WHEN id % 6 = 0 THEN 'green' ELSE color END AS color,
+           CASE WHEN id % 6 = 0 AND id % 9 = 0 THEN 'seen again' WHEN id % 6 = 0 THEN 'seen' ELSE user_note END AS user_note
+       FROM upserted WHERE id % 10 <> 3""",
+    "fx_annotations",
+)
+def stored_changes(spark: SparkSession, d: str) -> DataFrame:
+    """A stored table after an upsert with new rows, a folded log of patches, and a delete; then read back."""
+    rows = fx.annotations(spark, d).select(_NOTED)
+    table = StoredTable(spark, fresh_path(spark, "annotations"), rows.schema, "id", buckets=16).create(rows)
+    edited = rows.where("id % 4 = 0").withColumn("content", F.lit("edited"))
+    none = F.lit(None).cast("string")
+    added = rows.where("id % 50 = 0").select(
+        (F.col("id") + 1_000_000_000).alias("id"), "book_id", F.lit("bookmark").alias("annotation_type"), "content",
+        none.alias("color"), none.alias("user_note"),
+    )
+    table.upsert(edited.unionByName(added), 1)
+    ids = table.read().where("id % 6 = 0").select("id")
+    log = (
+        ids.select("id", F.lit(1).alias("seq"), F.lit("green").alias("color"), F.lit("seen").alias("user_note"))
+        .unionByName(ids.select("id", F.lit(2).alias("seq"), none.alias("color"), F.when(F.col("id") % 9 == 0, "seen again").alias("user_note")))
+    )
+    table.patch(merge.fold_patches(log, "id", ["color", "user_note"], ["seq"]), ["color", "user_note"], 2)
+    table.delete(table.read().where("id % 10 = 3").select("id"), 3)
+    return table.read()

@@ -523,6 +523,47 @@ def test_slots(spark):
     assert [(r.id, r.attempts, r.error) for r in bad.collect()] == [(2, 2, "RuntimeError: no")]
 
 
+def test_stored_outcomes_are_not_made_again(spark, tmp_path):
+    """A job that fails half way, a restart, new rows, and another try of the skipped ones; every call is counted."""
+    calls, stop, store = (tmp_path / n for n in ("calls", "stop", "store"))
+    calls.mkdir()
+    stop.touch()
+
+    def factory():
+        def work(row):
+            with open(calls / str(row["id"]), "a") as log:
+                log.write("x")
+            if row["id"] == 7 and stop.exists():
+                raise RuntimeError("not now")
+            return row["id"] * 10
+
+        return lambda rows: [work(row) for row in rows]
+
+    def factory_that_dies():
+        if sum(1 for _ in calls.iterdir()) >= 10:
+            raise MemoryError("executor lost")
+        return factory()
+
+    def made():
+        return {int(f.name): len(f.read_text()) for f in calls.iterdir()}
+
+    rows = spark.range(40).coalesce(1)
+    with pytest.raises(Exception, match="executor lost"):
+        slots.run_stored(rows, ["id"], factory_that_dies, T.LongType(), f"file://{store}", waves=4, batch_rows=1)
+    before = made()
+    assert 10 <= len(before) < 40
+    found = slots.run_stored(rows, ["id"], factory, T.LongType(), f"file://{store}", waves=4, batch_rows=1)
+    assert {r.id: r.result for r in found.collect()} == {i: None if i == 7 else i * 10 for i in range(40)}
+    after = made()
+    assert all(after[i] == n for i, n in before.items()) and set(after) == set(range(40))
+    found = slots.run_stored(spark.range(42).coalesce(1), ["id"], factory, T.LongType(), f"file://{store}", waves=4)
+    assert found.count() == 42 and {i for i, n in made().items() if n != after.get(i)} == {40, 41}
+    stop.unlink()
+    found = slots.run_stored(spark.range(42).coalesce(1), ["id"], factory, T.LongType(), f"file://{store}", waves=4, again=True)
+    assert {r.id: r.result for r in found.collect()} == {i: i * 10 for i in range(42)}
+    assert made()[7] == after[7] + 1 and made()[8] == after[8]
+
+
 def test_slot_keys_pass_untouched(spark):
     """A null key beside one that no double can hold; the function sees None for null."""
     big = 9_007_199_254_740_993
