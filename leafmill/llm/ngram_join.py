@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,7 +36,8 @@ SPARE = 1.15  # buckets over the least number, so that light ones can be left ou
 LIGHT = 2  # buckets of fewer shingles are light
 LEAST_BUCKET = 8  # shingles per differing one, from which on buckets are used
 # Mixed tiles get more leaders while they hold more pairs than this per member, and so many times at most.
-PAIRS_PER_MEMBER, LEADERS = 8, 3
+PAIRS_PER_MEMBER, LEADERS = 64, 3
+EARLIER = 4  # tiles before the present one that a set carries along
 BLOCK = 2048  # sets of a tile that are compared in one group
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -240,10 +241,9 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     # Texts move once, one for each class that shares a tile with another.
     sharing = members.select("id").distinct()
     shared = keep(classes.select("id", "n", "bits", "row").join(sharing, "id", "left_semi"))
-    wanted = shared.select(F.col("id").alias("node"), F.col("row.id").alias("of"), F.col("row.digest").alias("of_digest"))
-    own = (F.col("digest") == F.col("of_digest")) & F.col("id").eqNullSafe(F.col("of"))
-    squeezed = _squeezed(rows).join(wanted, own).select(F.col("node").alias("id"), "packed")
-    texts = keep(squeezed.dropDuplicates(["id"]))
+    wanted = shared.select(F.col("id").alias("node"), _row_key(F.col("row.id"), F.col("row.digest")).alias("row_key"))
+    squeezed = _squeezed(rows).select(_row_key(F.col("id"), F.col("digest")).alias("row_key"), "packed")
+    texts = keep(squeezed.join(wanted, "row_key").dropDuplicates(["row_key"]).select(F.col("node").alias("id"), "packed"))
     bits = shared.select("id", "n", "bits")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -280,6 +280,11 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     )
 
 
+def _row_key(id_: Column, digest: Column) -> Column:
+    """Id and digest of a row as one value, never null, so that one shuffle serves a join and the removal of repeats."""
+    return F.concat(digest, F.coalesce(id_.cast("string"), F.lit("")).cast("binary"))
+
+
 def _numbered(classes: DataFrame) -> DataFrame:
     """Classes with a number ``id``: their smallest document id, so that leaders of tiles tend to be first copies.
 
@@ -326,15 +331,19 @@ def _cross_pairs(members: DataFrame) -> tuple[int, int]:
 def _tile_pairs(members: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) in a tile and in different components whose bitmaps allow enough overlap.
 
-    A tile of several blocks is compared block by block, each pair of blocks being a group of its own.
+    A tile of several blocks is compared block by block, each pair of blocks being a group of its own. Each set knows
+    its ``EARLIER`` tiles before this one: two sets that have one of them in common were compared there, so similar sets
+    are not listed again in every tile they share.
     """
+    before = Window.partitionBy("id").orderBy("tile").rowsBetween(-EARLIER, -1)
+    members = members.withColumn("earlier", F.collect_list("tile").over(before))
     blocks = members.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = members.select("tile", "id", "root").join(blocks, "tile").join(bits, "id")
+    rows = members.select("tile", "id", "root", "earlier").join(blocks, "tile").join(bits, "id")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = ["tile", "x", "y"]
     dealt = rows.select(
-        "tile", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "root", "own", "n", "bits"
+        "tile", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "root", "own", "n", "bits", "earlier"
     )
     dealt = dealt.repartition(*group).sortWithinPartitions(*group, "n")
 
@@ -356,8 +365,12 @@ def _tile_pairs(members: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
 
 
 def _pairs_batch(held: list[list], across: bool, percent: int, kind: pa.DataType) -> pa.RecordBatch:
-    """Passing pairs of one group: rows of (id, root, block, size, bitmap) in the order of size."""
-    ids, roots, own, sizes, maps = zip(*held)
+    """Passing pairs of one group: rows of (id, root, block, size, bitmap, earlier tiles) in the order of size."""
+    ids, roots, own, sizes, maps, earlier = zip(*held)
+    tiles = np.zeros((len(earlier), EARLIER), np.int64)
+    known = np.zeros((len(earlier), EARLIER), bool)
+    for i, listed in enumerate(earlier):
+        tiles[i, : len(listed)], known[i, : len(listed)] = listed, True
     roots, own, n = np.array(roots), np.array(own), np.array(sizes, dtype=np.int64)
     last = np.searchsorted(n, n * 100 // percent, side="right")  # larger sets cannot link
     by_words: dict[int, np.ndarray] = {}
@@ -379,6 +392,8 @@ def _pairs_batch(held: list[list], across: bool, percent: int, kind: pa.DataType
         fits = (100 * bound >= percent * (n[i] + n[j] - bound)) & (roots[j] != roots[i])
         if across:
             fits &= own[j] != own[i]
+        for place in np.flatnonzero(known[i]):
+            fits &= ~((tiles[j] == tiles[i, place]) & known[j]).any(axis=1)
         for k in np.flatnonzero(fits) + i + 1:
             a.append(min(ids[i], ids[k]))
             b.append(max(ids[i], ids[k]))
