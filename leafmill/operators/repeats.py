@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import letter_runs
 from leafmill.operators import suffixes
+from leafmill.operators.joins import broadcast_if_small
+from leafmill.session import keep
 
 
 def repeated_substrings(texts: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
@@ -51,20 +53,32 @@ def suffix_order(texts: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def repeated_passages(texts: DataFrame, text: str, length: int) -> DataFrame:
-    """Runs of ``length`` words found in at least two texts, with counts.
-
-    Like word counts: one entry per occurrence and one per text, summed in a
-    single aggregate on the passage itself, so equal hashes cannot mix passages
-    and a passage copied very often combines before the shuffle.
-    """
+def _passages(texts: DataFrame, keys: Sequence[str], text: str, length: int) -> DataFrame:
+    """``keys`` and ``_p``, the runs of ``length`` words of each text in order."""
     tokens = letter_runs(F.lower(F.col(text)))
     starts = F.when(
         F.size("_w") >= length, F.sequence(F.lit(1), F.size("_w") - (length - 1))
     ).otherwise(F.array().cast("array<int>"))
-    runs = texts.select(tokens.alias("_w")).select(
-        F.transform(starts, lambda i: F.array_join(F.slice("_w", i, length), " ")).alias("_p")
+    return texts.select(*keys, tokens.alias("_w")).select(
+        *keys, F.transform(starts, lambda i: F.array_join(F.slice("_w", i, length), " ")).alias("_p")
     )
+
+
+def _repeated_hashes(passages: DataFrame) -> DataFrame:
+    """Hashes of passages that several texts hold; only numbers are shuffled."""
+    seen = passages.select(F.explode(F.array_distinct(F.transform("_p", lambda p: F.xxhash64(p)))).alias("hash"))
+    found = seen.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    return broadcast_if_small(keep(found))
+
+
+def repeated_passages(texts: DataFrame, text: str, length: int) -> DataFrame:
+    """Runs of ``length`` words found in at least two texts, with counts.
+
+    Passages are told by hashes first, and only those whose hash comes again are moved as words. These have one entry
+    per occurrence and one per text, summed in a single aggregate on the passage itself, so equal hashes cannot mix
+    passages and a passage copied very often combines before the shuffle.
+    """
+    passages = _passages(texts, [], text, length)
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     entries = F.concat(
         F.transform("_p", lambda p: F.struct(p.alias("passage"), one.alias("o"), none.alias("d"))),
@@ -73,8 +87,29 @@ def repeated_passages(texts: DataFrame, text: str, length: int) -> DataFrame:
             lambda p: F.struct(p.alias("passage"), none.alias("o"), one.alias("d")),
         ),
     )
+    rows = passages.select(F.inline(entries)).withColumn("hash", F.xxhash64("passage"))
     return (
-        runs.select(F.inline(entries)).groupBy("passage")
+        rows.join(_repeated_hashes(passages), "hash", "left_semi").groupBy("passage")
         .agg(F.sum("o").alias("occurrences"), F.sum("d").alias("documents"))
         .filter("documents > 1")
     )
+
+
+def repeated_runs(texts: DataFrame, key: str, text: str, length: int) -> DataFrame:
+    """The longest stretches of each text in which every ``length`` words stand in another text too.
+
+    Rows are (``key``, ``start``, ``words``), counted in words. Seeds are passages of ``length`` words whose hash several
+    texts hold; seeds at neighbouring places are one stretch, of any length. Passages are told by 64-bit hashes. Rows that
+    repeat a key are texts of their own.
+    """
+    passages = keep(_passages(texts, [key], text, length).withColumn("_t", F.monotonically_increasing_id()).select(
+        key, "_t", F.transform("_p", lambda p: F.xxhash64(p)).alias("_h")
+    ))
+    seen = passages.select(F.explode(F.array_distinct("_h")).alias("hash"))
+    repeated = keep(seen.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"))
+    seeds = passages.select(key, "_t", F.posexplode("_h").alias("pos", "hash")).join(broadcast_if_small(repeated), "hash", "left_semi")
+    in_text = Window.partitionBy("_t").orderBy("pos")
+    runs = seeds.withColumn("_run", F.col("pos") - F.row_number().over(in_text))
+    return runs.groupBy(key, "_t", "_run").agg(
+        F.min("pos").alias("start"), (F.count(F.lit(1)) + length - 1).alias("words")
+    ).drop("_t", "_run")

@@ -55,3 +55,15 @@ def suffix_order(spark: SparkSession, d: str) -> DataFrame:
 )
 def repeated_passages(spark: SparkSession, d: str) -> DataFrame:
     return repeats.repeated_passages(fx.documents(spark, d), "text", 8)
+
+
+@query(
+    """WITH split AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '') AS w FROM documents),
+       places AS (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM split WHERE len(w) >= 8),
+       runs AS (SELECT doc_id, i, list_aggregate(w[i:i + 7], 'string_agg', ' ') AS passage FROM places),
+       again AS (SELECT passage FROM runs GROUP BY passage HAVING count(DISTINCT doc_id) > 1),
+       islands AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM runs JOIN again USING (passage))
+       SELECT doc_id, (min(i) - 1)::INTEGER AS start, count(*) + 7 AS words FROM islands GROUP BY doc_id, island"""
+)
+def repeated_runs(spark: SparkSession, d: str) -> DataFrame:
+    return repeats.repeated_runs(fx.documents(spark, d), "doc_id", "text", 8)

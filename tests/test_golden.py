@@ -257,6 +257,13 @@ def test_passages(spark):
     assert found == {"one two three": (3, 2)}
 
 
+def test_runs_of_repeated_words(spark):
+    """Stretches of any length, at the ends of a text, and of rows that share a key."""
+    rows = [(1, "A b, c d e x y"), (1, "a b c d e"), (2, "z z x y q b c d"), (None, "q b"), (3, None), (4, "lone lone lone lone")]
+    found = repeats.repeated_runs(spark.createDataFrame(rows, "k int, t string"), "k", "t", 2).collect()
+    assert sorted((r.k or 0, r.start, r.words) for r in found) == [(0, 0, 2), (1, 0, 5), (1, 0, 5), (1, 5, 2), (2, 2, 2), (2, 4, 4)]
+
+
 def now():
     return F.lit(1_700_000_000).cast("long")
 
