@@ -18,7 +18,7 @@ from leafmill.session import keep
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 LIMIT = 1 << 26  # components are held within it, so that squared distances fit 64 bits
-AHEAD = 8  # places of a neighbour list that are looked at in one step
+AHEAD = 16  # places of a neighbour list that are looked at in one step
 
 
 class Orchard:
@@ -36,8 +36,10 @@ class Orchard:
         self.entries = entries
         apart = np.square(entries[:, None, :] - entries[None, :, :]).sum(2)
         np.fill_diagonal(apart, -1)
-        self.near = np.argsort(apart, axis=1, kind="stable")[:, 1:]
-        self.gaps = np.take_along_axis(apart, self.near, axis=1)
+        near = np.argsort(apart, axis=1, kind="stable")[:, 1:]
+        # Lists one after the other, each of all other entries.
+        self.gaps = np.take_along_axis(apart, near, axis=1).ravel()
+        self.near = near.ravel()
         sums = entries.sum(1)
         self.by_sum = np.argsort(sums, kind="stable")
         self.sums = sums[self.by_sum]
@@ -50,24 +52,28 @@ class Orchard:
         start = np.minimum(np.searchsorted(self.sums, vectors.sum(1)), k - 1)
         at_entry = self.by_sum[start]
         distance = np.square(vectors - self.entries[at_entry]).sum(1)
-        marked = np.zeros((n, k), bool)
-        marked[np.arange(n), at_entry] = True
+        marked = np.zeros(n * k, bool)
+        marked[np.arange(n) * k + at_entry] = True
         place = np.zeros(n, "int64")
         walking = np.arange(n) if k > 1 else np.arange(0)
         while walking.size:
-            columns = place[walking, None] + np.arange(AHEAD)
+            here = distance.take(walking)
+            columns = place.take(walking)[:, None] + np.arange(AHEAD)
             inside = columns < k - 1
-            columns = np.minimum(columns, k - 2)
-            listed = self.near[at_entry[walking, None], columns]
-            within = inside & (self.gaps[at_entry[walking, None], columns] <= 4 * distance[walking, None])
-            row, col = np.nonzero(within & ~marked[walking[:, None], listed])
-            entry, vector = listed[row, col], walking[row]
-            found = np.full(listed.shape, np.iinfo("int64").max)
-            found[row, col] = np.square(vectors[vector] - self.entries[entry]).sum(1)
-            marked[vector, entry] = True
+            listed_at = at_entry.take(walking)[:, None] * (k - 1) + np.minimum(columns, k - 2)
+            listed = self.near.take(listed_at)
+            within = inside & (self.gaps.take(listed_at) <= 4 * here[:, None])
+            mark = walking[:, None] * k + listed
+            todo = np.flatnonzero(within & ~marked.take(mark))
+            entry, vector = listed.ravel().take(todo), walking.take(todo // AHEAD)
+            apart = vectors.take(vector, axis=0) - self.entries.take(entry, axis=0)
+            found = np.full(listed.size, np.iinfo("int64").max)
+            found[todo] = np.einsum("ij,ij->i", apart, apart)
+            found = found.reshape(listed.shape)
+            marked[mark.ravel().take(todo)] = True
             best = found.min(1)
             which = np.where(found == best[:, None], listed, k).min(1)
-            moved = (best < distance[walking]) | ((best == distance[walking]) & (which < at_entry[walking]))
+            moved = (best < here) | ((best == here) & (which < at_entry.take(walking)))
             movers = walking[moved]
             at_entry[movers], distance[movers], place[movers] = which[moved], best[moved], 0
             place[walking[~moved]] += AHEAD
