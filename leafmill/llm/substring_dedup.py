@@ -12,7 +12,7 @@ all suffixes at a depth of ``window`` words or more: a suffix below such a node
    deep inner node, and all of them are marked. Contents are compared themselves, not hashes of them.
 4. For larger groups the prefix grows to the whole window (by two 64-bit hashes of it). Such a group is a single node, of
    which only the number of leaves is asked, so it is counted and never gathered: a passage in very many documents is
-   no hot key.
+   no large group. Places with the same words around them are counted as one before.
 
 Copies of a whole text are found first by digest; one of them takes part.
 """
@@ -32,7 +32,6 @@ from leafmill.session import fresh_path, keep
 WINDOW = 35
 ANCHOR = 8
 GROUP_ROWS = 10_000
-BATCH_ROWS = 100_000
 BATCH_RUNS = 2_000
 
 # Odd multipliers of the two window hashes.
@@ -171,7 +170,7 @@ def _squeezed(rows: DataFrame) -> DataFrame:
 
 
 GROUPED = "runs array<struct<anchor: long, at: int, n: int, words: binary>>"
-COUNTED = "leaves array<struct<at: int, prefix: long, content: long>>"
+COUNTED = "leaves array<struct<at: int, n: int, first: long, second: long, windows: array<struct<prefix: long, content: long>>>>"
 
 
 def _suffix_rows(texts: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -181,17 +180,21 @@ def _suffix_rows(texts: DataFrame, window: int, anchor: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
         import zstandard
 
         suffixes, plain = Suffixes(window, anchor), zstandard.ZstdDecompressor().decompress
         run_type = pa.struct([("anchor", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("words", pa.binary())])
-        leaf_type = pa.struct([("at", pa.int32()), ("prefix", pa.int64()), ("content", pa.int64())])
+        window_type = pa.struct([("prefix", pa.int64()), ("content", pa.int64())])
+        leaf_type = pa.struct(
+            [("at", pa.int32()), ("n", pa.int32()), ("first", pa.int64()), ("second", pa.int64()), ("windows", pa.list_(window_type))]
+        )
 
         def out(batch: pa.RecordBatch, i: int, runs: tuple | None, leaves: tuple | None) -> pa.RecordBatch:
             def listed(columns: tuple | None, kind: pa.StructType) -> pa.Array:
                 if columns is None:
                     return pa.array([None], pa.list_(kind))
-                arrays = [pa.array(c, f.type) for c, f in zip(columns, kind)]
+                arrays = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, kind)]
                 return pa.ListArray.from_arrays(pa.array([0, len(arrays[0])], pa.int32()), pa.StructArray.from_arrays(arrays, fields=list(kind)))
 
             keys = [batch.column(c).slice(i, 1) for c in ("id", "part")]
@@ -213,10 +216,21 @@ def _suffix_rows(texts: DataFrame, window: int, anchor: int) -> DataFrame:
                     yield out(batch, i, (anchors[some].view(np.int64), first[some].astype(np.int32), sizes[some].astype(np.int32), around), None)
                 if counted.any():
                     content, prefix = suffixes.windows(ids)
-                    at = np.flatnonzero(np.repeat(counted, sizes))
-                    for a in range(0, len(at), BATCH_ROWS):
-                        some = at[a : a + BATCH_ROWS]
-                        yield out(batch, i, None, (some.astype(np.int32), prefix[some].view(np.int64), content[some].view(np.int64)))
+                    chosen = np.flatnonzero(counted)
+                    for a in range(0, len(chosen), BATCH_RUNS):
+                        some = chosen[a : a + BATCH_RUNS]
+                        digests = b"".join(
+                            xxhash.xxh3_128_digest(b" ".join(words[first[r] : first[r] + sizes[r] + window - 1])) for r in some
+                        )
+                        halves = np.frombuffer(digests, np.int64).reshape(-1, 2)
+                        ends = np.concatenate([[0], np.cumsum(sizes[some])]).astype(np.int32)
+                        at = np.arange(ends[-1]) - np.repeat(ends[:-1], sizes[some]) + np.repeat(first[some], sizes[some])
+                        both = [pa.array(h[at].view(np.int64)) for h in (prefix, content)]
+                        windows = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(both, fields=list(window_type)))
+                        yield out(
+                            batch, i, None,
+                            (first[some].astype(np.int32), sizes[some].astype(np.int32), halves[:, 0].copy(), halves[:, 1].copy(), windows),
+                        )
 
     return texts.mapInArrow(run, f"id {_kind(texts)}, part long, {GROUPED}, {COUNTED}")
 
@@ -302,11 +316,24 @@ def _ranges(at: list[int]) -> list[dict]:
 
 
 def _counted(suffixes: DataFrame) -> DataFrame:
-    """(id, part, marks) of suffixes whose prefix is the whole window, where the node has several leaves."""
+    """(id, part, marks) of suffixes whose prefix is the whole window, where the node has several leaves.
+
+    Places with the same words around them are counted first: all their suffixes repeat, and they are marked as a range.
+    Of each such place one goes on, so the windows that are compared are those of different surroundings.
+    """
     rows = suffixes.where("leaves is not null").select("id", "part", F.inline("leaves"))
-    nodes = rows.groupBy("prefix", "content").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    marked = rows.join(nodes, ["prefix", "content"], "left_semi")
-    return marked.groupBy("id", "part").agg(F.collect_list(F.struct(F.col("at").alias("first"), F.col("at").alias("last"))).alias("marks"))
+    place = F.struct("id", "part", "at").alias("place")
+    distinct = keep(rows.groupBy("first", "second").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("place"), F.first("windows").alias("windows")))
+    copied = distinct.where("copies > 1").select("first", "second")
+    whole = rows.select("id", "part", "at", "n", "first", "second").join(copied, ["first", "second"], "left_semi")
+    whole = whole.select("id", "part", F.col("at").alias("start"), (F.col("at") + F.col("n") - 1).alias("end"))
+    leaves = distinct.select("copies", "place", F.posexplode("windows").alias("k", "window")).select("copies", "place", "k", "window.*")
+    nodes = leaves.groupBy("prefix", "content").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    single = leaves.where("copies = 1").join(nodes, ["prefix", "content"], "left_semi")
+    at = F.col("place.at") + F.col("k")
+    single = single.select("place.id", "place.part", at.alias("start"), at.alias("end"))
+    mark = F.struct(F.col("start").alias("first"), F.col("end").alias("last"))
+    return whole.unionByName(single).groupBy("id", "part").agg(F.collect_list(mark).alias("marks"))
 
 
 def _cut(texts: DataFrame, window: int) -> DataFrame:
