@@ -222,12 +222,16 @@ def _linked(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return joined.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def link(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT,
+    pairs_per_member: int | None = None,
+) -> DataFrame:
     """One row per document: ``n_shingles`` and ``component_id``, the smallest id it is linked with over any path.
 
     Two sets link when ``100 * overlap >= percent * union``. A text without words has no set and no links. Rows
     that repeat an id, with one text or several, and rows without an id are documents of their own; a component without
-    any id has none. ``component`` numbers the components of this run (null without words), ``digest`` (``text_digest``)
+    any id has none. Mixed tiles get more leaders while they hold more pairs than ``pairs_per_member`` a set; a low number
+    suits low similarities, where a set is in many tiles. ``component`` numbers the components of this run (null without words), ``digest`` (``text_digest``)
     tells rows of one id apart. An empty table gives no rows. Other columns are dropped.
     """
     rows = narrow(docs, id_col, text_col).withColumn("digest", text_digest(F.col("text")))
@@ -257,7 +261,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
         sets_left, pairs_left = _cross_pairs(members)
         if not sets_left:
             break
-        if not left or pairs_left <= PAIRS_PER_MEMBER * sets_left:
+        if not left or pairs_left <= (PAIRS_PER_MEMBER if pairs_per_member is None else pairs_per_member) * sets_left:
             pairs = keep(_tile_pairs(members, bits, percent).distinct())
             roots = components(links.unionByName(keep(_linked(pairs, texts, words, percent))))
             break
@@ -392,9 +396,11 @@ def _pairs_batch(held: list[list], across: bool, percent: int, kind: pa.DataType
         fits = (100 * bound >= percent * (n[i] + n[j] - bound)) & (roots[j] != roots[i])
         if across:
             fits &= own[j] != own[i]
-        for place in np.flatnonzero(known[i]):
-            fits &= ~((tiles[j] == tiles[i, place]) & known[j]).any(axis=1)
-        for k in np.flatnonzero(fits) + i + 1:
+        passing = np.flatnonzero(fits) + i + 1
+        if len(passing) and known[i].any():
+            shared = (tiles[passing][:, :, None] == tiles[i, known[i]]) & known[passing][:, :, None]
+            passing = passing[~shared.any(axis=(1, 2))]
+        for k in passing:
             a.append(min(ids[i], ids[k]))
             b.append(max(ids[i], ids[k]))
     return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
