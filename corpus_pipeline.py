@@ -71,7 +71,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 # Near-duplicates of the corpus: shingles of five words, similarity of 0.8 or more.
-NEAR = {"words": 5, "percent": 80}
+NEAR = {"words": 5, "percent": 80, "pairs_per_member": 8}
 
 STAGES = [
     ("quality_rules", quality_rules),
