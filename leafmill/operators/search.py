@@ -30,8 +30,8 @@ def postings(
     prefixes: Sequence[str] | None = None,
 ) -> DataFrame:
     """One row per token; with ``terms`` or ``prefixes`` only of those that match."""
-    tokens = documents.select(
-        F.col(key).alias("id"), *[_tokens(c).alias(f"_{i}") for i, c in enumerate(columns)]
+    cut = documents.select(
+        F.col(key).alias("id"), *[tokens(c).alias(f"_{i}") for i, c in enumerate(columns)]
     )
     length = F.lit(0).cast("long")
     for i in range(len(columns)):
@@ -41,7 +41,7 @@ def postings(
     )
     # The outer form keeps Spark from tokenising once more in a filter for empty arrays.
     rows = (
-        tokens.withColumn("length", length)
+        cut.withColumn("length", length)
         .select("id", "length", F.inline(per_column))
         .select("id", "length", "col", F.posexplode_outer("tokens").alias("pos", "term"))
         .filter("term is not null")
@@ -54,7 +54,8 @@ def postings(
     return rows.select("term", "id", "col", "pos", "length")
 
 
-def _tokens(column: str) -> Column:
+def tokens(column: str) -> Column:
+    """Terms of a column in order; null has none."""
     return search_tokens(F.coalesce(F.col(column), F.lit("")))
 
 
@@ -62,7 +63,7 @@ def lengths(documents: DataFrame, key: str, columns: Sequence[str]) -> DataFrame
     """Tokens per document, over all indexed columns."""
     total = F.lit(0)
     for c in columns:
-        total = total + F.size(_tokens(c))
+        total = total + F.size(tokens(c))
     return documents.select(F.col(key).alias("id"), total.cast("long").alias("length"))
 
 

@@ -1,11 +1,12 @@
 """A stored full-text index that follows inserts, updates and deletes.
 
-Below a root folder an index has generations of segments, and each segment four Parquet tables:
+Below a root folder an index has generations of segments, and each segment three Parquet tables:
 
 * ``blocks``: postings of one term in one range of document ids, packed into a row, with the number of documents, the
   highest count and the least length in it. Partitioned by the bucket of the term's head and sorted by term, so a term
-  or a prefix is read from one folder, and in it from the row groups that can hold it;
-* ``lengths``: tokens per document;
+  or a prefix is read from one folder, and in it from the row groups that can hold it. Documents are dealt out by their
+  range before they are cut into tokens, so what moves is text and packed rows, and a range is packed by one task.
+  Its documents with their numbers of tokens are a row without a term, in a bucket of their own;
 * ``documents``: the documents themselves;
 * ``touched``: ids that the segment changes or deletes, its tombstones for all segments before it.
 
@@ -17,9 +18,11 @@ One writer at a time. Ids are integers; a document without one is not indexed.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +34,9 @@ from leafmill.sources.tables import read_if_there
 BUCKETS = 64
 HEAD = 2  # characters of a term that choose its bucket
 BLOCK_IDS = 4096  # ids in the range of a block
+BLOCK_TOKENS = 1 << 22  # tokens after which a range goes on in further rows of the same block
+LENGTHS = -1  # bucket of the rows without a term
+SHARES = 8  # shares of a bucket that are sorted and written by tasks of their own
 LEADING = 8  # blocks with the highest bounds, scored first for a threshold
 SLACK = 1e-9  # of a score, for the order in which parts are summed
 
@@ -84,15 +90,14 @@ class StoredIndex:
         place = lambda name: f"{self.root}/generation={generation}/{name}/segment={segment}"
         documents.write.mode("overwrite").parquet(place("documents"))
         stored = self.spark.read.schema(documents.schema).parquet(place("documents"))
-        search.lengths(stored, self.key, self.columns).write.mode("overwrite").parquet(place("lengths"))
-        blocks = _blocks(search.postings(stored, self.key, self.columns))
-        order = ["bucket", "term", "block"]
-        blocks.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(place("blocks"))
+        blocks = _blocks(stored, self.key, self.columns).repartition("bucket", F.pmod("block", F.lit(SHARES)))
+        blocks.sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(place("blocks"))
         if touched is not None:
             touched.write.mode("overwrite").parquet(place("touched"))
         if listed:
             return
-        sizes = self.spark.read.schema("id long, length long").parquet(place("lengths"))
+        packed = self.spark.read.schema(BLOCKS).parquet(place("blocks")).where(F.col("bucket") == LENGTHS)
+        sizes = packed.select(F.explode("lengths").alias("length"))
         line = sizes.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"))
         line = line.select(F.lit(generation).cast("long").alias("generation"), F.lit(segment).cast("long").alias("segment"), "documents", "tokens")
         line.coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
@@ -138,11 +143,13 @@ class StoredIndex:
         return self._live(self._table("documents", schema), self.key)
 
     def lengths(self) -> DataFrame:
-        return self._live(self._table("lengths", "id long, length long, segment long"))
+        rows = self._table("blocks", BLOCKS).where(F.col("bucket") == LENGTHS)
+        rows = rows.select("segment", F.inline(F.arrays_zip("ids", "lengths")))
+        return self._live(rows.select(F.col("ids").alias("id"), F.col("lengths").alias("length"), "segment"))
 
     def _read(self, terms: Sequence[str] | None, prefixes: Sequence[str] | None) -> DataFrame:
         """Blocks of terms and prefixes (all, if neither is given): by partition, then by the range of terms in a file."""
-        rows = self._table("blocks", BLOCKS)
+        rows = self._table("blocks", BLOCKS).where(F.col("bucket") != LENGTHS)
         if terms is None and prefixes is None:
             return rows
         asked, buckets, all_buckets = F.lit(False), [], False
@@ -161,9 +168,18 @@ class StoredIndex:
 
     def postings(self, terms: Sequence[str] | None = None, prefixes: Sequence[str] | None = None) -> DataFrame:
         """Live postings ``(term, id, col, pos, length)``, as ``search.postings`` gives them."""
-        rows = self._read(terms, prefixes).select("term", "segment", F.inline("entries"))
-        rows = self._live(rows)
-        return rows.select("term", "id", "length", F.inline("places")).select("term", "id", "col", "pos", "length")
+        places = F.inline(F.arrays_zip("at", "cols", "positions"))
+        rows = self._read(terms, prefixes).select("term", "segment", "ids", "lengths", places)
+        names = F.array(*[F.lit(c) for c in self.columns])
+        return self._live(rows.select(
+            "term", F.get("ids", "at").alias("id"), F.get(names, "cols").alias("col"), F.col("positions").alias("pos"),
+            F.get("lengths", "at").alias("length"), "segment",
+        ))
+
+    def counts(self, terms: Sequence[str] | None = None) -> DataFrame:
+        """Live ``(term, id, tf, length)``, one row per term and document, without reading the places."""
+        rows = self._read(terms, None).select("term", "segment", F.inline(F.arrays_zip("ids", "counts", "lengths")))
+        return self._live(rows.select("term", F.col("ids").alias("id"), F.col("counts").alias("tf"), F.col("lengths").alias("length"), "segment"))
 
     def best(self, terms: Sequence[str], limit: int) -> DataFrame:
         """``(id, score)`` of the ``limit`` best documents with any of the terms (BM25), equal scores by id.
@@ -189,8 +205,8 @@ class StoredIndex:
             return idf * tf * F.lit(search.K1 + 1) / (tf + norm)
 
         bounds = blocks.groupBy("block").agg(F.sum(part(F.col("most"), F.col("least"))).alias("bound"))
-        entries = blocks.select("term", "block", F.inline("entries"))
-        scored = entries.select("block", "id", part(F.size("places"), F.col("length")).alias("part"))
+        entries = blocks.select("term", "block", F.inline(F.arrays_zip("ids", "counts", "lengths")))
+        scored = entries.select("block", F.col("ids").alias("id"), part(F.col("counts"), F.col("lengths")).alias("part"))
         scores = lambda rows: rows.groupBy("id").agg(F.sum("part").alias("score"))
         leading = [r.block for r in bounds.orderBy(F.desc("bound"), "block").limit(LEADING).collect()]
         first = _top(scores(scored.where(F.col("block").isin(*leading))), limit).collect()
@@ -201,26 +217,100 @@ class StoredIndex:
         return _top(scores(scored.join(broadcast_if_small(wanted), "block", "left_semi")), limit)
 
 
-BLOCKS = (
-    "bucket int, term string, block long, docs long, most int, least long, "
-    "entries array<struct<id: long, length: long, places: array<struct<col: string, pos: int>>>>, segment long"
+# A document of a block is an entry of ``ids``, ``lengths`` and ``counts``; a place is an entry of ``at`` (which document),
+# ``cols`` (which column) and ``positions``.
+PACKED = (
+    "term string, block long, docs long, most int, least long, ids array<long>, lengths array<long>, counts array<int>, "
+    "at array<int>, cols array<tinyint>, positions array<int>"
 )
+BLOCKS = f"bucket int, {PACKED}, segment long"
 
 
-def _blocks(postings: DataFrame) -> DataFrame:
+def _blocks(documents: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Postings packed by term and range of ids. A frequent term is many blocks, so no task holds all of it."""
-    rows = postings.withColumn("block", F.floor(F.col("id") / BLOCK_IDS).cast("long")).repartition("term", "block")
-    entry = F.struct("id", "length", "places")
-    return (
-        rows.groupBy("term", "block", "id")
-        .agg(F.max("length").cast("long").alias("length"), F.sort_array(F.collect_list(F.struct("col", "pos"))).alias("places"))
-        .groupBy("term", "block")
-        .agg(
-            F.count(F.lit(1)).alias("docs"), F.max(F.size("places")).alias("most"), F.min("length").alias("least"),
-            F.sort_array(F.collect_list(entry)).alias("entries"),
-        )
-        .withColumn("bucket", _bucket(F.col("term")))
-    )
+    ranged = documents.withColumn("block", F.floor(F.col(key) / BLOCK_IDS).cast("long"))
+    ranged = ranged.repartition("block").sortWithinPartitions("block", key)
+    tokens = ranged.select("block", F.col(key).cast("long").alias("id"), *[search.tokens(c).alias(f"_{i}") for i, c in enumerate(columns)])
+    limit = BLOCK_TOKENS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            start = 0
+            for end in _ends(rows, limit):
+                yield from _packed(rows.slice(start, end - start))
+                start = end
+            held = rows.slice(start)
+        if held is not None:
+            yield from _packed(held)
+
+    bucket = F.when(F.col("term").isNull(), F.lit(LENGTHS)).otherwise(_bucket(F.col("term")))
+    return tokens.mapInArrow(run, PACKED).withColumn("bucket", bucket)
+
+
+def _sizes(lists: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([np.asarray(c.value_lengths()) for c in lists.chunks] or [np.empty(0)]).astype(np.int64)
+
+
+def _ends(rows: pa.Table, limit: int) -> list[int]:
+    """Where one range ends and another begins, or where a range has had more than ``limit`` tokens."""
+    blocks, ids = rows["block"].to_numpy(), rows["id"].to_numpy()
+    sizes = sum(_sizes(rows[c]) for c in rows.column_names[2:])
+    ends, held = [], 0
+    for i in range(1, len(blocks)):
+        held += sizes[i - 1]
+        if blocks[i] != blocks[i - 1] or (held > limit and ids[i] != ids[i - 1]):
+            ends.append(i)
+            held = 0
+    return ends
+
+
+def _packed(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The rows of one block: its documents' lengths, and its tokens ordered by term, document, column and position."""
+    names = rows.column_names[2:]
+    sizes = [_sizes(rows[c]) for c in names]
+    ids, length, size = rows["id"].to_numpy(), sum(sizes), np.concatenate(sizes)
+    none, everything = np.empty(0, np.int32), np.array([0, len(ids)], np.int32)
+    nothing = np.zeros(2, np.int32)
+    yield _batch(rows, pa.array([None], pa.string()), [len(ids)], [0], [0], everything, ids, length, None, nothing, none, none, none)
+    if not size.sum():
+        return
+    words = pa.concat_arrays([chunk.flatten() for c in names for chunk in rows[c].chunks]).dictionary_encode()
+    code = np.asarray(words.indices)
+    row = np.repeat(np.tile(np.arange(len(ids)), len(names)), size)
+    column = np.repeat(np.arange(len(names)), [s.sum() for s in sizes])
+    position = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+    order = np.lexsort((row, code))  # stable, so columns and positions stay in order
+    code, row, column, position = code[order], row[order], column[order], position[order]
+    term_from = np.flatnonzero(np.r_[True, np.diff(code) != 0])
+    new = np.r_[True, (np.diff(code) != 0) | (np.diff(ids[row]) != 0)]
+    doc_from = np.flatnonzero(new)
+    count = np.diff(np.r_[doc_from, len(code)])
+    longest = np.maximum.reduceat(length[row], doc_from)
+    docs_from = np.searchsorted(doc_from, term_from)
+    at = np.cumsum(new) - 1 - docs_from[code]
+    docs, places = np.r_[docs_from, len(doc_from)], np.r_[term_from, len(code)]
+    most, least = np.maximum.reduceat(count, docs_from), np.minimum.reduceat(longest, docs_from)
+    yield _batch(rows, words.dictionary, np.diff(docs), most, least, docs, ids[row[doc_from]], longest, count, places, at, column, position)
+
+
+def _batch(rows: pa.Table, terms: pa.Array, number, most, least, docs, ids, lengths, counts, places, at, columns, positions) -> pa.RecordBatch:
+    """``docs`` and ``places`` say where the entries of a term begin and end."""
+    block = np.full(len(terms), rows["block"][0].as_py(), np.int64)
+    counts = np.zeros(len(ids)) if counts is None else counts
+
+    def listed(offsets: np.ndarray, values: np.ndarray, kind: type) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(kind)))
+
+    columns_of = {
+        "term": terms, "block": pa.array(block),
+        "docs": pa.array(number, pa.int64()), "most": pa.array(most, pa.int32()), "least": pa.array(least, pa.int64()),
+        "ids": listed(docs, ids, np.int64), "lengths": listed(docs, lengths, np.int64), "counts": listed(docs, counts, np.int32),
+        "at": listed(places, at, np.int32), "cols": listed(places, columns, np.int8), "positions": listed(places, positions, np.int32),
+    }
+    return pa.RecordBatch.from_arrays(list(columns_of.values()), list(columns_of))
 
 
 def _top(scores: DataFrame, limit: int) -> DataFrame:

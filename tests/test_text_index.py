@@ -92,3 +92,18 @@ def test_empty_index(spark, index):
     same_as(spark, index, [])
     index.apply(changes(spark, [(1, "alpha", None, False)]), 1)
     same_as(spark, index, [(1, "alpha", None)])
+
+
+def test_texts_and_not_postings_are_dealt_out(spark, index):
+    plan = text_index._blocks(spark.createDataFrame(documents(40), SCHEMA), "id", COLUMNS)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [block" in plan and "Generate" not in plan and "Aggregate" not in plan
+    index.create(spark.createDataFrame(documents(200), SCHEMA))
+    rows = index.postings().groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length"))
+    assert sorted(map(tuple, index.counts().collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_a_long_range_goes_on_in_further_rows(spark, index, monkeypatch):
+    monkeypatch.setattr(text_index, "BLOCK_TOKENS", 40)
+    rows = documents(60)
+    same_as(spark, index.create(spark.createDataFrame(rows, SCHEMA)), rows, best=True)
+    assert index._read(None, None).groupBy("term", "block").count().where("count > 1").count() > 0
