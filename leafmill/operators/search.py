@@ -14,13 +14,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import search_tokens
+from leafmill.operators.joins import broadcast_if_small
 from leafmill.operators.ordering import number_by_range
+from leafmill.session import keep
 
 # Usual BM25 constants and the least weight of a term.
 K1 = 1.2
 B = 0.75
 LEAST_IDF = 1e-6
 
+TASK_PARTS = 4_000_000  # shares of a score (query, term, document) that one task adds up
+
+
+def _tasks(df: DataFrame, total: int, each: int) -> int:
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-total // each))
+
 
 def postings(
     documents: DataFrame,
@@ -150,27 +158,38 @@ def match_phrase(rows: DataFrame, phrase: Sequence[str], columns: Sequence[str]
     return starts.filter(F.col("votes") == len(phrase)).select("id").distinct()
 
 
-def _scored(hits: DataFrame, doc_lengths: DataFrame) -> DataFrame:
-    """``(id, term, part)``: the BM25 share of each term in each document."""
-    tf = hits.groupBy("id", "term").agg(
+def _counts(hits: DataFrame) -> DataFrame:
+    return hits.groupBy("id", "term").agg(
         F.count(F.lit(1)).alias("tf"), F.max("length").alias("length")
     )
+
+
+def _weights(tf: DataFrame, doc_lengths: DataFrame) -> DataFrame:
+    """``(term, df, idf, mean)``: the weight of each term and the mean length in the corpus."""
     # Counting with the same columns as above lets Spark shuffle the hits only once.
     present = F.when((F.col("tf") > 0) & (F.col("length") > 0), 1)
     df = tf.groupBy("term").agg(F.count(present).alias("df"))
     corpus = doc_lengths.agg(
         F.struct(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).alias("s")
     ).scalar()
-    weighted = df.withColumn("_corpus", corpus).select(
-        "term",
+    return df.withColumn("_corpus", corpus).select(
+        "term", "df",
         F.greatest(
             F.log((F.col("_corpus.n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF)
         ).alias("idf"),
         F.col("_corpus.mean").alias("mean"),
     )
+
+
+def _part() -> Column:
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / F.col("mean"))
-    part = F.col("idf") * F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + norm)
-    return tf.join(weighted, "term").select("id", "term", part.alias("part"))
+    return F.col("idf") * F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + norm)
+
+
+def _scored(hits: DataFrame, doc_lengths: DataFrame) -> DataFrame:
+    """``(id, term, part)``: the BM25 share of each term in each document."""
+    tf = _counts(hits)
+    return tf.join(_weights(tf, doc_lengths), "term").select("id", "term", _part().alias("part"))
 
 
 def bm25(
@@ -208,14 +227,19 @@ def best_per_query(scores: DataFrame, limit: int, digits: int = 5) -> DataFrame:
 def bm25_many(rows: DataFrame, doc_lengths: DataFrame, asked: DataFrame) -> DataFrame:
     """``(query_id, id, score)`` for a table ``(query_id, term)`` of queries.
 
-    Counts are made once per (document, term), before the queries multiply them.
+    ``rows`` are postings, or counts ``(term, id, tf, length)`` where an index has them. They are dealt out by document
+    before the queries multiply them, so a document's scores are summed where its terms are; weights and queries
+    come to them by broadcast if there are few.
     """
-    distinct_asked = asked.select("query_id", "term").distinct()
-    hits = rows.join(asked.select("term").distinct(), "term", "left_semi")
-    return (
-        _scored(hits, doc_lengths).join(distinct_asked, "term")
-        .groupBy("query_id", "id").agg(F.sum("part").alias("score"))
-    )
+    distinct_asked = keep(asked.select("query_id", "term").distinct())
+    terms = broadcast_if_small(distinct_asked.select("term").distinct())
+    hits = rows.join(terms, "term", "left_semi")
+    if "tf" not in rows.columns:
+        hits = _counts(hits)
+    weighted = keep(distinct_asked.join(_weights(hits, doc_lengths), "term"))
+    total = weighted.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    parts = hits.repartition(_tasks(hits, total, TASK_PARTS), "id").join(broadcast_if_small(weighted), "term")
+    return parts.groupBy("query_id", "id").agg(F.sum(_part()).alias("score"))
 
 
 def ranked_rows(scores: DataFrame, documents: DataFrame, key: str, limit: int | None = None) -> DataFrame:

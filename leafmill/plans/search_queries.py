@@ -106,7 +106,7 @@ def search_many_queries(spark: SparkSession, d: str) -> DataFrame:
     asked = search.postings(sample_table(spark, d, "benchmark"), "item_id", ["text"]).select(
         F.col("id").alias("query_id"), "term"
     )
-    return search.best_per_query(search.bm25_many(pages.postings(), pages.lengths(), asked), BEST)
+    return search.best_per_query(search.bm25_many(pages.counts(), pages.lengths(), asked), BEST)
 
 
 _NOTE_DOCS = f"""docs AS (SELECT id, {' || '.join(map(_tokens, NOTE_COLUMNS))} AS ts FROM fx_notes),
