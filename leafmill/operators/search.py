@@ -24,12 +24,20 @@ B = 0.75
 LEAST_IDF = 1e-6
 
 TASK_PARTS = 4_000_000  # shares of a score (query, term, document) that one task adds up
+TASK_BYTES = 16 << 20  # text whose postings one task gathers
 
 
 def _tasks(df: DataFrame, total: int, each: int) -> int:
     return max(df.sparkSession.sparkContext.defaultParallelism, -(-total // each))
 
 
+def by_document(documents: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """Documents dealt out by id, so that what is counted per document needs no shuffle of its postings."""
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(0).cast("long"))
+    total = documents.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return documents.repartition(_tasks(documents, total, TASK_BYTES), key)
+
+
 def postings(
     documents: DataFrame,
     key: str,

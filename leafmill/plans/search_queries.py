@@ -27,7 +27,8 @@ _POSTINGS = f"""{_DOCS}, postings AS (SELECT id, unnest(ts) AS term,
 
 @query(f"WITH {_POSTINGS} SELECT term, id, count(*) AS tf, min(pos) AS first, max(pos) AS last FROM postings GROUP BY term, id")
 def inverted_index(spark: SparkSession, d: str) -> DataFrame:
-    index = search.inverted_index(search.postings(fx.unnumbered_pages(spark, d), "id", TEXT))
+    pages = search.by_document(fx.unnumbered_pages(spark, d), "id", TEXT)
+    index = search.inverted_index(search.postings(pages, "id", TEXT))
     return index.select(
         "term", "id", "tf",
         F.array_min("positions").alias("first"), F.array_max("positions").alias("last"),

@@ -26,3 +26,11 @@ def test_many_queries_are_scored_where_a_document_is(spark, monkeypatch):
     for query in range(5):
         alone = search.bm25(rows, sizes, [f"w{t}" for t in range(query + 1)]).collect()
         assert sorted((r.id or -1, round(r.score, 9)) for r in alone) == [(i, s) for q, i, s in found if q == query]
+
+
+def test_an_index_is_gathered_without_a_shuffle_of_postings(spark, monkeypatch):
+    monkeypatch.setattr(search, "TASK_BYTES", 50)
+    plain = search.inverted_index(search.postings(notes(spark), "id", ["memo"]))
+    dealt = search.inverted_index(search.postings(search.by_document(notes(spark), "id", ["memo"]), "id", ["memo"]))
+    assert "hashpartitioning(term" in plan_of(plain) and "hashpartitioning(term" not in plan_of(dealt)
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect()))
