@@ -33,9 +33,13 @@ def _tasks(df: DataFrame, total: int, each: int) -> int:
 
 def by_document(documents: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Documents dealt out by id, so that what is counted per document needs no shuffle of its postings."""
+    return documents.repartition(tasks_for(documents, columns, TASK_BYTES), key)
+
+
+def tasks_for(documents: DataFrame, columns: Sequence[str], each: int) -> int:
+    """Tasks that get ``each`` bytes of text on average."""
     size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(0).cast("long"))
-    total = documents.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    return documents.repartition(_tasks(documents, total, TASK_BYTES), key)
+    return _tasks(documents, documents.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0], each)
 
 
 def postings(

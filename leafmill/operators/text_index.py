@@ -5,7 +5,7 @@ Below a root folder an index has generations of segments, and each segment three
 * ``blocks``: postings of one term in one range of document ids, packed into a row, with the number of documents, the
   highest count and the least length in it. Partitioned by the bucket of the term's head and sorted by term, so a term
   or a prefix is read from one folder, and in it from the row groups that can hold it. Documents are dealt out by their
-  range before they are cut into tokens, so what moves is text and packed rows, and a range is packed by one task.
+  range before they are cut into tokens, so only text moves, and a task packs, sorts and writes its ranges.
   Its documents with their numbers of tokens are a row without a term, in a bucket of their own;
 * ``documents``: the documents themselves;
 * ``touched``: ids that the segment changes or deletes, its tombstones for all segments before it.
@@ -36,7 +36,7 @@ HEAD = 2  # characters of a term that choose its bucket
 BLOCK_IDS = 4096  # ids in the range of a block
 BLOCK_TOKENS = 1 << 22  # tokens after which a range goes on in further rows of the same block
 LENGTHS = -1  # bucket of the rows without a term
-SHARES = 8  # shares of a bucket that are sorted and written by tasks of their own
+TASK_BYTES = 16 << 20  # text that one task packs, sorts and writes
 LEADING = 8  # blocks with the highest bounds, scored first for a threshold
 SLACK = 1e-9  # of a score, for the order in which parts are summed
 
@@ -90,7 +90,7 @@ class StoredIndex:
         place = lambda name: f"{self.root}/generation={generation}/{name}/segment={segment}"
         documents.write.mode("overwrite").parquet(place("documents"))
         stored = self.spark.read.schema(documents.schema).parquet(place("documents"))
-        blocks = _blocks(stored, self.key, self.columns).repartition("bucket", F.pmod("block", F.lit(SHARES)))
+        blocks = _blocks(stored, self.key, self.columns)
         blocks.sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(place("blocks"))
         if touched is not None:
             touched.write.mode("overwrite").parquet(place("touched"))
@@ -229,7 +229,9 @@ BLOCKS = f"bucket int, {PACKED}, segment long"
 def _blocks(documents: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Postings packed by term and range of ids. A frequent term is many blocks, so no task holds all of it."""
     ranged = documents.withColumn("block", F.floor(F.col(key) / BLOCK_IDS).cast("long"))
-    ranged = ranged.repartition("block").sortWithinPartitions("block", key)
+    tasks = search.tasks_for(documents, columns, TASK_BYTES)
+    # Neighbouring ranges go to different tasks, so these get even shares.
+    ranged = ranged.repartitionById(tasks, F.pmod("block", F.lit(tasks)).cast("int")).sortWithinPartitions("block", key)
     tokens = ranged.select("block", F.col(key).cast("long").alias("id"), *[search.tokens(c).alias(f"_{i}") for i, c in enumerate(columns)])
     limit = BLOCK_TOKENS
 
@@ -279,9 +281,9 @@ def _packed(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         return
     words = pa.concat_arrays([chunk.flatten() for c in names for chunk in rows[c].chunks]).dictionary_encode()
     code = np.asarray(words.indices)
-    row = np.repeat(np.tile(np.arange(len(ids)), len(names)), size)
-    column = np.repeat(np.arange(len(names)), [s.sum() for s in sizes])
-    position = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+    row = np.repeat(np.tile(np.arange(len(ids), dtype=np.int32), len(names)), size)
+    column = np.repeat(np.arange(len(names), dtype=np.int8), [s.sum() for s in sizes])
+    position = np.arange(len(code), dtype=np.int32) - np.repeat((np.cumsum(size) - size).astype(np.int32), size)
     order = np.lexsort((row, code))  # stable, so columns and positions stay in order
     code, row, column, position = code[order], row[order], column[order], position[order]
     term_from = np.flatnonzero(np.r_[True, np.diff(code) != 0])
