@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import letter_runs
 from leafmill.operators import suffixes
 from leafmill.operators.joins import broadcast_if_small
+from leafmill.operators.search import TASK_BYTES, tasks_for
 from leafmill.session import keep
 
 
@@ -53,32 +54,47 @@ def suffix_order(texts: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def _passages(texts: DataFrame, keys: Sequence[str], text: str, length: int) -> DataFrame:
-    """``keys`` and ``_p``, the runs of ``length`` words of each text in order."""
-    tokens = letter_runs(F.lower(F.col(text)))
-    starts = F.when(
-        F.size("_w") >= length, F.sequence(F.lit(1), F.size("_w") - (length - 1))
-    ).otherwise(F.array().cast("array<int>"))
-    return texts.select(*keys, tokens.alias("_w")).select(
-        *keys, F.transform(starts, lambda i: F.array_join(F.slice("_w", i, length), " ")).alias("_p")
+def _words(text: str) -> Column:
+    return letter_runs(F.lower(F.col(text)))
+
+
+def _passage(words: str, start: Column, length: int) -> Column:
+    return F.array_join(F.slice(words, start + 1, length), " ")
+
+
+def _repeated_places(texts: DataFrame, text: str, length: int) -> DataFrame:
+    """``(_t, pos)`` where a passage of ``length`` words stands whose hash another text holds too.
+
+    Only numbers are shuffled, and once: hashes are counted and met again where they were dealt to.
+    """
+    starts = F.when(F.size("_w") >= length, F.sequence(F.lit(0), F.size("_w") - length)).otherwise(F.array().cast("array<int>"))
+    hashes = texts.select("_t", _words(text).alias("_w")).select(
+        "_t", F.posexplode(F.transform(starts, lambda i: F.xxhash64(_passage("_w", i, length)))).alias("pos", "hash")
     )
+    dealt = hashes.repartition(tasks_for(texts, [text], TASK_BYTES), "hash")
+    found = dealt.groupBy("hash").agg(F.min("_t").alias("_low"), F.max("_t").alias("_high")).where("_low < _high")
+    return dealt.join(found.select("hash").hint("shuffle_merge"), "hash", "left_semi").select("_t", "pos")
 
 
-def _repeated_hashes(passages: DataFrame) -> DataFrame:
-    """Hashes of passages that several texts hold; only numbers are shuffled."""
-    seen = passages.select(F.explode(F.array_distinct(F.transform("_p", lambda p: F.xxhash64(p)))).alias("hash"))
-    found = seen.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    return broadcast_if_small(keep(found))
+def _told_apart(texts: DataFrame) -> DataFrame:
+    """``texts`` with a number ``_t`` each, kept, as they are read again."""
+    return keep(texts.withColumn("_t", F.monotonically_increasing_id()))
 
 
 def repeated_passages(texts: DataFrame, text: str, length: int) -> DataFrame:
     """Runs of ``length`` words found in at least two texts, with counts.
 
-    Passages are told by hashes first, and only those whose hash comes again are moved as words. These have one entry
-    per occurrence and one per text, summed in a single aggregate on the passage itself, so equal hashes cannot mix
-    passages and a passage copied very often combines before the shuffle.
+    Passages are told by hashes first, and only those whose hash comes again are made as words, in their texts. These
+    have one entry per occurrence and one per text, summed in a single aggregate on the passage itself, so equal hashes
+    cannot mix passages and a passage copied very often combines before the shuffle.
     """
-    passages = _passages(texts, [], text, length)
+    kept = _told_apart(texts.select(text))
+    places = _repeated_places(kept, text, length).groupBy("_t").agg(F.collect_list("pos").alias("_at"))
+    words = kept.join(places, "_t").select(_words(text).alias("_w"), "_at")
+    # Two uses of the words keep Spark from cutting the text anew for every passage.
+    passages = words.where(F.size("_at") > 0).select(
+        F.when(F.size("_w") >= length, F.transform("_at", lambda i: _passage("_w", i, length))).alias("_p")
+    )
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     entries = F.concat(
         F.transform("_p", lambda p: F.struct(p.alias("passage"), one.alias("o"), none.alias("d"))),
@@ -87,14 +103,24 @@ def repeated_passages(texts: DataFrame, text: str, length: int) -> DataFrame:
             lambda p: F.struct(p.alias("passage"), none.alias("o"), one.alias("d")),
         ),
     )
-    rows = passages.select(F.inline(entries)).withColumn("hash", F.xxhash64("passage"))
     return (
-        rows.join(_repeated_hashes(passages), "hash", "left_semi").groupBy("passage")
+        passages.select(F.inline(entries)).groupBy("passage")
         .agg(F.sum("o").alias("occurrences"), F.sum("d").alias("documents"))
         .filter("documents > 1")
     )
 
 
+def _passages(texts: DataFrame, keys: Sequence[str], text: str, length: int) -> DataFrame:
+    """``keys`` and ``_p``, the runs of ``length`` words of each text in order."""
+    tokens = letter_runs(F.lower(F.col(text)))
+    starts = F.when(
+        F.size("_w") >= length, F.sequence(F.lit(1), F.size("_w") - (length - 1))
+    ).otherwise(F.array().cast("array<int>"))
+    return texts.select(*keys, tokens.alias("_w")).select(
+        *keys, F.transform(starts, lambda i: F.array_join(F.slice("_w", i, length), " ")).alias("_p")
+    )
+
+
 def repeated_runs(texts: DataFrame, key: str, text: str, length: int) -> DataFrame:
     """The longest stretches of each text in which every ``length`` words stand in another text too.
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from leafmill.operators import search
+from leafmill.operators import repeats, search
 
 
 def plan_of(df):
@@ -34,3 +34,11 @@ def test_an_index_is_gathered_without_a_shuffle_of_postings(spark, monkeypatch):
     dealt = search.inverted_index(search.postings(search.by_document(notes(spark), "id", ["memo"]), "id", ["memo"]))
     assert "hashpartitioning(term" in plan_of(plain) and "hashpartitioning(term" not in plan_of(dealt)
     assert sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_passages_meet_by_numbers(spark):
+    texts = spark.createDataFrame([("a b c d",), ("x a b c a b c",), ("d e f d e f",), (None,), ("a",)], "t string")
+    places = repeats._repeated_places(repeats._told_apart(texts), "t", 3)
+    assert "hashpartitioning(hash" in plan_of(places) and places.columns == ["_t", "pos"]
+    found = {tuple(r) for r in repeats.repeated_passages(texts, "t", 3).collect()}
+    assert found == {("a b c", 3, 2)}
