@@ -12,7 +12,8 @@ all suffixes at a depth of ``window`` words or more: a suffix below such a node
    deep inner node, and all of them are marked. Contents are compared themselves, not hashes of them.
 4. For larger groups the prefix grows to the whole window (by two 64-bit hashes of it). Such a group is a single node, of
    which only the number of leaves is asked, so it is counted and never gathered: a passage in very many documents is
-   no large group. Places with the same words around them are counted as one before.
+   no large group. Places with the same words around them are counted as one before; within a document they are marked
+   at once, as a range, and one of them goes on, so a text that says one thing over and over gives few rows.
 
 Copies of a whole text are found first by digest; one of them takes part.
 """
@@ -170,13 +171,15 @@ def _squeezed(rows: DataFrame) -> DataFrame:
 
 
 GROUPED = "runs array<struct<anchor: long, at: int, n: int, words: binary>>"
-COUNTED = "leaves array<struct<at: int, n: int, first: long, second: long, windows: array<struct<prefix: long, content: long>>>>"
+COUNTED = "leaves array<struct<at: int, n: int, places: int, first: long, second: long, windows: array<struct<prefix: long, content: long>>>>"
+MARKS = "array<struct<first: int, last: int>>"
 
 
 def _suffix_rows(texts: DataFrame, window: int, anchor: int) -> DataFrame:
     """Suffixes with a shared anchor: ``runs`` for groups that are gathered, ``leaves`` for those that are counted.
 
-    A row is a document or, with many suffixes, a part of one.
+    A row is a document or, with many suffixes, a part of one. Of the places of a document with the same words around
+    them one is a leaf, with the number of ``places``; where there are several, ``marks`` has the suffixes of all.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,10 +190,14 @@ def _suffix_rows(texts: DataFrame, window: int, anchor: int) -> DataFrame:
         run_type = pa.struct([("anchor", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("words", pa.binary())])
         window_type = pa.struct([("prefix", pa.int64()), ("content", pa.int64())])
         leaf_type = pa.struct(
-            [("at", pa.int32()), ("n", pa.int32()), ("first", pa.int64()), ("second", pa.int64()), ("windows", pa.list_(window_type))]
+            [
+                ("at", pa.int32()), ("n", pa.int32()), ("places", pa.int32()), ("first", pa.int64()), ("second", pa.int64()),
+                ("windows", pa.list_(window_type)),
+            ]
         )
+        mark_type = pa.struct([("first", pa.int32()), ("last", pa.int32())])
 
-        def out(batch: pa.RecordBatch, i: int, runs: tuple | None, leaves: tuple | None) -> pa.RecordBatch:
+        def out(batch: pa.RecordBatch, i: int, runs: tuple | None = None, leaves: tuple | None = None, marks: tuple | None = None) -> pa.RecordBatch:
             def listed(columns: tuple | None, kind: pa.StructType) -> pa.Array:
                 if columns is None:
                     return pa.array([None], pa.list_(kind))
@@ -198,7 +205,8 @@ def _suffix_rows(texts: DataFrame, window: int, anchor: int) -> DataFrame:
                 return pa.ListArray.from_arrays(pa.array([0, len(arrays[0])], pa.int32()), pa.StructArray.from_arrays(arrays, fields=list(kind)))
 
             keys = [batch.column(c).slice(i, 1) for c in ("id", "part")]
-            return pa.RecordBatch.from_arrays([*keys, listed(runs, run_type), listed(leaves, leaf_type)], ["id", "part", "runs", "leaves"])
+            columns = (listed(runs, run_type), listed(leaves, leaf_type), listed(marks, mark_type))
+            return pa.RecordBatch.from_arrays([*keys, *columns], ["id", "part", "runs", "leaves", "marks"])
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -213,26 +221,40 @@ def _suffix_rows(texts: DataFrame, window: int, anchor: int) -> DataFrame:
                 for a in range(0, len(gathered), BATCH_RUNS):
                     some = gathered[a : a + BATCH_RUNS]
                     around = [b" ".join(words[first[r] : first[r] + sizes[r] + window - 1]) for r in some]
-                    yield out(batch, i, (anchors[some].view(np.int64), first[some].astype(np.int32), sizes[some].astype(np.int32), around), None)
+                    yield out(batch, i, (anchors[some].view(np.int64), first[some].astype(np.int32), sizes[some].astype(np.int32), around))
                 if counted.any():
                     content, prefix = suffixes.windows(ids)
-                    chosen = np.flatnonzero(counted)
-                    for a in range(0, len(chosen), BATCH_RUNS):
-                        some = chosen[a : a + BATCH_RUNS]
-                        digests = b"".join(
-                            xxhash.xxh3_128_digest(b" ".join(words[first[r] : first[r] + sizes[r] + window - 1])) for r in some
-                        )
-                        halves = np.frombuffer(digests, np.int64).reshape(-1, 2)
+                    every = np.flatnonzero(counted)
+                    digests = b"".join(
+                        xxhash.xxh3_128_digest(b" ".join(words[first[r] : first[r] + sizes[r] + window - 1])) for r in every
+                    )
+                    around, one, which, places = np.unique(
+                        np.frombuffer(digests, np.int64).reshape(-1, 2), axis=0, return_index=True, return_inverse=True, return_counts=True
+                    )
+                    again = every[places[which.ravel()] > 1]
+                    if len(again):
+                        yield out(batch, i, marks=_joined(first[again], first[again] + sizes[again] - 1))
+                    for a in range(0, len(one), BATCH_RUNS):
+                        some, halves = every[one[a : a + BATCH_RUNS]], around[a : a + BATCH_RUNS]
                         ends = np.concatenate([[0], np.cumsum(sizes[some])]).astype(np.int32)
                         at = np.arange(ends[-1]) - np.repeat(ends[:-1], sizes[some]) + np.repeat(first[some], sizes[some])
                         both = [pa.array(h[at].view(np.int64)) for h in (prefix, content)]
                         windows = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(both, fields=list(window_type)))
                         yield out(
                             batch, i, None,
-                            (first[some].astype(np.int32), sizes[some].astype(np.int32), halves[:, 0].copy(), halves[:, 1].copy(), windows),
+                            (
+                                first[some].astype(np.int32), sizes[some].astype(np.int32), places[a : a + BATCH_RUNS].astype(np.int32),
+                                halves[:, 0].copy(), halves[:, 1].copy(), windows,
+                            ),
                         )
 
-    return texts.mapInArrow(run, f"id {_kind(texts)}, part long, {GROUPED}, {COUNTED}")
+    return texts.mapInArrow(run, f"id {_kind(texts)}, part long, {GROUPED}, {COUNTED}, marks {MARKS}")
+
+
+def _joined(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending ranges, those that touch as one."""
+    cuts = np.flatnonzero(first[1:] > last[:-1] + 1)
+    return first[np.concatenate([[0], cuts + 1])].astype(np.int32), last[np.append(cuts, len(last) - 1)].astype(np.int32)
 
 
 def _deep(rows: list[tuple[int, int, bytes]], window: int) -> list[list[int]]:
@@ -302,9 +324,6 @@ def _gathered(suffixes: DataFrame, window: int) -> DataFrame:
     return ordered.mapInArrow(run, f"id {_kind(rows)}, part long, marks {MARKS}")
 
 
-MARKS = "array<struct<first: int, last: int>>"
-
-
 def _ranges(at: list[int]) -> list[dict]:
     out: list[dict] = []
     for a in at:
@@ -319,13 +338,14 @@ def _counted(suffixes: DataFrame) -> DataFrame:
     """(id, part, marks) of suffixes whose prefix is the whole window, where the node has several leaves.
 
     Places with the same words around them are counted first: all their suffixes repeat, and they are marked as a range.
-    Of each such place one goes on, so the windows that are compared are those of different surroundings.
+    Of each such place one goes on, so the windows that are compared are those of different surroundings. Those that come
+    again in their own document are marked there already.
     """
     rows = suffixes.where("leaves is not null").select("id", "part", F.inline("leaves"))
     place = F.struct("id", "part", "at").alias("place")
-    distinct = keep(rows.groupBy("first", "second").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("place"), F.first("windows").alias("windows")))
+    distinct = keep(rows.groupBy("first", "second").agg(F.sum("places").alias("copies"), F.min(place).alias("place"), F.first("windows").alias("windows")))
     copied = distinct.where("copies > 1").select("first", "second")
-    whole = rows.select("id", "part", "at", "n", "first", "second").join(copied, ["first", "second"], "left_semi")
+    whole = rows.where("places = 1").select("id", "part", "at", "n", "first", "second").join(copied, ["first", "second"], "left_semi")
     whole = whole.select("id", "part", F.col("at").alias("start"), (F.col("at") + F.col("n") - 1).alias("end"))
     leaves = distinct.select("copies", "place", F.posexplode("windows").alias("k", "window")).select("copies", "place", "k", "window.*")
     nodes = leaves.groupBy("prefix", "content").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -406,7 +426,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     split = _suffix_rows(anchored, window, anchor)
     split.write.option("compression", "zstd").parquet(folder)
     suffixes = docs.sparkSession.read.schema(split.schema).parquet(folder)
-    found_marks = _gathered(suffixes, window).unionByName(_counted(suffixes))
+    marked = suffixes.where("marks is not null").select("id", "part", "marks")
+    found_marks = _gathered(suffixes, window).unionByName(_counted(suffixes)).unionByName(marked)
     cuts = found_marks.groupBy("id", "part").agg(F.flatten(F.collect_list("marks")).alias("at"))
     copied = found.join(classes.where("copies > 1").select("digest"), "digest", "left_semi")
     copied = copied.select("id", F.xxhash64("digest").alias("part"), F.lit(True).alias("copy")).distinct()

@@ -55,6 +55,23 @@ def test_a_text_that_repeats_itself_is_no_large_group(spark):
             assert (r.n_words, r.n_removed, " ".join(r.kept_text.split())) == wanted[r.doc_id]
 
 
+def test_a_text_that_says_one_thing_over_and_over_gives_few_leaves(spark):
+    """Places with the same words around them go on once per document; all of them are marked there."""
+    import zstandard
+
+    words = " ".join([" ".join(f"s{i}" for i in range(40))] * 300 + ["tail"]).encode()
+    found = substring_dedup.Suffixes(35, 8)
+    first, sizes, anchors = found.runs(found.ids(words.split()))
+    frequent = [int(a) for a in set(anchors.astype("int64").tolist())]
+    row = [(1, 2, bytearray(zstandard.compress(words)), frequent, frequent)]
+    texts = spark.createDataFrame(row, "id long, part long, packed binary, shared array<long>, frequent array<long>")
+    rows = substring_dedup._suffix_rows(texts, 35, 8).collect()
+    leaves = [leaf for r in rows for leaf in r.leaves or []]
+    assert len(leaves) < 20 and sum(leaf.places for leaf in leaves) == len(first) > 300
+    marked = [r.marks for r in rows if r.marks]
+    assert len(marked) == 1 and sum(m.last - m.first + 1 for m in marked[0]) >= sum(sizes) - 80
+
+
 def test_a_subtree_marks_what_lies_below_deep_nodes():
     words = b"a b c d e f a b c d x"
     assert substring_dedup._deep([(0, 8, words)], 4) == [[0, 6]]
