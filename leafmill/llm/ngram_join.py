@@ -38,6 +38,7 @@ LEAST_BUCKET = 8  # shingles per differing one, from which on buckets are used
 # Mixed tiles get more leaders while they hold more pairs than this per member, and so many times at most.
 PAIRS_PER_MEMBER, LEADERS = 64, 3
 EARLIER = 4  # tiles before the present one that a set carries along
+NAMED = 2_000_000  # numbers of sets that are broadcast to choose their texts
 BLOCK = 2048  # sets of a tile that are compared in one group
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -201,7 +202,8 @@ def _passing(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs whose sets share enough, by their sorted arrays."""
+    """Pairs whose sets share enough, by their sorted arrays. Only texts of sets in ``pairs`` are moved."""
+    texts = texts.join(_named(pairs), "id", "left_semi")
     side = lambda s: texts.select(F.col("id").alias(s), F.col("packed").alias(f"text_{s}"))
     joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
 
@@ -222,6 +224,12 @@ def _linked(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return joined.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _named(pairs: DataFrame) -> DataFrame:
+    """The sets in ``pairs``, once, for a broadcast unless they are very many."""
+    both = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return broadcast_if_small(keep(both), NAMED)
+
+
 def link(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT,
     pairs_per_member: int | None = None,
@@ -263,14 +271,19 @@ def link(
             break
         if not left or pairs_left <= (PAIRS_PER_MEMBER if pairs_per_member is None else pairs_per_member) * sets_left:
             pairs = keep(_tile_pairs(members, bits, percent).distinct())
-            roots = components(links.unionByName(keep(_linked(pairs, texts, words, percent))))
+            found_links = keep(_linked(pairs, texts, words, percent))
+            if not found_links.isEmpty():
+                roots = components(links.unionByName(found_links))
             break
+        members = members.repartition("tile")  # for the leaders and the join that gives them back
         leaders = members.groupBy("tile").agg(F.min_by(F.struct("id", "root"), "id").alias("first"))
         led = members.drop("led").join(leaders, "tile").withColumn("led", F.col("first.id"))
         pairs = led.where("root <> first.root").select(F.col("led").alias("a"), F.col("id").alias("b")).distinct()
-        links = keep(links.unionByName(linked(pairs)))
+        found_links = linked(pairs)
         members = led.select("tile", "id", "led")
-        roots = components(links)
+        if not found_links.isEmpty():
+            links = keep(links.unionByName(found_links))
+            roots = components(links)
     # Of classes to components, and of these to their smallest id.
     placed = classes.select("class", "id", "least").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))

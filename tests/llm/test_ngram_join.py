@@ -94,3 +94,31 @@ def test_bound_is_never_below_the_overlap():
         a, b = (np.unique(pool[[draw.randrange(len(pool)) for _ in range(draw.randint(1, len(pool)))]]) for _ in "ab")
         bound = ngram_join.overlap_bound(ngram_join.bitmap(a), len(a), ngram_join.bitmap(b), len(b))
         assert bound >= len(np.intersect1d(a, b))
+
+
+@pytest.mark.parametrize("file_rows", [250_000, 10])
+def test_components_of_few_and_many_links(spark, monkeypatch, file_rows):
+    """Up to ``FILE_ROWS`` links are followed in one partition; the result is the same."""
+    from leafmill.llm import components as module
+
+    monkeypatch.setattr(module, "FILE_ROWS", file_rows)
+    draw = random.Random(3)
+    links = [(draw.randrange(400), draw.randrange(400)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(40)] + [(7, 7)]
+    rows = spark.createDataFrame(links, "a long, b long").repartition(3)
+    wanted = {i: r for i, r in components(links, sorted({x for pair in links for x in pair})).items() if i != r}
+    assert {r.id: r.root for r in module.components(rows).collect()} == wanted
+    assert module._few(rows, len(links)).rdd.getNumPartitions() == (1 if len(links) <= file_rows else 3)
+
+
+def test_only_texts_of_listed_pairs_move(spark):
+    """The text of a set in no pair is left out before texts are dealt out for the comparison."""
+    import zstandard
+
+    said = ["a b c d e", "a b c d e f", "never asked", "a b c d e"]
+    rows = [(i, bytearray(zstandard.compress(t.encode()))) for i, t in enumerate(said)]
+    texts = spark.createDataFrame(rows, "id long, packed binary")
+    pairs = spark.createDataFrame([(0, 1), (0, 3)], "a long, b long")
+    found = ngram_join._linked(pairs, texts, 3, 90)
+    assert [tuple(r) for r in found.collect()] == [(0, 3)]
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.id for r in ngram_join._named(pairs).collect()) == [0, 1, 3]
