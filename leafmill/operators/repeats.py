@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.text import letter_runs
 from leafmill.operators import suffixes
-from leafmill.operators.joins import broadcast_if_small
 from leafmill.operators.search import TASK_BYTES, tasks_for
 from leafmill.session import keep
 
@@ -110,32 +109,15 @@ def repeated_passages(texts: DataFrame, text: str, length: int) -> DataFrame:
     )
 
 
-def _passages(texts: DataFrame, keys: Sequence[str], text: str, length: int) -> DataFrame:
-    """``keys`` and ``_p``, the runs of ``length`` words of each text in order."""
-    tokens = letter_runs(F.lower(F.col(text)))
-    starts = F.when(
-        F.size("_w") >= length, F.sequence(F.lit(1), F.size("_w") - (length - 1))
-    ).otherwise(F.array().cast("array<int>"))
-    return texts.select(*keys, tokens.alias("_w")).select(
-        *keys, F.transform(starts, lambda i: F.array_join(F.slice("_w", i, length), " ")).alias("_p")
-    )
-
-
 def repeated_runs(texts: DataFrame, key: str, text: str, length: int) -> DataFrame:
     """The longest stretches of each text in which every ``length`` words stand in another text too.
 
     Rows are (``key``, ``start``, ``words``), counted in words. Seeds are passages of ``length`` words whose hash several
     texts hold; seeds at neighbouring places are one stretch, of any length. Passages are told by 64-bit hashes. Rows that
-    repeat a key are texts of their own.
+    repeat a key are texts of their own. Hashes are shuffled once, however many of them come again.
     """
-    passages = keep(_passages(texts, [key], text, length).withColumn("_t", F.monotonically_increasing_id()).select(
-        key, "_t", F.transform("_p", lambda p: F.xxhash64(p)).alias("_h")
-    ))
-    seen = passages.select(F.explode(F.array_distinct("_h")).alias("hash"))
-    repeated = keep(seen.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"))
-    seeds = passages.select(key, "_t", F.posexplode("_h").alias("pos", "hash")).join(broadcast_if_small(repeated), "hash", "left_semi")
+    kept = _told_apart(texts.select(key, text))
     in_text = Window.partitionBy("_t").orderBy("pos")
-    runs = seeds.withColumn("_run", F.col("pos") - F.row_number().over(in_text))
-    return runs.groupBy(key, "_t", "_run").agg(
-        F.min("pos").alias("start"), (F.count(F.lit(1)) + length - 1).alias("words")
-    ).drop("_t", "_run")
+    seeds = _repeated_places(kept, text, length).withColumn("_run", F.col("pos") - F.row_number().over(in_text))
+    runs = seeds.groupBy("_t", "_run").agg(F.min("pos").alias("start"), (F.count(F.lit(1)) + length - 1).alias("words"))
+    return runs.join(kept.select("_t", key), "_t").select(key, "start", "words")

@@ -42,3 +42,11 @@ def test_passages_meet_by_numbers(spark):
     assert "hashpartitioning(hash" in plan_of(places) and places.columns == ["_t", "pos"]
     found = {tuple(r) for r in repeats.repeated_passages(texts, "t", 3).collect()}
     assert found == {("a b c", 3, 2)}
+
+
+def test_runs_meet_by_numbers(spark):
+    """As passages: hashes are dealt out once, and no table of those that come again is broadcast."""
+    texts = spark.createDataFrame([(1, "a b c d"), (1, "x a b c a b c"), (2, "d e f d e f"), (3, None), (None, "y a b c d")], "k int, t string")
+    runs = repeats.repeated_runs(texts, "k", "t", 3)
+    assert "hashpartitioning(hash" in plan_of(runs) and runs.columns == ["k", "start", "words"]
+    assert sorted((r.k or 0, r.start, r.words) for r in runs.collect()) == [(0, 1, 4), (1, 0, 4), (1, 1, 3), (1, 4, 3)]
