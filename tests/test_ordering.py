@@ -233,3 +233,16 @@ def test_transitions(spark):
     assert [r.allowed for r in sorted(small, key=lambda r: (r.book_id, r.step))[:5]] == [
         True, True, True, False, True,
     ]
+
+
+def test_a_large_book_is_ranked_without_its_texts(spark, monkeypatch):
+    """Only numbers are sorted by range; the texts are the same as those of small books."""
+    from leafmill.operators import layout
+
+    rows = [(b, p, p, f"text {b} {p}") for b in ("x", "y", None) for p in range(1, 8)]
+    pages = spark.createDataFrame(rows, "book_id string, page_number int, id long, t string")
+    seen, real = [], layout.arrange
+    monkeypatch.setattr(layout, "arrange", lambda df, *a, **k: seen.append(df.columns) or real(df, *a, **k))
+    found = [sorted(map(str, layout.book_document(pages, "t", 3, group_rows=n).collect())) for n in (100, 2)]
+    assert found[0] == found[1] and len(found[0]) == 9
+    assert "t" in seen[0] and "t" not in seen[1]
