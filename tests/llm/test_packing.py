@@ -69,3 +69,13 @@ def test_step_groups_are_even(spark):
         tokens[r.step_group] += r.length
     most, least = max(tokens.values()), min(tokens.values())
     assert len(tokens) > 5 and most - least <= 2 * sum(packing.TIERS)
+
+
+def test_latin_texts_are_encoded_whole(tokenizer, monkeypatch):
+    cut = []
+    monkeypatch.setattr(packing, "pieces", lambda text: cut.append(text) or text.split(" "))
+    encode = pack_encoder()
+    latin = ["Der  Wörter\n\n viele, cœur ɏ!", "it's  \t x\r\n", "", " \n", "\x85\xa0 a­ 1²½", "x" * 3000]
+    for text in [*latin, "a ɐ b", "naïve Ω mega 日本"]:
+        assert encode(text) == ids_of(tokenizer, text)[:-1].tobytes()
+    assert cut == ["a ɐ b", "naïve Ω mega 日本"]
