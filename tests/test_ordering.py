@@ -139,6 +139,32 @@ def test_boxes_of_all_sizes_meet(spark):
         assert len(got) == len(set(got)) and set(got) == wanted
 
 
+@pytest.mark.parametrize("page_boxes", [0, 12, 256])
+def test_pages_in_one_row_and_tiled_pages_agree(spark, page_boxes, monkeypatch):
+    """Pages of 20, 10 and 5 boxes (the last without an id), with piles and boxes without area."""
+    draw = random.Random(11)
+    rows = []
+    for page, n in ((1, 20), (2, 10), (None, 5)):
+        for ix in range(n):
+            x, y, w = draw.uniform(-9, 9), draw.uniform(-9, 9), draw.choice([0.0, 0.3, 5.0, 12.0])
+            rows.append((page, ix, x, y, x + w, y + draw.choice([0.3, 4.0, 9.0])))
+        rows += [(page, 100 + ix, 0.0, 0.0, 2.0, 2.0) for ix in range(3)]
+    rows.append((3, 0, 0.0, 0.0, 2.0, 2.0))
+    frame = spark.createDataFrame(rows, "page_id int, ix int, x1 double, y1 double, x2 double, y2 double")
+    tiled, real = [], layout._placed
+    monkeypatch.setattr(layout, "_placed", lambda boxes, least: tiled.append(boxes.select("page_id").distinct().count()) or real(boxes, least))
+    for least in (0.0, 0.2, 1.0):
+        piled = {(r.page_id, *r[2:]): r for r in reversed(frame.collect())}.values()
+        copies = lambda a: 3 if a.ix == 100 else 1
+        wanted = {
+            (a.page_id, a.ix, b.ix, copies(a), copies(b), round(iou(a, b), 9)) for a in piled for b in piled
+            if a.page_id == b.page_id and (a.ix < b.ix or (a is b and copies(a) > 1)) and iou(a, b) > least
+        }
+        got = [(*r[:5], round(r.iou, 9)) for r in layout.overlaps(frame, least, page_boxes).collect()]
+        assert len(got) == len(set(got)) and set(got) == wanted
+    assert tiled == {0: [4] * 3, 12: [2] * 3, 256: []}[page_boxes]
+
+
 def test_many_boxes_in_a_small_place_spread_over_tiles(spark):
     """20,000 small boxes on 256 pixels: few rows a box, and few boxes a tile."""
     places = spark.range(20_000).selectExpr("1 as page_id", "id as ix", "(id % 141) * 1.8 as x1", "floor(id / 141) * 1.8 as y1")
