@@ -76,6 +76,24 @@ def first_sentence(parts: Column, word: Column) -> Column:
     return F.btrim(F.get(found, F.lit(0)), F.lit(WHITE_SPACE))
 
 
+def one_sentence_end(text: str) -> str:
+    """``text`` with every sentence end written as a full stop."""
+    return text.replace("。", ".").replace("！", ".").replace("!", ".")
+
+
+def sentence_at(text: str, word: str) -> str | None:
+    """What ``first_sentence`` gives for a ``word`` of letters, found without a search of all sentences.
+
+    ``text`` has full stops as its only sentence ends. A word of letters reaches over none of them, so its first place in
+    the text lies in that sentence.
+    """
+    place = text.find(word)
+    if place < 0:
+        return None
+    end = text.find(".", place)
+    return text[text.rfind(".", 0, place) + 1 : len(text) if end < 0 else end].strip(WHITE_SPACE)
+
+
 def part_of_speech_label(code: Column) -> Column:
     pairs = [F.lit(x) for pair in PART_OF_SPEECH_LABELS.items() for x in pair]
     return F.create_map(*pairs)[F.lower(code)]

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import repeat
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from leafmill.functions.text import first_sentence, sentences, words
+from leafmill.functions.text import one_sentence_end, sentence_at, words
 from leafmill.operators.joins import broadcast_if_small
 
 # Built-in definitions by lower-cased word.
@@ -26,6 +29,9 @@ UNKNOWN_AFTER = (
     "In production, this would be generated by the Qwen3.5-0.8B model."
 )
 
+# About as many characters of words and their sentences are held at once.
+GIVEN_CHARACTERS = 1 << 22
+
 
 def word_occurrences(pages: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
     """One row per word occurrence, with ``pos`` counting from 0 in its page."""
@@ -93,20 +99,46 @@ def _examples(
 
     ``wanted`` has the page's ``keys`` and word. A page's wanted words travel as
     one array to the page's row, so a text is shuffled once however many words
-    are looked up in it.
+    are looked up in it. A word is found in its text by a plain search that ends
+    at its first place.
     """
     per_page = wanted.groupBy(*keys).agg(F.collect_list("word").alias("_wanted"))
-    both = pages.join(per_page, list(keys)).withColumn("_parts", sentences(F.col(text)))
+    both = pages.join(per_page, list(keys)).select(*keys, F.col(text).alias("_text"), "_wanted")
     if place:
-        both = both.withColumn("_words", words(F.col(text)))
-    found = F.transform(
-        "_wanted",
-        lambda w: F.struct(
-            w.alias("word"), first_sentence(F.col("_parts"), w).alias("sentence"),
-            *([(F.array_position("_words", w) - 1).cast("int").alias("pos")] if place else []),
-        ),
-    )
-    return both.select(*keys, F.inline(found))
+        at = F.transform("_wanted", lambda w: (F.array_position("_words", w) - 1).cast("int"))
+        both = both.withColumn("_words", words(F.col("_text"))).select(*keys, "_text", "_wanted", at.alias("_at"))
+    kept = [T.StructField(k, both.schema[k].dataType) for k in keys]
+    found = [T.StructField("word", T.StringType()), T.StructField("sentence", T.StringType())]
+    schema = T.StructType([*kept, *found, *([T.StructField("pos", T.IntegerType())] if place else [])])
+    return both.mapInArrow(_look_up(list(keys), schema.names), schema)
+
+
+def _look_up(keys: list[str], names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows per wanted word from rows per page; sentences are given on as soon as they are many characters."""
+
+    def out(pages: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+        page, word, sentence, at = zip(*found)
+        last = [pa.array(word, pa.string()), pa.array(sentence, pa.string()), pa.array(at, pa.int32())]
+        own = [pages.column(k).take(pa.array(page, pa.int32())) for k in keys]
+        return pa.RecordBatch.from_arrays([*own, *last][: len(names)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pages in batches:
+            found, characters = [], 0
+            at = pages.column("_at") if "_at" in pages.schema.names else None
+            for page, (text, wanted) in enumerate(zip(pages.column("_text"), pages.column("_wanted"))):
+                marked = one_sentence_end(text.as_py() or "")
+                for word, pos in zip(wanted.as_py(), at[page].as_py() if at is not None else repeat(None)):
+                    sentence = sentence_at(marked, word)
+                    found.append((page, word, sentence, pos))
+                    characters += len(word) + len(sentence or "")
+                    if characters >= GIVEN_CHARACTERS:
+                        yield out(pages, found)
+                        found, characters = [], 0
+            if found:
+                yield out(pages, found)
+
+    return run
 
 
 def first_occurrences(pages: DataFrame, text: str, page: str = "page_number") -> DataFrame:

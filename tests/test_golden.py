@@ -1,9 +1,11 @@
 """Small cases with known results."""
 
+import hashlib
 import json
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,6 +60,39 @@ def test_sentences(spark):
     assert one(spark, pick, t="testing! A test", w="test") == "testing"
 
 
+def test_sentences_by_a_plain_search(spark):
+    texts = [
+        "This is a test. Another test here", "testing! A test", "甲。　乙に丙！丁", " \x85\tone two\u3000!two", "..a test..", "test", "",
+        "Test. TEST", "a\ntest\n。b", "über Ärger. ärger!",
+    ]
+    asked = ["test", "one", "two", "丙", "丁", "here", "über", "ärger", "missing"]
+    pairs = spark.createDataFrame([(i, t, w) for i, t in enumerate(texts) for w in asked], "i int, t string, w string")
+    slow = pairs.select("i", "w", text.first_sentence(text.sentences(F.col("t")), F.col("w")).alias("s")).collect()
+    assert len(slow) == len(texts) * len(asked)
+    for r in slow:
+        assert text.sentence_at(text.one_sentence_end(texts[r.i]), r.w) == r.s
+
+
+def test_sentences_of_a_page_without_ends_are_given_on_in_parts(spark):
+    letters = "abcdefghijklmnopqrst"
+    asked = [a + b + c for a in letters for b in letters for c in letters]
+    long_text = " ".join(asked)
+    pages = spark.createDataFrame([(1, long_text), (2, "abc. Zed abc"), (3, "ABC !"), (4, None)], "id int, t string")
+    targets = spark.createDataFrame([(w,) for w in asked], "word string")
+    found = vocabulary.concordance(pages, targets, "t")
+    assert "Contains" not in found._jdf.queryExecution().executedPlan().toString()
+    got = found.selectExpr("id", "word", "sha2(sentence, 256) s").collect()
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    wanted = {(1, w, digest(long_text)) for w in asked} | {(2, "abc", digest("abc")), (3, "abc", None)}
+    assert len(got) == len(wanted) and {tuple(r) for r in got} == wanted
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2], "_text": [long_text, None], "_wanted": [asked, ["abc"]]})
+    parts = list(vocabulary._look_up(["id"], ["id", "word", "sentence"])(iter([batch])))
+    most = vocabulary.GIVEN_CHARACTERS + len(long_text) + 3
+    assert len(parts) > 50 and all(p.column("sentence").nbytes <= most + 8 * p.num_rows + 8 for p in parts)
+    assert sum(p.num_rows for p in parts) == len(asked) + 1
+    assert parts[-1].to_pylist()[-1] == {"id": 2, "word": "abc", "sentence": None}
+
+
 def test_definitions(spark):
     asked = spark.createDataFrame(
         [(w,) for w in ("test", "Example", "unknown_word_xyz", "stored", "stored")], "word string"
