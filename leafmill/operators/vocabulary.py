@@ -105,8 +105,12 @@ def _examples(
     per_page = wanted.groupBy(*keys).agg(F.collect_list("word").alias("_wanted"))
     both = pages.join(per_page, list(keys)).select(*keys, F.col(text).alias("_text"), "_wanted")
     if place:
-        at = F.transform("_wanted", lambda w: (F.array_position("_words", w) - 1).cast("int"))
-        both = both.withColumn("_words", words(F.col("_text"))).select(*keys, "_text", "_wanted", at.alias("_at"))
+        # An array around the words keeps Spark from taking them out of the text again for each wanted one.
+        at = F.transform(
+            F.array(words(F.col("_text"))),
+            lambda own: F.transform("_wanted", lambda w: (F.array_position(own, w) - 1).cast("int")),
+        )
+        both = both.withColumn("_at", at[0])
     kept = [T.StructField(k, both.schema[k].dataType) for k in keys]
     found = [T.StructField("word", T.StringType()), T.StructField("sentence", T.StringType())]
     schema = T.StructType([*kept, *found, *([T.StructField("pos", T.IntegerType())] if place else [])])

@@ -93,6 +93,15 @@ def test_sentences_of_a_page_without_ends_are_given_on_in_parts(spark):
     assert parts[-1].to_pylist()[-1] == {"id": 2, "word": "abc", "sentence": None}
 
 
+def test_words_of_a_page_are_taken_out_once(spark):
+    pages = spark.createDataFrame([(1, 2, "One two. Two three one"), (1, 1, "two!")], "book_id int, page_number int, t string")
+    found = vocabulary.first_occurrences(pages, "t")
+    assert "array_position(lambda" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in found.collect()} == {
+        ("one", 1, 2, 0, "Two three one"), ("two", 1, 2, 1, "One two"), ("three", 1, 2, 2, "Two three one"),
+    }
+
+
 def test_definitions(spark):
     asked = spark.createDataFrame(
         [(w,) for w in ("test", "Example", "unknown_word_xyz", "stored", "stored")], "word string"
