@@ -1,5 +1,8 @@
 """What moves between tasks in searches over whole tables: texts and counts by document, never postings or products."""
 
+import random
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from leafmill.operators import repeats, search
@@ -50,3 +53,46 @@ def test_runs_meet_by_numbers(spark):
     runs = repeats.repeated_runs(texts, "k", "t", 3)
     assert "hashpartitioning(hash" in plan_of(runs) and runs.columns == ["k", "start", "words"]
     assert sorted((r.k or 0, r.start, r.words) for r in runs.collect()) == [(0, 1, 4), (1, 0, 4), (1, 1, 3), (1, 4, 3)]
+
+
+def passages_of(texts, length):
+    """What ``repeated_passages`` must give for texts of words and single spaces."""
+    total, documents = Counter(), Counter()
+    for text in texts:
+        words = text.split()
+        own = Counter(" ".join(words[i : i + length]) for i in range(len(words) - length + 1))
+        total.update(own)
+        documents.update(own.keys())
+    return {(p, total[p], n) for p, n in documents.items() if n > 1}
+
+
+def test_passages_move_once_as_stretches(spark):
+    """One shuffle, of texts by part: no hash per passage, no text kept or joined, no passage moved by itself."""
+    texts = spark.createDataFrame([("a b c d",), ("x a b c a b c",), (None,), ("",), (" ,",), ("a",)], "t string")
+    found = repeats.repeated_passages(texts, "t", 3)
+    plan = plan_of(found)
+    assert plan.count("Exchange") == 1 and "hashpartitioning(part" in plan and "Join" not in plan
+    assert {tuple(r) for r in found.collect()} == {("a b c", 3, 2)}
+    assert {tuple(r) for r in repeats.repeated_passages(texts, "t", 1).collect()} == {("a", 4, 3), ("b", 3, 2), ("c", 3, 2)}
+
+
+def test_passages_over_packs_and_pieces(spark):
+    dealt = random.Random(4)
+    some = ["a", "of", "\u00e9t\u00e9", "\u732b", "12", "longerwordthanothers"]
+    texts = [" ".join(dealt.choices(some, k=dealt.randrange(30))) for _ in range(60)]
+    texts += [*texts[:20], "of " * 1000, "of " * 700 + "a", "short"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
+    for length in (2, 8):
+        packed = repeats._packed(rows, "t", length, 5, pack_bytes=400, piece_bytes=90)
+        found = [tuple(r) for r in repeats._counted(packed, length).collect()]
+        assert len(found) == len(set(found)) and set(found) == passages_of(texts, length)
+
+
+def test_passages_of_equal_hashes_are_told_apart(spark):
+    """Words that differ in the middle only have one hash; passages are counted by their words."""
+    one, other = (f"beginning{i}x{i}theirending" for i in "pq")
+    texts = [f"{one} x {other} x {one} x", f"y {other} x", f"{one} z"]
+    first, second = repeats._Lines(f"{one} {other}".encode()).hashes()
+    assert first == second
+    found = {tuple(r) for r in repeats.repeated_passages(spark.createDataFrame([(t,) for t in texts], "t string"), "t", 2).collect()}
+    assert found == passages_of(texts, 2) == {(f"{other} x", 2, 2)}
